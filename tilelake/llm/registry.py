@@ -1,6 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from tilelake.llm import decontaminate
+from tilelake.llm import bytebpe, decontaminate, quality
 
-QUERIES = {"op3_decontaminate": decontaminate.op3_decontaminate}
-ORACLES = {"op3_decontaminate": decontaminate.SQL}
+QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op7_byte_bpe": bytebpe.op7_byte_bpe,
+    "op9_quality": quality.op9_quality,
+}
+ORACLES = {"op9_quality": quality.SQL, "op3_decontaminate": decontaminate.SQL}
