@@ -1,10 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from tilelake.llm import bytebpe, decontaminate, quality
+from tilelake.llm import bytebpe, decontaminate, neardup, quality, suffixdedup, tokenfile
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op6_bag_minhash": neardup.op6_bag_minhash,
+    "op10_simple8b": tokenfile.op10_simple8b,
+    "op8_sparse_suffixes": suffixdedup.op8_sparse_suffixes,
     "op7_byte_bpe": bytebpe.op7_byte_bpe,
     "op9_quality": quality.op9_quality,
 }
-ORACLES = {"op9_quality": quality.SQL, "op3_decontaminate": decontaminate.SQL}
+ORACLES = {"op8_sparse_suffixes": suffixdedup.SQL, "op6_bag_minhash": neardup.SQL, "op9_quality": quality.SQL, "op3_decontaminate": decontaminate.SQL}
