@@ -1 +1,73 @@
-STAGES = []
+"""A corpus pipeline of five stages: quality rules, near-duplicates, benchmark decontamination, PII, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
+the next one. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilelake.llm import bytebpe, decontaminate, neardup, pii, quality
+from tilelake.llm.shared import folder
+
+KEY = "a key that each deployment sets for itself"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.judge(docs, out="_quality").where("_quality.kept").drop("_quality")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that of least doc_id, and one row of equal ones. Documents without
+    words are no duplicates of others, but equal rows of them are."""
+    classes = neardup.near_duplicates(docs).where("class_id is null or doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
+    stay = docs.join(classes, docs["doc_id"].eqNullSafe(classes["_id"]), "left_semi")
+    first = stay.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
+    return first.select("doc_id", "_row.*").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    found = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_found")
+    return found.where(F.size("_found.spans") == 0).drop("_found")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms; n_chars follows the text."""
+    made = pii.pseudonymise(docs, KEY, out="_pii")
+    return made.withColumns({"text": F.col("_pii.text"), "n_chars": F.when(F.size("_pii.found") > 0, F.length("_pii.text").cast("long")).otherwise(F.col("n_chars"))}).drop("_pii").select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
+    return bytebpe.digest(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), out="_tokens").select("doc_id", "_tokens.*")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("byte-level BPE", byte_bpe),
+]
+
+#: The signatures, pseudonyms and token ids of three stages have no SQL; tests/llm holds run() against plain Python.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written and read again in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{folder(spark)}/stage-{k}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
