@@ -48,7 +48,7 @@ def bag_min_hash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int
     least, winner = np.full(n_docs * m, np.inf), np.zeros(n_docs * m, np.uint64)
     parts, low, size, k = [], 0, 1, 0
     while len(at := np.flatnonzero(weight > low)):
-        parts.append((doc[at], mix(h[at] + np.uint64(k) * _C[0]), np.full(len(at), size), np.full(len(at), low), weight[at]))
+        parts.append((doc[at], mix(h[at] + np.full(1, k, np.uint64) * _C[0]), np.full(len(at), size), np.full(len(at), low), weight[at]))
         low, size, k = low + size, low + size, k + 1
     if not parts:
         return winner.reshape(n_docs, m)
@@ -89,7 +89,7 @@ def bag_min_hash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int
         b = ~leaf
         half = size[b] // 2
         coin = mix(s[b] ^ _C[3]) & np.uint64(1)
-        kids = [(d[b], mix(s[b] + _C[4] * np.uint64(side + 1)), half, low[b] + side * half, w[b], x[b], np.zeros(b.sum(), np.uint64), np.where(coin == side, point[b], np.uint64(0))) for side in (0, 1)]
+        kids = [(d[b], mix(s[b] + np.full(1, side + 1, np.uint64) * _C[4]), half, low[b] + side * half, w[b], x[b], np.zeros(b.sum(), np.uint64), np.where(coin == side, point[b], np.uint64(0))) for side in (0, 1)]
         new = [np.concatenate(v) for v in zip((ld, ls, np.ones(len(ld), np.int64), llow, lw, lx, lc, np.zeros(len(ld), np.uint64)), *kids, strict=True)]
         inside = new[3] < new[4]
         d, s, size, low, w, x, count, point = (v[inside] for v in new)
