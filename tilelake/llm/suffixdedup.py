@@ -11,8 +11,8 @@ of the passage to its right: its head.
 3. Suffixes with one head come together, their windows are sorted and neighbours compared. Equal windows are a match;
    matches that overlap or touch join to passages of any length.
 
-A head that ``HOT`` suffixes or more share is not brought together: its windows are grouped by themselves, with counts
-made before the shuffle. The groups of step 3 have a bounded size then.
+A head that ``HOT`` suffixes or more share is not brought together: its windows are grouped by themselves, suffixes
+with the same windows as one, with counts made before the shuffle. The groups of step 3 have a bounded size then.
 """
 
 from __future__ import annotations
@@ -142,6 +142,20 @@ def _merged(spans):
     return F.aggregate(start, F.expr("cast(array() as array<struct<start:int,end:int>>)"), step)
 
 
+def _hot_spans(hot: DataFrame) -> DataFrame:
+    """SPANS of the suffixes with hot heads. Suffixes with the same windows are counted as one; what is found for them goes
+    back to each by one join."""
+    kinds = saved(hot.groupBy("windows").agg(F.count("*").alias("n"), F.min(F.struct("id", "s")).alias("least")))
+    one = kinds.select("windows", "n", "least", F.posexplode(F.expr("transform(sequence(1, length(windows), 8), k -> substring(windows, k, 8))")).alias("k", "w"))
+    groups = saved(one.groupBy("w").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("least.id").alias("id"), (F.col("least.s") + F.col("k")).alias("start"))).alias("first")).where("n > 1").select("w", "first"))
+    marks = one.join(groups, "w").groupBy("windows").agg(F.collect_list(F.struct("k", "first")).alias("marks"))
+    own = hot.select("id", "n_words", "s", "windows").join(saved(marks), "windows")
+    span = lambda m: F.struct((F.col("s") + m["k"]).alias("start"), (F.col("s") + m["k"] + LENGTH).alias("end"))
+    first = lambda m: (m["first"]["id"] == F.col("id")) & (m["first"]["start"] == F.col("s") + m["k"])
+    spans = own.select("id", "n_words", _merged(F.transform("marks", span)).alias("all"), _merged(F.transform(F.filter("marks", lambda m: ~first(m)), span)).alias("rest"))
+    return spans.select("id", "n_words", F.explode(F.concat(F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(False).alias("later"))), F.transform("rest", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(True).alias("later"))))).alias("x")).select("id", "n_words", "x.*")
+
+
 def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_repeated, n_later, passages, later) of each document with repeated passages.
 
@@ -154,15 +168,13 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     sparse = written(own.mapInArrow(_sparse, "head long, id long, p int"), "suffixes")
-    equal = sparse.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
+    equal = saved(sparse.groupBy("head").agg(F.count("*").alias("n")).where("n > 1"))
     hits = sparse.join(equal, "head").groupBy("id").agg(F.collect_list(F.struct("p", (F.col("n") >= HOT).alias("hot"))).alias("ask"))
     asked = own.join(hits, "id").select("id", "text", F.col("ask.p").alias("p"), F.col("ask.hot").alias("hot"))
     found = written(asked.mapInArrow(_extend, EXTENDED), "windows")
     n = max(1, -(-found.where("not hot").count() // GROUP))
     cool = found.where("not hot").withColumn("g", F.pmod(F.xxhash64("head"), F.lit(n))).groupBy("g").applyInArrow(lambda t: _match(t), SPANS)
-    hot = found.where("hot").select("id", "n_words", F.posexplode(F.expr("transform(sequence(1, length(windows), 8), k -> substring(windows, k, 8))")).alias("k", "w"), "s").select("id", "n_words", (F.col("s") + F.col("k")).alias("start"), "w")
-    groups = hot.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("least")).where("n > 1")
-    hot = hot.join(groups, "w").select("id", "n_words", "start", (F.col("start") + LENGTH).alias("end"), F.explode(F.when(F.struct("id", "start") > F.col("least"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("later"))
+    hot = _hot_spans(found.where("hot"))
     span = F.struct("start", "end")
     by = saved(cool.unionByName(hot).groupBy("id").agg(F.max("n_words").alias("n_words"), F.collect_set(F.when(~F.col("later"), span)).alias("all"), F.collect_set(F.when(F.col("later"), span)).alias("rest")))
     got = by.select(F.col("id").alias("doc_id"), "n_words", _merged(F.col("all")).alias("passages"), _merged(F.col("rest")).alias("later"))
