@@ -49,9 +49,9 @@ def region_extents(items: DataFrame) -> DataFrame:
 
 
 def with_box(tiles: DataFrame) -> DataFrame:
-    """tiles with their bounds in degrees: w, s, e, n."""
+    """tiles with their bounds in degrees: w, s, e, n. inline keeps the expressions from being repeated where these are used."""
     box = tm.tile_bounds_lonlat(F.col("z"), F.col("x"), F.col("y"))
-    return tiles.withColumns(dict(zip("wsen", box, strict=True)))
+    return tiles.select("*", F.inline(F.array(F.struct(*[c.alias(k) for c, k in zip(box, "wsen", strict=True)]))))
 
 
 def region_prune(tiles: DataFrame, extents: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tilelake.plans import q_imagery, q_tiles
+from tilelake.plans import q_dem, q_imagery, q_raster, q_tiles
 
-ALL = q_tiles.QUERIES | q_imagery.QUERIES
+ALL = q_tiles.QUERIES | q_imagery.QUERIES | q_dem.QUERIES | q_raster.QUERIES
 QUERIES = {k: q for k, (q, _) in ALL.items()}
 ORACLES = {k: s for k, (_, s) in ALL.items() if s}
