@@ -27,8 +27,8 @@ from tilelake.llm.words import Words, _power, mix, ragged, words
 
 LENGTH, GRAM, SPREAD = 50, 10, 31
 HEAD = LENGTH - SPREAD + 1
-HOT = 5000
-#: Suffixes brought together in a group of step 3, on average.
+HOT = 100_000
+#: Suffixes brought together in a group of step 3, on average. A head below HOT adds some 100 MB of arrays at most.
 GROUP = 50_000
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
