@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tilelake.functions import raster as px
@@ -116,12 +117,12 @@ def block_mosaic(tiles: DataFrame, size: int, n: int) -> DataFrame:
     return keyed.groupBy("bx", "by").applyInPandas(one, "bx int, by int, pixels array<double>, lo double, hi double")
 
 
-@pandas_udf("array<int>")
+@pandas_udf(T.ArrayType(T.IntegerType()))
 def hillshade(pixels: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([px.np_hillshade(np.array(p, dtype=float).reshape(n, n)).ravel().astype(int).tolist() for p, n in zip(pixels, size, strict=True)])
 
 
-@pandas_udf("array<int>")
+@pandas_udf(T.ArrayType(T.IntegerType()))
 def downsample_2x2(pixels: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([px.np_downsample(np.array(p, dtype=float).reshape(n, n)).ravel().astype(int).tolist() for p, n in zip(pixels, size, strict=True)])
 
