@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tilelake.plans import q_buildings, q_dem, q_imagery, q_raster, q_tiles
+from tilelake.plans import q_buildings, q_dem, q_demand, q_imagery, q_raster, q_tiles
 
-ALL = q_tiles.QUERIES | q_imagery.QUERIES | q_dem.QUERIES | q_raster.QUERIES | q_buildings.QUERIES
+ALL = q_tiles.QUERIES | q_imagery.QUERIES | q_dem.QUERIES | q_raster.QUERIES | q_buildings.QUERIES | q_demand.QUERIES
 QUERIES = {k: q for k, (q, _) in ALL.items()}
 ORACLES = {k: s for k, (_, s) in ALL.items() if s}
