@@ -29,8 +29,8 @@ FORMATS = {
 }
 PATTERN = "|".join(FORMATS.values())
 
-#: Days from 1900-01-01 to 2099-12-31: 319 * 229.
-DAYS = (319, 229)
+#: Days from 1900-01-01 to 2099-12-31: 73049 = 17 * 4297.
+DAYS = (17, 4297)
 
 
 def _keyed(key: Column, *parts: Column) -> Column:

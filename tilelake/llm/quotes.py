@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tilelake.llm.shared import saved
 
 QUOTE = r"^[ \t]*>"
-ATTRIBUTION = r"(?i)^[ \t]*(on|am|le|el)\b.{0,200}\b(wrote|schrieb|écrit|escribió)\b.{0,80}:[ \t]*$"
+ATTRIBUTION = r"(?i)^[ \t]*(on|am|le|el) .{0,200} (wrote|schrieb|écrit|escribió).{0,80}:[ \t]*$"
 #: A line is looked up by itself if it has at least this many words.
 LINE_WORDS = 4
 
@@ -126,7 +126,7 @@ def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Quotes, links and trees spelled out; places in a tree by recursive paths.
 SQL = r"""
-WITH RECURSIVE msg AS (SELECT conv_id, turn, min(text) AS text, arg_min(role, text) AS role FROM conversations GROUP BY conv_id, turn),
+WITH RECURSIVE msg AS (SELECT conv_id, turn, min(text) AS text, arg_min(role, (text, role)) AS role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 line AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM msg WHERE regexp_matches(text, '(?m)^[ \t]*>')),
 lev AS (SELECT conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level,
                trim(regexp_replace(line, '^((?:[ \t]*>)*)', '')) AS line FROM line),
@@ -134,12 +134,24 @@ run AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run
   SELECT *, CASE WHEN level <> lag(level, 1, -1) OVER (PARTITION BY conv_id, turn ORDER BY pos) THEN 1 ELSE 0 END AS new FROM lev) x),
 quote AS (SELECT conv_id, turn, run, level, string_agg(line, ' ' ORDER BY pos) AS passage FROM run WHERE level > 0 GROUP BY conv_id, turn, run, level),
 own AS (SELECT conv_id, turn, role, CASE WHEN regexp_matches(text, '(?m)^[ \t]*>')
-               THEN trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10))) ELSE text END AS text FROM msg),
-part AS (SELECT conv_id, turn, unnest(list_append(string_split(text, chr(10)), text)) AS t FROM own),
-said AS (SELECT conv_id, trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm, min(turn) AS source FROM part GROUP BY 1, 2),
-link AS (SELECT q.conv_id, q.turn, q.run, q.level, s.source FROM quote q LEFT JOIN said s
-         ON s.conv_id = q.conv_id AND s.norm = trim(regexp_replace(lower(q.passage), '[^\p{L}\p{N}]+', ' ', 'g')) AND s.norm <> '' AND s.source < q.turn),
-per AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, arg_min(source, level * 1000000 + run) FILTER (source IS NOT NULL) AS reply_to FROM link GROUP BY conv_id, turn),
+               THEN trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT regexp_matches(x, '^[ \t]*>')
+                 AND NOT (regexp_matches(x, '(?i)^[ \t]*(on|am|le|el) .{0,200} (wrote|schrieb|écrit|escribió).{0,80}:[ \t]*$') AND coalesce(regexp_matches(string_split(text, chr(10))[i + 1], '^[ \t]*>'), false))), chr(10))) ELSE text END AS text FROM msg),
+said AS (
+  SELECT conv_id, norm, min(turn) AS source FROM (
+    SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm, true AS whole FROM own
+    UNION ALL
+    SELECT conv_id, turn, trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', ' ', 'g')), false FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t FROM own) a) b
+  WHERE norm <> '' AND (whole OR len(string_split(norm, ' ')) >= 4) GROUP BY conv_id, norm),
+ask AS (
+  SELECT DISTINCT conv_id, turn, run, whole, norm FROM (
+    SELECT conv_id, turn, run, true AS whole, trim(regexp_replace(lower(passage), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM quote
+    UNION ALL
+    SELECT conv_id, turn, run, false, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) FROM run WHERE level > 0) a
+  WHERE norm <> '' AND (whole OR len(string_split(norm, ' ')) >= 4)),
+found AS (
+  SELECT conv_id, turn, run, coalesce(min(source) FILTER (whole), max(source) FILTER (NOT whole)) AS source FROM ask JOIN said USING (conv_id, norm) WHERE source < turn GROUP BY conv_id, turn, run),
+link AS (SELECT conv_id, turn, run, level, source FROM quote LEFT JOIN found USING (conv_id, turn, run)),
+per AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, arg_min(source, (level, run)) FILTER (source IS NOT NULL) AS reply_to FROM link GROUP BY conv_id, turn),
 tree AS (
   SELECT conv_id, turn, turn AS root, [turn] AS path FROM msg LEFT JOIN per USING (conv_id, turn) WHERE reply_to IS NULL
   UNION ALL
