@@ -11,11 +11,9 @@ from tilelake.operators import raster
 from tilelake.plans import sql
 from tilelake.sources import catalogs, fixtures, scratch
 
-P = F.col("pixels")
-
 
 def _folded(spark, sf_dir) -> DataFrame:
-    return fixtures.rasters(spark, sf_dir).withColumn("pixels", px.fold_nodata(P))
+    return fixtures.rasters(spark, sf_dir).withColumn("pixels", px.fold_nodata(F.col("pixels")))
 
 
 def _sources(spark, sf_dir) -> DataFrame:
@@ -51,13 +49,13 @@ def _mosaics(spark, sf_dir) -> tuple[DataFrame, dict[str, DataFrame]]:
 
 def void_fill(spark, sf_dir):
     _, m = _mosaics(spark, sf_dir)
-    both = m["s1m"].where(P.isNotNull()).join(m["usgs13"].select("z", "x", "y", F.col("pixels").alias("c")), ["z", "x", "y"])
-    return _cells(both.select("z", "x", "y", px.void_fill(P, F.col("c")).alias("pixels")), "z", "x", "y")
+    both = m["s1m"].where(F.col("pixels").isNotNull()).join(m["usgs13"].select("z", "x", "y", F.col("pixels").alias("c")), ["z", "x", "y"])
+    return _cells(both.select("z", "x", "y", px.void_fill(F.col("pixels"), F.col("c")).alias("pixels")), "z", "x", "y")
 
 
 def void_fill_join(spark, sf_dir):
     _, m = _mosaics(spark, sf_dir)
-    return _cells(raster.void_fill_join(m["s1m"].where(P.isNotNull()), m["usgs13"].where(P.isNotNull())), "z", "x", "y")
+    return _cells(raster.void_fill_join(m["s1m"].where(F.col("pixels").isNotNull()), m["usgs13"].where(F.col("pixels").isNotNull())), "z", "x", "y")
 
 
 def _cascade(spark, sf_dir) -> DataFrame:
@@ -66,8 +64,8 @@ def _cascade(spark, sf_dir) -> DataFrame:
 
 
 def dem_cascade(spark, sf_dir):
-    total = F.aggregate(P, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    return _cascade(spark, sf_dir).select("z", "x", "y", "dem_source", "status", F.round(total, 3).alias("total"), F.size(F.filter(P, lambda v: v.isNull())).cast("long").alias("n_void"))
+    total = F.aggregate(F.col("pixels"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return _cascade(spark, sf_dir).select("z", "x", "y", "dem_source", "status", F.round(total, 3).alias("total"), F.size(F.filter(F.col("pixels"), lambda v: v.isNull())).cast("long").alias("n_void"))
 
 
 def dem_source_mix(spark, sf_dir):
@@ -86,13 +84,13 @@ def decode_terrarium(spark, sf_dir):
 
 
 def tile_elevation_stats(spark, sf_dir):
-    return _folded(spark, sf_dir).select("rank", px.elevation_stats(P, 8).alias("s")).select("rank", "s.*")
+    return _folded(spark, sf_dir).select("rank", px.elevation_stats(F.col("pixels"), 8).alias("s")).select("rank", "s.*")
 
 
 def _children(spark, sf_dir) -> DataFrame:
     """The first raster of each tile as elevation codes; some reads failed."""
     r = _folded(spark, sf_dir).groupBy("z", "x", "y").agg(F.min_by(F.struct("pixels", "rank"), "rank").alias("r")).select("z", "x", "y", "r.*")
-    return r.select("z", "x", "y", F.when(F.col("rank") % 37 == 0, "failed").otherwise("ok").alias("status"), F.transform(P, px.encode_terrarium).alias("pixels"))
+    return r.select("z", "x", "y", F.when(F.col("rank") % 37 == 0, "failed").otherwise("ok").alias("status"), F.transform(F.col("pixels"), px.encode_terrarium).alias("pixels"))
 
 
 def stitch_2x2(spark, sf_dir):
@@ -128,13 +126,13 @@ def rescale(spark, sf_dir):
 
 def hillshade(spark, sf_dir):
     """On rasters without voids; they are heights of 0 here."""
-    r = _folded(spark, sf_dir).withColumn("pixels", F.transform(P, lambda v: F.coalesce(v, F.lit(0.0))))
-    return r.select("rank", F.posexplode(raster.hillshade(P, F.col("size"))).alias("k", "shade"))
+    r = _folded(spark, sf_dir).withColumn("pixels", F.transform(F.col("pixels"), lambda v: F.coalesce(v, F.lit(0.0))))
+    return r.select("rank", F.posexplode(raster.hillshade(F.col("pixels"), F.col("size"))).alias("k", "shade"))
 
 
 def downsample_2x2(spark, sf_dir):
-    r = _folded(spark, sf_dir).withColumn("pixels", F.transform(P, lambda v: F.pmod(F.floor(F.coalesce(v, F.lit(0.0))), F.lit(256)).cast("double")))
-    return r.select("rank", F.posexplode(raster.downsample_2x2(P, F.col("size"))).alias("k", "v"))
+    r = _folded(spark, sf_dir).withColumn("pixels", F.transform(F.col("pixels"), lambda v: F.pmod(F.floor(F.coalesce(v, F.lit(0.0))), F.lit(256)).cast("double")))
+    return r.select("rank", F.posexplode(raster.downsample_2x2(F.col("pixels"), F.col("size"))).alias("k", "v"))
 
 
 def _grids(spark, sf_dir) -> DataFrame:
@@ -150,7 +148,7 @@ def surface_grid(spark, sf_dir):
 def ground_at(spark, sf_dir):
     r = _folded(spark, sf_dir)
     u, v = F.col("rank") % 11 / 10, F.col("rank") % 7 / 6
-    return r.select("rank", px.ground_at(P, F.col("size"), u, v).alias("ground"))
+    return r.select("rank", px.ground_at(F.col("pixels"), F.col("size"), u, v).alias("ground"))
 
 
 def vertical_exaggeration(spark, sf_dir):
@@ -176,7 +174,7 @@ def job_bake_imagery(spark, sf_dir):
     """Assets of tiles → warp → mosaic in rank order → table → manifest."""
     warped = raster.warp_to_tile(_asset_pairs(spark, sf_dir), 8)
     m = raster.mosaic_first_valid(warped)
-    status = F.when(F.col("failed"), "failed").when(P.isNull(), "no_coverage").otherwise("ok")
+    status = F.when(F.col("failed"), "failed").when(F.col("pixels").isNull(), "no_coverage").otherwise("ok")
     tiles = m.select(F.lit("naip").alias("layer"), F.lit(2000).alias("year"), "z", "x", "y", status.alias("status"), "pixels")
     path = scratch.new_folder(spark, "tiles")
     catalogs.write_tile_table(tiles, path)
@@ -199,8 +197,8 @@ def bake_manifest(spark, sf_dir):
 def job_bake_terrain(spark, sf_dir):
     """Cascade → codes → statistics, written and read back."""
     c = _cascade(spark, sf_dir)
-    codes = F.transform(P, px.encode_terrarium)
-    t = c.select("z", "x", "y", "dem_source", "status", codes.alias("codes"), px.elevation_stats(P, 8).alias("s"), F.lit("terrain").alias("layer"), F.lit(0).alias("year"))
+    codes = F.transform(F.col("pixels"), px.encode_terrarium)
+    t = c.select("z", "x", "y", "dem_source", "status", codes.alias("codes"), px.elevation_stats(F.col("pixels"), 8).alias("s"), F.lit("terrain").alias("layer"), F.lit(0).alias("year"))
     path = scratch.new_folder(spark, "terrain")
     catalogs.write_tile_table(t, path)
     back = spark.read.schema("layer string, year int, z int, x int, y int, dem_source string, codes array<int>, s struct<lo:double,hi:double,mid:double>").parquet(path)

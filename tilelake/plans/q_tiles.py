@@ -11,8 +11,6 @@ from tilelake.operators import validate
 from tilelake.plans import sql
 from tilelake.sources import fixtures
 
-Z, X, Y = F.col("z"), F.col("x"), F.col("y")
-
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, sf_dir, "fx_points")
@@ -31,7 +29,7 @@ def lonlat_to_merc(spark, sf_dir):
 
 
 def merc_to_lonlat(spark, sf_dir):
-    lon, lat = tm.merc_to_lonlat(X, Y)
+    lon, lat = tm.merc_to_lonlat(F.col("x"), F.col("y"))
     return fixtures.table(spark, sf_dir, "fx_track").select("event_id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
@@ -40,36 +38,36 @@ def merc_scale(spark, sf_dir):
 
 
 def tile_of_point(spark, sf_dir):
-    x, y = tm.tile_of_point(*tm.lonlat_to_merc(F.col("lon"), F.col("lat")), Z)
+    x, y = tm.tile_of_point(*tm.lonlat_to_merc(F.col("lon"), F.col("lat")), F.col("z"))
     return points(spark, sf_dir).select("point_id", "z", x.alias("x"), y.alias("y"))
 
 
 def tile_bounds_merc(spark, sf_dir):
-    return tiles(spark, sf_dir).select("z", "x", "y", *[F.round(c, 2).alias(n) for c, n in zip(tm.tile_bounds_merc(Z, X, Y), "wsen", strict=True)])
+    return tiles(spark, sf_dir).select("z", "x", "y", *[F.round(c, 2).alias(n) for c, n in zip(tm.tile_bounds_merc(F.col("z"), F.col("x"), F.col("y")), "wsen", strict=True)])
 
 
 def tile_bounds_lonlat(spark, sf_dir):
-    return tiles(spark, sf_dir).select("z", "x", "y", *[F.round(c, 6).alias(n) for c, n in zip(tm.tile_bounds_lonlat(Z, X, Y), "wsen", strict=True)])
+    return tiles(spark, sf_dir).select("z", "x", "y", *[F.round(c, 6).alias(n) for c, n in zip(tm.tile_bounds_lonlat(F.col("z"), F.col("x"), F.col("y")), "wsen", strict=True)])
 
 
 def tile_parent(spark, sf_dir):
-    return tiles(spark, sf_dir).select("z", "x", "y", tm.tile_parent(Z, X, Y).alias("p")).select("z", "x", "y", F.col("p.z").alias("pz"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    return tiles(spark, sf_dir).select("z", "x", "y", tm.tile_parent(F.col("z"), F.col("x"), F.col("y")).alias("p")).select("z", "x", "y", F.col("p.z").alias("pz"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
 
 
 def tile_ancestor_at(spark, sf_dir):
-    return tiles(spark, sf_dir).select("z", "x", "y", tm.tile_ancestor_at(Z, X, Y, 9).alias("p")).select("z", "x", "y", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"))
+    return tiles(spark, sf_dir).select("z", "x", "y", tm.tile_ancestor_at(F.col("z"), F.col("x"), F.col("y"), 9).alias("p")).select("z", "x", "y", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"))
 
 
 def tile_children(spark, sf_dir):
-    return tiles(spark, sf_dir).select(Z.alias("pz"), X.alias("px"), Y.alias("py"), F.explode(tm.tile_children(Z, X, Y)).alias("c")).select("pz", "px", "py", "c.z", "c.x", "c.y")
+    return tiles(spark, sf_dir).select(F.col("z").alias("pz"), F.col("x").alias("px"), F.col("y").alias("py"), F.explode(tm.tile_children(F.col("z"), F.col("x"), F.col("y"))).alias("c")).select("pz", "px", "py", "c.z", "c.x", "c.y")
 
 
 def tile_ancestors(spark, sf_dir):
-    return tiles(spark, sf_dir).select(F.explode(tm.tile_ancestors(Z, X, Y)).alias("a")).select("a.*").groupBy("z", "x", "y").agg(F.count("*").alias("n"))
+    return tiles(spark, sf_dir).select(F.explode(tm.tile_ancestors(F.col("z"), F.col("x"), F.col("y"))).alias("a")).select("a.*").groupBy("z", "x", "y").agg(F.count("*").alias("n"))
 
 
 def tile_grid_around(spark, sf_dir):
-    return points(spark, sf_dir).where("point_id % 10 = 0").select("point_id", F.explode(tm.tile_grid_around(F.col("lat"), F.col("lon"), Z, 4)).alias("tile")).select("point_id", "tile.*")
+    return points(spark, sf_dir).where("point_id % 10 = 0").select("point_id", F.explode(tm.tile_grid_around(F.col("lat"), F.col("lon"), F.col("z"), 4)).alias("tile")).select("point_id", "tile.*")
 
 
 def tile_cover_bbox(spark, sf_dir):
@@ -84,7 +82,7 @@ def maxzoom_for_gsd(spark, sf_dir):
 
 
 def mvt_quantization(spark, sf_dir):
-    return tiles(spark, sf_dir).select("z", "x", "y", F.round(tm.mvt_quantization(Z), 9).alias("unit_m"))
+    return tiles(spark, sf_dir).select("z", "x", "y", F.round(tm.mvt_quantization(F.col("z")), 9).alias("unit_m"))
 
 
 def albers_forward(spark, sf_dir):
@@ -98,21 +96,21 @@ def albers_inverse(spark, sf_dir):
 
 
 def tile_envelope_albers(spark, sf_dir):
-    return tiles(spark, sf_dir).select("z", "x", "y", *[F.round(c, 2).alias(n) for c, n in zip(projection.tile_envelope_albers(Z, X, Y), ("xmin", "xmax", "ymin", "ymax"), strict=True)])
+    return tiles(spark, sf_dir).select("z", "x", "y", *[F.round(c, 2).alias(n) for c, n in zip(projection.tile_envelope_albers(F.col("z"), F.col("x"), F.col("y")), ("xmin", "xmax", "ymin", "ymax"), strict=True)])
 
 
 def _kinds(spark, sf_dir):
     source = F.when(F.col("event_id") % 4 == 0, "osm").otherwise("naip")
-    return fixtures.table(spark, sf_dir, "fx_requests").select("event_id", (Z + F.col("event_id") % 14).cast("int").alias("z"), "x", "y", source.alias("source"))
+    return fixtures.table(spark, sf_dir, "fx_requests").select("event_id", (F.col("z") + F.col("event_id") % 14).cast("int").alias("z"), "x", "y", source.alias("source"))
 
 
 def route_imagery(spark, sf_dir):
-    return _kinds(spark, sf_dir).select("event_id", "z", tm.route_imagery(Z, F.col("source")).alias("kind"))
+    return _kinds(spark, sf_dir).select("event_id", "z", tm.route_imagery(F.col("z"), F.col("source")).alias("kind"))
 
 
 def tile_path(spark, sf_dir):
-    kind = F.when(F.col("event_id") % 5 == 0, "terrain").when(F.col("event_id") % 5 == 1, "buildings").otherwise(tm.route_imagery(Z, F.col("source")))
-    return _kinds(spark, sf_dir).select("event_id", tm.tile_path(kind, F.lit("naip"), 2010 + F.col("event_id") % 10, Z, X, Y).alias("path"))
+    kind = F.when(F.col("event_id") % 5 == 0, "terrain").when(F.col("event_id") % 5 == 1, "buildings").otherwise(tm.route_imagery(F.col("z"), F.col("source")))
+    return _kinds(spark, sf_dir).select("event_id", tm.tile_path(kind, F.lit("naip"), 2010 + F.col("event_id") % 10, F.col("z"), F.col("x"), F.col("y")).alias("path"))
 
 
 def _asked(spark, sf_dir):
