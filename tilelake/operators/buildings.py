@@ -56,7 +56,9 @@ def quantized(rings: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.
         bx, by = (east - west) * BUFFER / EXTENT, (north - south) * BUFFER / EXTENT
         kept = []
         for r in _arrays(one):
-            c = geometry.clip(r, west - bx, south - by, east + bx, north + by)
+            lo, hi = r.min(axis=0), r.max(axis=0)
+            whole = lo[0] >= west - bx and lo[1] >= south - by and hi[0] <= east + bx and hi[1] <= north + by
+            c = r if whole else geometry.clip(r, west - bx, south - by, east + bx, north + by)
             if len(c):
                 u = np.rint(np.stack([(c[:, 0] - west) / (east - west), (north - c[:, 1]) / (north - south)], axis=1) * EXTENT).astype(int)
                 u = u[np.any(u != np.roll(u, 1, axis=0), axis=1)]
@@ -66,6 +68,10 @@ def quantized(rings: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.
     return pd.Series(out)
 
 
+# not to be run once for the filter on the result and again for the result
+quantized = quantized.asNondeterministic()
+
+
 def mvt_quantize(features: DataFrame) -> DataFrame:
     """(z, x, y, id, height, num_floors, rings) of features on tiles; those with nothing left after the clip are dropped."""
     w, s, e, n = tm.tile_bounds_lonlat(F.col("z"), F.col("x"), F.col("y"))
@@ -83,6 +89,9 @@ def classified(rings: pd.Series) -> pd.Series:
     return pd.Series([[[dicts(r) for r in p] for p in geometry.polygons(_arrays(one))] for one in rings])
 
 
+classified = classified.asNondeterministic()
+
+
 def units_to_metres(rings: Column, z: Column) -> Column:
     """Units of a tile to metres from its corner, y going south negative."""
     unit = tm.side(z) / EXTENT
@@ -155,6 +164,9 @@ def clipped(polygons: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd
     return pd.Series(out)
 
 
+clipped = clipped.asNondeterministic()
+
+
 def roof_parts(rec: DataFrame, zoom: int) -> DataFrame:
     """(tz, tx, ty, id, polygons): each roof's part on every target tile that it meets, in source metres."""
     span, n = _target(zoom)
