@@ -102,7 +102,8 @@ def _card(v: Column, key: Column) -> tuple[Column, Column]:
 def _iban(v: Column, key: Column) -> tuple[Column, Column]:
     s = F.regexp_replace(v, " ", "")
     country, rest = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-    ok = _mod97(F.concat(rest, F.substring(s, 1, 4))) == 1
+    # 00, 01 and 99 give the same remainder as 97, 98 and 02; only those of 02 to 98 are in use
+    ok = F.substring(s, 3, 2).between("02", "98") & (_mod97(F.concat(rest, F.substring(s, 1, 4))) == 1)
     new = permute_string(rest, key, "iban")
     check = F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
     return ok, _refill(v, "A-Z0-9", F.concat(country, check, new))
