@@ -107,3 +107,11 @@ def test_long_reply_chain(spark):
     rows_ = [(1, k, "user", (f"> message number {k - 1} says something\n" if k else "") + f"message number {k} says something") for k in range(70)]
     got = quotes.thread(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")).collect()
     assert all(r.root == 0 and r.place == r.turn for r in got)
+
+
+def test_replies_to_one_message_in_blocks(spark, monkeypatch):
+    """Many replies to one message stay in turn order across blocks of turns, some of them empty."""
+    monkeypatch.setattr(quotes, "BLOCK", 4)
+    rows_ = [(1, 0, "user", "the first message of them all")] + [(1, k, "user", f"> the first message of them all\nanswer {k}") for k in (1, 2, 3, 5, 17, 18, 40, 41)]
+    got = quotes.thread(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")).orderBy("place").collect()
+    assert [r.turn for r in got] == [0, 1, 2, 3, 5, 17, 18, 40, 41] and all(r.root == 0 for r in got)

@@ -20,6 +20,8 @@ QUOTE = r"^[ \t]*>"
 ATTRIBUTION = r"(?i)^[ \t]*(on|am|le|el) .{0,200} (wrote|schrieb|écrit|escribió).{0,80}:[ \t]*$"
 #: A line is looked up by itself if it has at least this many words.
 LINE_WORDS = 4
+#: Turns of a block of replies to one message.
+BLOCK = 4096
 
 
 def normal(text: Column) -> Column:
@@ -78,11 +80,24 @@ def _doubled(state: DataFrame, rounds_on: str, jump) -> DataFrame:
     return state
 
 
+def _siblings(parents: DataFrame) -> DataFrame:
+    """parents with ``sibling``, the next turn of the same parent. A message may have any number of replies, so they are
+    put in order within blocks of turns; the last of a block is followed by the first of the next block that has one."""
+    block = F.floor(F.col("turn") / BLOCK)
+    reply = parents.where("parent is not null").withColumn("block", block)
+    inside = reply.withColumn("sibling", F.lead("turn").over(Window.partitionBy("conv", "parent", "block").orderBy("turn")))
+    first = reply.groupBy("conv", "parent", "block").agg(F.min("turn").alias("first"))
+    order = Window.partitionBy("conv", "parent").orderBy("block")
+    after = first.select("conv", "parent", "block", F.lead("first").over(order).alias("after"))
+    both = inside.join(after, ["conv", "parent", "block"]).select("conv", "turn", "parent", F.coalesce("sibling", "after").alias("sibling"))
+    root = parents.where("parent is null")
+    return both.unionByName(root.withColumn("sibling", F.lit(None).cast(parents.schema["turn"].dataType)))
+
+
 def reply_order(parents: DataFrame) -> DataFrame:
     """(conv, turn, root, place) for each message of parents (conv, turn, parent): the first message of its tree, and its
     place in the tree's depth-first order, siblings by turn. parent < turn; null for roots."""
-    family = Window.partitionBy("conv", "parent").orderBy("turn")
-    node = saved(parents.select("conv", "turn", "parent", F.when(F.col("parent").isNotNull(), F.lead("turn").over(family)).alias("sibling")))
+    node = saved(_siblings(parents))
     root = _doubled(node.select("conv", "turn", F.col("parent").alias("to"), F.coalesce("parent", "turn").alias("root")), "to is not null", lambda s: s.select("conv", "turn", F.col("ahead.to").alias("to"), F.coalesce("ahead.root", "root").alias("root")))
     # behind a message without further children comes the next sibling of the nearest message above that has one
     up = node.select("conv", "turn", F.coalesce("sibling", "parent").alias("to"), (F.col("sibling").isNull() & F.col("parent").isNotNull()).alias("open"))
