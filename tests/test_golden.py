@@ -251,8 +251,22 @@ def test_broken_catalog_is_an_error(spark, tmp_path):
         catalogs.read_dem_catalog(spark, str(tmp_path / "bad.parquet")).count()
 
 
-def test_no_cartesian_products(spark, data):
-    from tilelake.plans.q_imagery import job_resolve_imagery
-
-    plan = job_resolve_imagery(spark, data)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Cross" not in plan and "Inner, ((cx" in plan.replace("(cx#", "(cx") or "cx" in plan
+def test_boxes_meet_once(spark):
+    """Boxes over many cells, points and touching edges, against brute force; null boxes meet none."""
+    import random
+
+    rng = random.Random(3)
+    rows = lambda n: [(k, x := rng.randint(-12, 12) / 4, y := rng.randint(-12, 12) / 4, x + rng.randint(0, 9) / 4, y + rng.randint(0, 9) / 4) for k in range(n)]
+    a, b = rows(60), rows(60)
+    left = spark.createDataFrame([*a, (60, None, 0.0, 1.0, 1.0)], "i int, w double, s double, e double, n double")
+    right = spark.createDataFrame(b, "j int, x0 double, y0 double, x1 double, y1 double")
+    got = [(r.i, r.j) for r in geometry.join_boxes(left, right, tuple("wsen"), ("x0", "y0", "x1", "y1")).collect()]
+    want = [(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2]]
+    assert sorted(got) == sorted(want)
+
+
+def test_numbers_across_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v")).repartition(7)
+    got = catalogs.numbered(rows, "v", "fid").orderBy("v").collect()
+    assert [r.fid for r in got] == list(range(1, 5001))
+    assert catalogs.numbered(rows.limit(0), "v", "fid").count() == 0

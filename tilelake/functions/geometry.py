@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,23 @@ def bbox_meets(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column
     return (a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1])
 
 
+def join_boxes(left: DataFrame, right: DataFrame, a: tuple[str, str, str, str], b: tuple[str, str, str, str], cell: float = 1.0) -> DataFrame:
+    """Rows of left and right whose boxes (columns xmin, ymin, xmax, ymax of each) meet, touching included. Both are
+    spread over the cells of a grid and joined on equal cells; a pair is kept in the cell of the lower left corner that
+    its boxes have in common, so it comes once. Null boxes meet none."""
+    at = lambda v: F.floor(v / cell)
+
+    def spread(df: DataFrame, box: tuple[str, str, str, str]) -> DataFrame:
+        w, s, e, n = (at(F.col(c)) for c in box)
+        ok = df.where((F.col(box[0]) <= F.col(box[2])) & (F.col(box[1]) <= F.col(box[3])))
+        return ok.withColumn("_cx", F.explode(F.sequence(w, e))).withColumn("_cy", F.explode(F.sequence(s, n)))
+
+    own = [(F.col(x), F.col(y)) for x, y in zip(a, b, strict=True)]
+    here = (F.col("_cx") == at(F.greatest(*own[0]))) & (F.col("_cy") == at(F.greatest(*own[1])))
+    meets = bbox_meets(tuple(F.col(c) for c in a), tuple(F.col(c) for c in b))
+    return spread(left, a).join(spread(right, b), ["_cx", "_cy"]).where(meets & here).drop("_cx", "_cy")
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 

@@ -55,11 +55,9 @@ def with_box(tiles: DataFrame) -> DataFrame:
 
 
 def region_prune(tiles: DataFrame, extents: DataFrame) -> DataFrame:
-    """(z, x, y, region): the regions whose extent meets the tile; touching counts. There are about as many regions as
-    states; Spark broadcasts them if they are small."""
+    """(z, x, y, region): the regions whose extent meets the tile; touching counts."""
     t = with_box(tiles.select("z", "x", "y"))
-    meets = geometry.bbox_meets(tuple(F.col(c) for c in "wsen"), tuple(F.col(c) for c in ("rxmin", "rymin", "rxmax", "rymax")))
-    return t.join(extents, meets).select("z", "x", "y", "region")
+    return geometry.join_boxes(t, extents, tuple("wsen"), ("rxmin", "rymin", "rxmax", "rymax")).select("z", "x", "y", "region")
 
 
 def newest_vintage(items: DataFrame, year: int) -> DataFrame:

@@ -140,8 +140,7 @@ def manifest_prune(spark, sf_dir):
 def tiles_x_manifest(spark, sf_dir):
     """How many tiles ask for each file."""
     t, m = imagery.with_box(_asking(spark, sf_dir)), _manifest(spark, sf_dir)
-    pairs = t.join(m, (F.col("bbox_xmin") <= F.col("e")) & (F.col("bbox_xmax") >= F.col("w")) & (F.col("bbox_ymin") <= F.col("n")) & (F.col("bbox_ymax") >= F.col("s")))
-    return pairs.groupBy("file").agg(F.count("*").alias("tiles"))
+    return catalogs.tiles_x_manifest(t, m).groupBy("file").agg(F.count("*").alias("tiles"))
 
 
 def _asking(spark, sf_dir) -> DataFrame:
@@ -223,6 +222,12 @@ _bx = sql.box("14", "x", "y")
 _MAN = "SELECT 'lake/part-' || (CAST(id AS BIGINT) % 50) AS file, min(cx - hw) AS x0, max(cx + hw) AS x1, min(cy - hh) AS y0, max(cy + hh) AS y1 FROM fx_buildings GROUP BY 1"
 _ASK = f"SELECT DISTINCT x, y, {_bx[0]} AS w, {_bx[1]} AS s, {_bx[2]} AS e, {_bx[3]} AS n FROM rec"
 _M = sql.with_("fx_buildings", shapes=_PTS, pt=_PT, rec=_REC, man=_MAN, ask=_ASK)
+#: The shapes against a box (w, s, e, n): an L is two rectangles, a donut meets no box inside its hole.
+_rect = lambda x0, y0, x1, y1: f"(cx + hw * ({x0}) <= e AND cx + hw * ({x1}) >= w AND cy + hh * ({y0}) <= n AND cy + hh * ({y1}) >= s)"
+_HOLE = "(w > cx - hw * 0.5e0 AND e < cx + hw * 0.5e0 AND s > cy - hh * 0.5e0 AND n < cy + hh * 0.5e0)"
+_MEETS = f"CASE shape WHEN 'L' THEN {_rect(-1, -1, 1, 0)} OR {_rect(-1, 0, 0, 1)} WHEN 'donut' THEN {_rect(-1, -1, 1, 1)} AND NOT {_HOLE} ELSE {_rect(-1, -1, 1, 1)} END"
+_SPREAD = f"""SELECT *, unnest(range({sql.ty(sql.my('cy + hh'), '14')} - 1, {sql.ty(sql.my('cy - hh'), '14')} + 2))::INT AS y FROM (
+  SELECT *, unnest(range({sql.tx(sql.mx('cx - hw'), '14')} - 1, {sql.tx(sql.mx('cx + hw'), '14')} + 2))::INT AS x FROM fx_buildings) a"""
 
 QUERIES = {
     "building_height": (building_height, sql.with_("fx_buildings") + f"SELECT id, {_H} AS height FROM fx_buildings"),
@@ -230,8 +235,8 @@ QUERIES = {
     "classify_rings": (classify_rings, sql.with_("fx_buildings") + "SELECT id, 1 AS polygons, CASE WHEN shape = 'donut' THEN 2 ELSE 1 END AS rings FROM fx_buildings"),
     "units_to_metres": (units_to_metres, None),
     "building_record": (building_record, _B + f"SELECT r.id, x, y, {_H} AS height, round(r.cx, 2) AS cx, round(r.cy, 2) AS cy, round(xmin, 2) AS xmin, round(ymax, 2) AS ymax FROM rec r JOIN fx_buildings b USING (id)"),
-    "tiles_x_buildings": (tiles_x_buildings, None),
-    "intersects_polygon": (intersects_polygon, None),
+    "tiles_x_buildings": (tiles_x_buildings, sql.with_("fx_buildings", spread=_SPREAD, boxed=f"SELECT *, {_bx[0]} AS w, {_bx[1]} AS s, {_bx[2]} AS e, {_bx[3]} AS n FROM spread") + f"SELECT 14 AS z, x, y, id FROM boxed WHERE {_MEETS}"),
+    "intersects_polygon": (intersects_polygon, sql.with_("fx_buildings", boxed="SELECT *, -74.19e0 AS w, 40.66e0 AS s, -74.15e0 AS e, 40.70e0 AS n FROM fx_buildings") + f"SELECT id FROM boxed WHERE {_MEETS}"),
     "mvt_quantize": (mvt_quantize, None),
     "clip_ring": (clip_ring, None),
     "wall_owner_join": (wall_owner_join, _B + _wall(18)),

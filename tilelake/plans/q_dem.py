@@ -120,14 +120,25 @@ def job_build_dem_catalog(spark, sf_dir):
     return catalogs.read_dem_catalog(spark, path).select("fid", "dataset")
 
 
-def job_coverage_geojson(spark, sf_dir):
-    """Features of the catalogue, written as collections and read back: (type, features, bytes are the reader's)."""
+def _coverage(spark, sf_dir) -> DataFrame:
+    """Features of the catalogue, written as collections and read back."""
     own = dem.newest_per_location(listing(spark, sf_dir))
     both = dem.coverage_union(dem.coverage_features(own, "s1m"), dem.coverage_features(_part(own, 2), "usgs13"))
     path = scratch.new_folder(spark, "coverage")
     catalogs.write_coverage_geojson(both.select("dataset", "href", "type", dem.feature_json(F.col("ring")).alias("feature")), path)
-    back = spark.read.schema("value string, type string").text(path)
-    return back.select("type", F.size(F.from_json("value", "features array<struct<type:string>>")["features"]).cast("long").alias("features"))
+    return catalogs.read_coverage_geojson(spark, path)
+
+
+def write_coverage_geojson(spark, sf_dir):
+    """Corners of the rings that the collections hold."""
+    ring = F.posexplode(F.get("feature.geometry.coordinates", F.lit(0)))
+    c = _coverage(spark, sf_dir).select("type", F.col("feature.properties.dataset").alias("dataset"), ring.alias("k", "p"))
+    return c.select("type", "dataset", "k", F.get("p", F.lit(0)).alias("lon"), F.get("p", F.lit(1)).alias("lat"))
+
+
+def job_coverage_geojson(spark, sf_dir):
+    """(type, features) of the collections."""
+    return _coverage(spark, sf_dir).groupBy("type").agg(F.count("*").alias("features"))
 
 
 NAME = r"(n\d+[ew]\d+)_(\d{8})\.tif$"
@@ -188,6 +199,12 @@ QUERIES = {
     "write_dem_catalog": (write_dem_catalog, _S + "SELECT row_number() OVER (ORDER BY dataset) AS fid, dataset, xmin AS bbox_xmin, xmax AS bbox_xmax, ymin AS bbox_ymin, ymax AS bbox_ymax FROM newest"),
     "read_dem_catalog": (read_dem_catalog, _S + "SELECT dataset FROM newest WHERE xmin <= -1050000 AND ymax >= 1510000"),
     "job_build_dem_catalog": (job_build_dem_catalog, _S + "SELECT row_number() OVER (ORDER BY dataset) AS fid, dataset FROM cur"),
+    "write_coverage_geojson": (
+        write_coverage_geojson,
+        sql.with_("fx_dem_listing", newest=_newest("fx_dem_listing"), rings=_rings("newest"), centre=_CENTRE)
+        + f"""SELECT type, dataset, CAST(j AS INT) AS k, round(lon, 5) AS lon, round(lat, 5) AS lat FROM (SELECT *, k AS j FROM rings UNION ALL SELECT *, 4 FROM rings WHERE k = 0) r
+  JOIN (SELECT dataset, 's1m' AS type FROM centre WHERE {_IN} UNION ALL SELECT dataset, 'usgs13' FROM centre WHERE {_IN} AND {_key} % 2 <> 0) t USING (dataset)""",
+    ),
     "job_coverage_geojson": (
         job_coverage_geojson,
         sql.with_("fx_dem_listing", newest=_newest("fx_dem_listing"), rings=_rings("newest"), centre=_CENTRE)

@@ -10,7 +10,7 @@ from tilelake.operators import imagery as im
 from tilelake.operators import validate
 from tilelake.plans import sql
 from tilelake.plans.q_tiles import tiles
-from tilelake.sources import fixtures
+from tilelake.sources import catalogs, fixtures, scratch
 
 YEAR = 2000
 BUCKET = "naip-visualization"
@@ -22,6 +22,25 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.withColumn("href", im.asset_href(F.col("assets"))).withColumn("gsd", im.asset_gsd(F.col("properties")))
 
 
+def _catalogue(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a catalogue written from the items."""
+    path = scratch.new_folder(spark, "imagery")
+    own = fixtures.imagery(spark, sf_dir).withColumn("collection", F.lit("naip"))
+    catalogs.write_imagery_catalog(own.select("id", "ring", "xmin", "ymin", "xmax", "ymax", "properties", "assets", "collection", "region", "year"), path)
+    return path
+
+
+def read_imagery_catalog(spark, sf_dir):
+    """Two regions of the catalogue; the folders of the others are not read."""
+    return catalogs.read_imagery_catalog(spark, _catalogue(spark, sf_dir), "naip", ["nj", "ca"]).select("id", "region", "year", "properties")
+
+
+def read_listing(spark, sf_dir):
+    """Folders of a catalogue, from the listing of its files."""
+    files = catalogs.read_listing(spark, _catalogue(spark, sf_dir), ".parquet")
+    return files.select(F.regexp_replace("dataset", "/[^/]*$", "").alias("folder")).distinct()
+
+
 def asset_href(spark, sf_dir):
     return items(spark, sf_dir).select("id", "href")
 
@@ -126,6 +145,8 @@ _BUCKET = "regexp_extract(href, 's3://([^/]+)', 1)"
 _PAID = "('naip-analytic', 'naip-visualization', 'naip-stac-catalog')"
 
 QUERIES = {
+    "read_imagery_catalog": (read_imagery_catalog, _I + "SELECT id, region, year, properties FROM items WHERE region IN ('nj', 'ca')"),
+    "read_listing": (read_listing, _I + "SELECT DISTINCT 'collection=naip/region=' || region || '/year=' || year AS folder FROM items"),
     "asset_href": (asset_href, _I + "SELECT id, href FROM items"),
     "asset_gsd": (asset_gsd, _I + "SELECT id, gsd FROM items"),
     "href_bucket": (href_bucket, _I + f"SELECT id, {_BUCKET} AS bucket FROM items"),

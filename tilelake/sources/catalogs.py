@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilelake.functions import geometry
 from tilelake.functions import tilemath as tm
+from tilelake.sources import scratch
 
 IMAGERY = "id string, ring array<struct<x:double,y:double>>, xmin double, ymin double, xmax double, ymax double, properties string, assets string, collection string, region string, year int"
 DEM = "fid bigint, dataset string, bbox_xmin double, bbox_xmax double, bbox_ymin double, bbox_ymax double"
@@ -34,11 +36,21 @@ def read_dem_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dem_catalog(items: DataFrame, path: str) -> None:
-    """fid counts from 1 in order of dataset. A catalogue has one row for each 10 km cell of land, under two million for
-    the whole earth, which is what the one sorted partition of the numbering holds."""
-    fid = F.row_number().over(Window.orderBy("dataset")).cast("bigint")
-    rows = items.select(fid.alias("fid"), "dataset", *[F.col(c).alias(f"bbox_{c}") for c in ("xmin", "xmax", "ymin", "ymax")])
-    rows.coalesce(1).sortWithinPartitions("bbox_ymin", "bbox_xmin").write.option("parquet.block.size", CATALOG_GROUP).parquet(path)
+    """fid counts from 1 in order of dataset. Files and row groups lie in order of the box's lower left corner, so their
+    box columns prune."""
+    rows = numbered(items.select("dataset", *[F.col(c).alias(f"bbox_{c}") for c in ("xmin", "xmax", "ymin", "ymax")]), "dataset", "fid")
+    near = rows.select("fid", "dataset", "bbox_xmin", "bbox_xmax", "bbox_ymin", "bbox_ymax").repartitionByRange("bbox_ymin", "bbox_xmin")
+    near.sortWithinPartitions("bbox_ymin", "bbox_xmin").write.option("parquet.block.size", CATALOG_GROUP).parquet(path)
+
+
+def numbered(rows: DataFrame, by: str, out: str) -> DataFrame:
+    """rows with their number from 1 in order of ``by``. The rows are dealt by range and numbered within each range; what
+    lies before a range comes from one count for each, so no task holds all rows."""
+    dealt = scratch.written(rows.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    return dealt.withColumn("_place", place).join(before, "_range").withColumn(out, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
 
 
 def read_listing(spark: SparkSession, root: str, suffix: str = ".tif") -> DataFrame:
@@ -48,13 +60,13 @@ def read_listing(spark: SparkSession, root: str, suffix: str = ".tif") -> DataFr
 
 
 def manifest_prune(tiles: DataFrame, manifest: DataFrame, scheme: str = "") -> DataFrame:
-    """(file) once each: files whose box meets one of the tiles' boxes (w, s, e, n); a scheme goes before the name. The
-    manifest is cut to grid cells, so the join is one of equal cells."""
-    cell = lambda lo, hi: F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int"))  # noqa: E731  whole degrees
-    spread = lambda df, w, s, e, n: df.withColumn("cx", F.explode(cell(F.col(w), F.col(e)))).withColumn("cy", F.explode(cell(F.col(s), F.col(n))))
-    pairs = spread(tiles, "w", "s", "e", "n").join(spread(manifest, "bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax"), ["cx", "cy"])
-    apart = (F.col("bbox_xmax") < F.col("w")) | (F.col("bbox_xmin") > F.col("e")) | (F.col("bbox_ymax") < F.col("s")) | (F.col("bbox_ymin") > F.col("n"))
-    return pairs.where(~apart).select(F.concat(F.lit(scheme), "file").alias("file")).distinct()
+    """(file) once each: files whose box meets one of the tiles' boxes (w, s, e, n); a scheme goes before the name."""
+    return tiles_x_manifest(tiles, manifest).select(F.concat(F.lit(scheme), "file").alias("file")).distinct()
+
+
+def tiles_x_manifest(tiles: DataFrame, manifest: DataFrame) -> DataFrame:
+    """tiles with boxes (w, s, e, n), joined to the files whose box meets them."""
+    return geometry.join_boxes(tiles, manifest, tuple("wsen"), ("bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax"))
 
 
 def read_buildings(spark: SparkSession, files: list[str], box: tuple[float, float, float, float]) -> DataFrame:
@@ -66,11 +78,20 @@ def read_buildings(spark: SparkSession, files: list[str], box: tuple[float, floa
 
 
 def write_coverage_geojson(features: DataFrame, root: str) -> None:
-    """One gzip FeatureCollection for each type, features in order of dataset. features: (dataset, href, type, feature)
-    with feature as JSON text; a collection holds one type's catalogue, some ten thousand features."""
-    rows = features.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("dataset", "feature"))).alias("f"))
-    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}"))
-    rows.select("type", text.alias("value")).write.option("compression", "gzip").partitionBy("type").text(root)
+    """One gzip FeatureCollection for each type, features in order of dataset, one on each line. features: (dataset, href,
+    type, feature) with feature as JSON text. A type is one file, as its readers expect; its rows are sorted, which can
+    spill, and written one by one."""
+    order = Window.partitionBy("type").orderBy("dataset", "feature")
+    head = F.when(F.row_number().over(order) == 1, '{"type":"FeatureCollection","features":[').otherwise(",")
+    tail = F.when(F.lead(F.lit(True)).over(order).isNull(), "]}").otherwise("")
+    features.select("type", F.concat(head, "feature", tail).alias("value")).write.option("compression", "gzip").partitionBy("type").text(root)
+
+
+def read_coverage_geojson(spark: SparkSession, root: str) -> DataFrame:
+    """(type, feature) of the collections under a folder, feature with its properties and rings."""
+    feature = "struct<type:string,properties:struct<dataset:string,href:string,type:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>"
+    whole = spark.read.schema("value string, type string").text(root, wholetext=True)
+    return whole.select("type", F.explode(F.from_json("value", f"type string, features array<{feature}>")["features"]).alias("feature"))
 
 
 def write_tile_table(tiles: DataFrame, root: str) -> None:
