@@ -121,9 +121,10 @@ def seat_building(spark, sf_dir):
 
 
 def _ground(spark, sf_dir, owned: DataFrame) -> DataFrame:
-    """A raster for each target tile: the one whose number its place gives."""
-    r = fixtures.rasters(spark, sf_dir).select("rank", "size", F.transform("pixels", lambda p: F.when(p != -999999.0, p)).alias("pixels")).where("rank < 500")
-    t = owned.select(F.col("tz").alias("z"), F.col("tx").alias("x"), F.col("ty").alias("y")).distinct().withColumn("rank", ((F.col("x") * 31 + F.col("y")) % 500).cast("long"))
+    """A raster for each target tile: the one whose number its place gives, of all there are."""
+    r = fixtures.rasters(spark, sf_dir).select("rank", "size", F.transform("pixels", lambda p: F.when(p != -999999.0, p)).alias("pixels"))
+    n = max(1, r.count())
+    t = owned.select(F.col("tz").alias("z"), F.col("tx").alias("x"), F.col("ty").alias("y")).distinct().withColumn("rank", ((F.col("x") * 31 + F.col("y")) % n).cast("long"))
     return t.join(r, "rank")
 
 
