@@ -127,6 +127,24 @@ def test_invalid_values_stay(spark):
     assert all(r.text == t and not r.found for r, t in zip(found(spark, "k", *texts), texts, strict=True))
 
 
+def test_values_before_other_tokens(spark):
+    """Codes, years, amounts and further numbers after a value are no part of it."""
+    ibans = ["AT61 1904 3002 3457 3201", "ES9121000418450200051332", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466", "RO49 AAAA 1B31 0075 9384 0000", "CZ65 0800 0000 1920 0014 5399", "DE89 3704 0044 0532 0130 00", "NO9386011117947"]
+    texts = [f"pay {v} {after}" for v in ibans for after in ("EUR 500", "BIC", "2020", "AT61 1904 3002 3457 3201")]
+    for t, r in zip(texts, found(spark, "k", *texts), strict=True):
+        assert [x.kind for x in r.found] == ["iban"] * (2 if t.count("AT61") > t.startswith("pay AT61") else 1) and r.text.split()[1:] != t.split()[1:], t
+        assert t.endswith("3201") or r.text.split()[-1] == t.split()[-1]
+    tails = {
+        "+1 (017) 555-7713": ["2020 12", "2020", "4111 1111 1111 1111"], "+44 20 7946 0958": ["2020", "2020 12 500", "2020-01-05", "078-05-1120", "4111 1111 1111 1111"],
+        "+44 (20) 7946 0958 12": ["2020 55", "2020"], "+1 212 555 0199": ["05/06/2020", "1000"], "+49 30 1234 5678": ["5000 5000"],
+    }
+    cases = [(v, after) for v, some in tails.items() for after in some]
+    for (v, after), r in zip(cases, found(spark, "k", *[f"call {v} {after}" for v, after in cases]), strict=True):
+        assert r.found and r.found[0].kind == "phone" and v not in r.text, (v, after)
+        second = {"2020-01-05": "date", "05/06/2020": "date", "078-05-1120": "ssn", "4111 1111 1111 1111": "card"}.get(after)
+        assert [x.kind for x in r.found[1:]] == ([second] if second else []), (v, after)
+
+
 def test_permutations_are_injective(spark):
     n = spark.range(73049)
     k = F.lit("k")

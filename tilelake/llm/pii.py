@@ -17,14 +17,48 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Lengths of IBANs and the countries that have them.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A country's IBAN has its length, so that words after it are no part; other letters take what may be one."""
+    of = lambda names: "(?:" + names.replace(" ", "|") + ")"
+    tail = lambda n: f"(?: ?[A-Z0-9]{{{n}}})" if n else ""
+    known = [f"{of(c)}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}{tail(n % 4)}" for n, c in IBANS.items()]
+    other = f"(?!{of(' '.join(IBANS.values()))})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return f"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
+def _phone_pattern() -> str:
+    """Numbers with + have at most 15 digits: +1 by its groups, others as many groups of 2 to 4 as fit; if that gives a number,
+    without a card's groups and not ending inside of a date or another number with signs."""
+    two = r"[0-9]{2,4}[ .\-][0-9]{2,4}(?![0-9A-Za-z])"
+
+    def free(unless: str) -> str:
+        more = lambda least, most: rf"(?:(?:[ .\-]{unless}(?=[0-9]{{2,4}}(?![0-9A-Za-z])))?[0-9]){{{max(least, 1)},{most}}}"
+        plain = rf"(?=\+[1-9][0-9]{{0,2}}[ .\-]?{two})\+[1-9]{more(7, 14)}"
+        area = [rf"\+[1-9][0-9]{{{c - 1}}}[ .\-]?\([0-9]{{{a}}}\)[ .\-]?(?={two})[0-9]{more(7 - c - a, 14 - c - a)}" for c in (1, 2, 3) for a in (1, 2, 3, 4)]
+        return "(?:" + "|".join([plain, *area]) + ")"
+
+    card = r"(?![0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9A-Za-z]|[ \-][0-9]{4}(?![0-9A-Za-z])))"
+    one = r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-][0-9]{4}"
+    rest = r"\+[1-9][0-9]{7,14}|\([2-9][0-9]{2}\) ?[0-9]{3}[ .\-][0-9]{4}|[2-9][0-9]{2}[.\-][2-9][0-9]{2}[.\-][0-9]{4}"
+    return rf"(?<![0-9A-Za-z+])(?:{one}|{free(card)}(?![0-9A-Za-z]|[./\-][0-9])|{free("")}|{rest})(?![0-9A-Za-z])"
+
+
 #: Formats in the order in which they are looked for: pattern of the whole value, with what may not stand beside it.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "date": r"(?<![0-9/.\-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2})(?![0-9/\-])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-][0-9]{2,4}){1,4}|\+[1-9][0-9]{7,14}|\([2-9][0-9]{2}\) ?[0-9]{3}[ .\-][0-9]{4}|[2-9][0-9]{2}[.\-][2-9][0-9]{2}[.\-][0-9]{4})(?![0-9A-Za-z])",
+    "phone": _phone_pattern(),
     "card": r"(?<![0-9A-Za-z\-])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])",
 }
 PATTERN = "|".join(FORMATS.values())
