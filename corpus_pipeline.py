@@ -24,12 +24,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of least doc_id, and one row of equal ones. Documents without
-    words are no duplicates of others, but equal rows of them are."""
-    classes = neardup.near_duplicates(docs).where("class_id is null or doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(classes, docs["doc_id"].eqNullSafe(classes["_id"]), "left_semi")
-    first = stay.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
-    return first.select("doc_id", "_row.*").select(*docs.columns)
+    """One document of each class of near-duplicates: that of least doc_id, null after all others. Rows are told apart by
+    all their columns, not by doc_id: other texts under one doc_id and rows without one take part for themselves, equal
+    rows are one. Documents without words are no duplicates of others, but equal rows of them are."""
+    rows = docs.withColumn("_row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    classes = neardup.near_duplicates(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "class_id").distinct()
+    named = rows.select("_row", "doc_id").distinct().join(classes, "_row")
+    least = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_least")).select("_least._row")
+    return rows.join(least, "_row", "left_semi").drop("_row").dropDuplicates()
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

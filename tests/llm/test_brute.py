@@ -367,3 +367,16 @@ def test_pipeline_stages_take_odd_rows(spark, data, odd, empty):
         assert out.columns == odd.columns and out.count() <= odd.count()
         assert stage(spark, empty, data).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, odd, data).count() == odd.count()
+
+
+def test_pipeline_tells_rows_apart_by_all_columns(spark, odd, data):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(30))
+    rows = [
+        (None, text("a"), "en", "s", 1), (None, text("b"), "en", "s", 1), (None, text("b"), "en", "s", 1), (None, None, "en", "s", 1), (7, text("c"), "en", "s", 1), (7, text("d"), "en", "s", 1),
+        (7, None, "en", "s", 1), (9, text("c"), "en", "s", 1), (None, text("d"), "en", "s", 1), (3, text("e"), "x", None, 1), (3, text("e"), None, "x", 1), (2, text("e"), "en", "s", 1), (5, "", "en", "s", 0), (6, "", "en", "s", 0),
+    ]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, odd.schema), data).collect()
+    want = [(None, text("a")), (None, text("b")), (None, None), (7, text("c")), (7, text("d")), (7, None), (2, text("e")), (5, ""), (6, "")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
