@@ -5,8 +5,10 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -183,18 +185,42 @@ def test_signatures_estimate_weighted_jaccard(most):
     assert abs((sig[::2] == sig[1::2]).mean() - j) < 4 * (j * (1 - j) / (60 * neardup.M)) ** 0.5
 
 
-def test_large_family(spark):
-    """A family beyond the block size, whose least id is near to no other; all others hang together."""
+def test_pairs_of_mixed_buckets_are_met_in_their_first_band():
+    """Each of 4000 pairs at similarity 0.8 or a little more is met in exactly one of the buckets that it shares."""
+    rng = np.random.default_rng(8)
+    both, one = rng.integers(1, 1 << 62, (4000, 160), dtype=np.uint64), rng.integers(1, 1 << 62, (8000, 20), dtype=np.uint64)
+    h = np.concatenate([np.repeat(both, 2, axis=0), one], axis=1)
+    sig = neardup.bag_min_hash(np.repeat(np.arange(8000), 180), h.ravel(), np.ones(h.size, np.int64), 8000)
+    bands, tags = neardup.bands_of(sig), neardup.short(sig)
+    shared = bands[::2] == bands[1::2]
+    assert shared.any(axis=1).mean() > 0.999
+    assert ((tags[::2] == tags[1::2]) == (sig[::2] == sig[1::2])).mean() > 0.99995
+    met = np.zeros(4000, int)
+    for b in range(neardup.BANDS):
+        pairs = np.flatnonzero(shared[:, b])
+        for lo in range(0, len(pairs), 64):
+            t = np.concatenate([2 * pairs[lo : lo + 64], 2 * pairs[lo : lo + 64] + 1])
+            frame = pd.DataFrame({"key": 0, "i": 0, "j": 0, "side": 0, "id": t, "c": t, "n": 180, "band": b, "sig": [x.tobytes() for x in tags[t]], "bands": list(bands[t])})
+            np.add.at(met, neardup._possible(frame)["id"].to_numpy() // 2, 1)
+    met //= 2
+    assert (met[shared.any(axis=1)] == 1).all()
+
+
+@pytest.mark.parametrize(("rounds", "block"), [(2, 32)])
+def test_large_family(spark, monkeypatch, rounds, block):
+    """A family beyond the block size, whose least ids are near to no other; the others hang together or fall apart."""
     rnd = random.Random(4)
     base = [f"word{k}" for k in range(120)]
-    texts = [(0, " ".join(base[:60]))]
-    for k in range(1, 700):
+    texts = [(k, " ".join(base[:60] + [f"x{k}"] * k)) for k in range(3)]
+    for k in range(3, 90):
         t = list(base)
-        for _ in range(2):
+        for _ in range(2 if k % 3 else 4):
             t[rnd.randrange(120)] = f"new{k}"
         texts.append((k, " ".join(t)))
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts}
+    sets = {k: {(*t.split()[i : i + 5], t.split()[:i].count(t.split()[i])) for i in range(len(t.split()) - 4)} for k, t in texts}
     root = {k: k for k, _ in texts}
 
     def top(x):
@@ -364,8 +390,13 @@ def test_pipeline_stages_take_odd_rows(spark, data, odd, empty):
 
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, data)
-        assert out.columns == odd.columns and out.count() <= odd.count()
+        assert out.columns == odd.columns
         assert stage(spark, empty, data).count() == 0
+        every = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in odd.collect())
+        got = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in out.collect())
+        assert got <= every
+        if stage is not corpus_pipeline.quality_rules:
+            assert all(x[0] == 7 for x in (every - got)) and (not every - got or stage is corpus_pipeline.near_duplicates)
     assert corpus_pipeline.STAGES[-1][1](spark, odd, data).count() == odd.count()
 
 

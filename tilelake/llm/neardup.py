@@ -9,10 +9,12 @@ identity of the least point of each register is the signature, and two registers
 weighted Jaccard similarity of the two multisets.
 
 Candidates share a band of registers. Texts of equal words are one text from the start. In each bucket every text is
-verified against the bucket's least id, and links are closed to components. Where a bucket still holds more than one
-component, all its texts are compared with each other, in blocks of bounded size: first by signature, each pair only in
-the first band that it shares, then the texts that have a possible partner by exact overlap. A block gives at most one
-link for each text, so a group of any size gives as many rows as it has texts in its buckets.
+verified against the bucket's least id, its head, and links are closed to components; then the texts outside the
+bucket's largest component are verified against a head of their own, and so on for ``ROUNDS`` rounds. Each round gives as
+many pairs as there are texts. Where a bucket still holds more than one component, the texts of its largest component
+are compared with the others, and the others with each other, in blocks of bounded size: first by signature, each pair
+only in the first band whose whole keys are equal, then the texts that have a possible partner by exact overlap. Heads
+are left out, as they have met everyone. A block gives at most one link for each text.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from tilelake.llm.words import Words, grams, mix, words
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 SHINGLE, LEAST = 5, 0.8
-#: Texts of a block of a bucket.
-BLOCK = 512
+#: Texts of a block of a bucket, and shingles of a block at most, but for a text that has more by itself.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Heads of a bucket that all its texts are verified against before blocks are made.
+ROUNDS = 2
 #: Standard deviations of the signature's estimate below LEAST at which a pair is ruled out.
-SLACK = 4.5
+SLACK = 5.5
 
 _C = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +122,11 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def short(sig: np.ndarray) -> np.ndarray:
+    """16 bits of each register. A register's lowest bits only say which one it is, so they are no news."""
+    return ((sig >> np.uint64(7)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
 def _sign(it):
     for b in it:
         ids, parts = b.column(0), []
@@ -133,14 +142,14 @@ def _sign(it):
             for c in (_C[0], _C[1]):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(place + c)), dtype=np.uint64)])
                 key.append(mix(total[w.first[1:]] - total[w.first[:-1]] + np.diff(w.first).astype(np.uint64)).view(np.int64))
-            parts.append((n, *key, (sig & np.uint64(0xFFFF)).astype(np.uint16), bands_of(sig)))
+            parts.append((n, *key, short(sig), bands_of(sig)))
         if not parts:
             continue
-        n, k1, k2, short, bands = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n, k1, k2, tags, bands = (np.concatenate(x) for x in zip(*parts, strict=True))
         some = n > 0
         lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n), pa.array(k1), pa.array(k2), pa.array([x.tobytes() for x in short], pa.binary()), lists.filter(pa.array(some)) if some.all() else pa.array([x if y else [] for x, y in zip(lists.to_pylist(), some, strict=True)], pa.list_(pa.int64()))],
+            [ids, pa.array(n), pa.array(k1), pa.array(k2), pa.array([x.tobytes() for x in tags], pa.binary()), lists.filter(pa.array(some)) if some.all() else pa.array([x if y else [] for x, y in zip(lists.to_pylist(), some, strict=True)], pa.list_(pa.int64()))],
             names=["id", "n", "k1", "k2", "sig", "bands"],
         )
 
@@ -167,18 +176,28 @@ def _similar(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verify(it):
-    for b in it:
-        first: dict = {}
-        members = units(b.column(3))
+    """Links of the texts that follow a head's row (text of a, b null) in a partition that is sorted by (a, block, b)."""
+    head, own = None, None
+    for batch in it:
+        members = units(batch.column(2))
         keep = []
-        for k, (a, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2), strict=True)):
-            if a not in first:
-                if len(first) >= 64:
-                    first.clear()
-                first[a] = units(pa.array([text.as_py()], pa.string()))[0]
-            if _similar(first[a], members[k]) >= LEAST:
+        for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if b is None:
+                head, own = a, members[k]
+            elif a == head and _similar(own, members[k]) >= LEAST:
                 keep.append(k)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, body: DataFrame) -> DataFrame:
+    """The pairs (a, b) of similar texts. A head's text goes once to each block of its members, which are dealt out by
+    block, so a head that many texts share is no hot key."""
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    dealt = pairs.join(size, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("n_blocks")).cast("int")).select("a", "b", "block")
+    members = dealt.join(body.select(F.col("id").alias("b"), "text"), "b").select("a", "b", "text", "block")
+    heads = size.join(body.select(F.col("id").alias("a"), "text"), "a").select("a", F.lit(None).cast("long").alias("b"), "text", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    sorted_ = members.unionByName(heads).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return sorted_.select("a", "b", "text").mapInArrow(_verify, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,6 +219,7 @@ def _possible(pdf: pd.DataFrame) -> pd.DataFrame:
     """The texts of a block (or of two) that have a possible partner in another component, whose first common band is
     this bucket's."""
     sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), M)
+    bands = np.stack(pdf["bands"].to_numpy())
     n, c, side = pdf["n"].to_numpy(), pdf["c"].to_numpy(), pdf["side"].to_numpy()
     band, two = int(pdf["band"].iloc[0]), pdf["i"].iloc[0] != pdf["j"].iloc[0]
     limit = M * (LEAST - SLACK * np.sqrt(LEAST * (1 - LEAST) / M))
@@ -208,13 +228,9 @@ def _possible(pdf: pd.DataFrame) -> pd.DataFrame:
     ys = np.flatnonzero(side == 1) if two else np.arange(len(pdf))
     for x in xs:
         some = ys[(c[ys] != c[x]) & (n[ys] >= LEAST * n[x]) & (n[x] >= LEAST * n[ys])]
-        if not len(some):
-            continue
-        equal = sig[some] == sig[x]
-        some, equal = some[near := equal.sum(axis=1) >= limit], equal[near]
+        some = some[(sig[some] == sig[x]).sum(axis=1) >= limit]
         if len(some):
-            first = equal.reshape(len(some), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            some = some[first == band]
+            some = some[(bands[some] == bands[x]).argmax(axis=1) == band]
             rows[some] = True
             rows[x] |= len(some) > 0
     return pdf.loc[rows, ["key", "i", "j", "side", "id", "c"]]
@@ -262,8 +278,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     are the components of links. Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; a text of one to four
     words has one shingle of them all. Texts with equal words are in one class. Null, empty and wordless texts are in no
     class but their own, with n_shingles 0. A null doc_id has a null class. Rows with the same doc_id are one document:
-    they have one class, and a link of any of them counts. A band of four registers in 32 misses a pair at 0.8 with
-    probability 5e-8. doc_id must be a whole number. An empty table gives an empty result.
+    they have one class, and a link of any of them counts. A pair at exactly 0.8 shares no band of four registers in 32
+    with probability 5e-8; in a bucket with several components it is ruled out by its signature with probability 2e-7
+    (``SLACK``); both fall fast above 0.8. doc_id must be a whole number. An empty table gives an empty result.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = written(own.mapInArrow(_sign, "id long, n long, k1 long, k2 long, sig binary, bands array<long>"), "signed")
@@ -272,25 +289,35 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     in_band = rep.select("id", "n", F.posexplode("bands").alias("band", "key"))
     shared = in_band.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("head")).where("size > 1")
     member = saved(in_band.join(shared, "key").select("key", "band", "size", "id", "n", F.col("head.id").alias("head"), F.col("head.n").alias("head_n")))
+    body = written(own.join(member.select("id").distinct(), "id", "left_semi"), "bodies")
     fits = (F.least("n", "head_n") >= LEAST * F.greatest("n", "head_n")) & (F.col("id") != F.col("head"))
-    pairs = saved(member.where(fits).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    wanted = member.select("id").distinct()
-    body = written(own.join(wanted, "id", "left_semi"), "bodies")
-    left, right = body.select(F.col("id").alias("a"), F.col("text").alias("ta")), body.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    texts = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    links = saved(texts.mapInArrow(_verify, "a long, b long").distinct())
+    links = saved(verified(member.where(fits).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), body))
     same = components(links)
-
-    # buckets that still hold more than one component
-    named = member.where("size > 2").join(same, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
-    placed = named.select("key", "band", "id", "n", "c").join(mixed, "key").withColumn("k", F.pmod(F.xxhash64("id", "key"), F.col("n_blocks")).cast("int"))
-    placed = placed.join(rep.select("id", "sig"), "id")
-    with_other = F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j"), (F.col("k") > o).cast("int").alias("side"))))
-    blocks = placed.select("key", "band", "id", "n", "c", "sig", with_other.alias("o")).select("key", "band", "id", "n", "c", "sig", "o.*")
+    member, met = member.where("id != head").select("key", "band", "id", "n"), 1
+    while True:
+        # buckets that hold more than one component beside their heads, with the largest one
+        named = saved(member.join(same, "id", "left").withColumn("c", F.coalesce("c", "id")))
+        size = named.groupBy("key", "c").agg(F.count("*").alias("size"), F.sum("n").alias("sum_n"))
+        mixed = size.groupBy("key").agg(F.max(F.struct("size", "c", "sum_n")).alias("big"), F.sum("size").alias("size"), F.sum("sum_n").alias("sum_n")).where("size > big.size")
+        if met == ROUNDS or not mixed.limit(1).count():
+            break
+        heads = named.join(mixed.select("key", F.col("big.c").alias("big")), "key").where("c != big")
+        heads = saved(heads.groupBy("key").agg(F.min(F.struct("id", "n", "c")).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"), F.col("h.c").alias("head_c")))
+        pairs = named.join(heads, "key").where(fits & (F.col("c") != F.col("head_c"))).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+        links = saved(links.union(verified(pairs, body)))
+        same = components(links)
+        member, met = member.join(heads.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti"), met + 1
+
+    # block numbers: those of the smaller components first
+    blocks_of = lambda n, sum_n: F.ceil(F.greatest(n / BLOCK, sum_n / BLOCK_SHINGLES)).cast("int")
+    dealt = mixed.select("key", F.col("big.c").alias("big"), blocks_of(F.col("size") - F.col("big.size"), F.col("sum_n") - F.col("big.sum_n")).alias("n_rest"), blocks_of(F.col("big.size"), F.col("big.sum_n")).alias("n_big"))
+    placed = named.join(dealt, "key").join(rep.select("id", "sig", "bands"), "id").withColumn("in_big", F.col("c") == F.col("big"))
+    placed = placed.withColumn("k", F.pmod(F.xxhash64("id", "key"), F.when(F.col("in_big"), F.col("n_big")).otherwise(F.col("n_rest"))).cast("int") + F.when(F.col("in_big"), F.col("n_rest")).otherwise(0))
+    others = F.sequence(F.lit(0), F.col("n_rest") - 1 + F.when(F.col("in_big"), 0).otherwise(F.col("n_big")))
+    with_other = F.explode(F.transform(others, lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j"), (F.col("k") > o).cast("int").alias("side"))))
+    blocks = placed.select("key", "band", "id", "n", "c", "sig", "bands", with_other.alias("o")).select("key", "band", "id", "n", "c", "sig", "bands", "o.*")
     possible = saved(blocks.groupBy("key", "i", "j").applyInPandas(_possible, "key long, i int, j int, side int, id long, c long"))
-    more = possible.join(body, "id").groupBy("key", "i", "j").applyInPandas(_links, "a long, b long")
-    more = saved(more.distinct())
+    more = saved(possible.join(body, "id").groupBy("key", "i", "j").applyInPandas(_links, "a long, b long").distinct())
     if more.limit(1).count():
         same = components(links.union(more))
     classes = rep.select("k1", "k2", "id").join(same, "id", "left").select("k1", "k2", F.coalesce("c", "id").alias("class_id"))
