@@ -346,6 +346,23 @@ def test_mined_rules_equal_enumeration(spark):
     assert all((r.confidence is None) == (sure[k] is None) and (sure[k] is None or abs(r.confidence - sure[k]) < 1e-6) for k, r in got.items())
 
 
+def test_long_and_odd_urls(spark):
+    """Many labels of one long URL, long URLs that differ a little, nulls and repeated ids."""
+    rnd = random.Random(6)
+    some = [f"w{k}" for k in range(28)]
+    pages = [(k, "https://one.example.com/" + "/".join(some)) for k in range(20)]
+    pages += [(100 + k, "https://two.example.com/" + "/".join(rnd.sample(some, 26))) for k in range(40)]
+    pages += [(None, "https://one.example.com/"), (200, None), (200, "https://three.example.org/x"), (200, "https://three.example.org/x"), (300, "https://four.example.com/" + "y" * 200_000)]
+    block = [(k, True) for k in range(20)] + [(100 + k, k % 2 == 0) for k in range(40)] + [(200, False), (None, True), (7, None), (999, True)]
+    df, labels = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(block, "page_id long, block boolean")
+    got = urlrules.judge_urls(df.withColumn("items", F.lit(1)), labels.withColumn("url", F.lit("x")), rules=[]).collect()
+    assert len(got) == len(pages) and {r.verdict for r in got if r.page_id is not None and r.page_id < 20} == {"block"}
+    assert all(r.confidence == 1 for r in got if r.page_id is not None and r.page_id < 20)
+    assert {r.verdict for r in got if r.page_id == 200} == {"allow"}
+    few = urlrules.judge_urls(df, labels.where("page_id < 4"), rules=[]).collect()
+    assert {r.verdict for r in few} == {"allow"}
+
+
 # pipeline
 
 
