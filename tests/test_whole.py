@@ -1,31 +1,7 @@
-"""Queries whose SQL takes a slice only, held over all their rows."""
+"""Queries whose SQL can't show that all rows take part."""
 
-from compare import same
 from pyspark.sql import functions as F
-from tilelake.plans import q_buildings, q_demand, queries, sql
-
-
-def test_grid_around_every_point(spark, data, duck):
-    cut = " WHERE point_id % 10 = 0"
-    assert cut in (text := queries.ORACLES["tile_grid_around_slice"])
-    same(queries.QUERIES["tile_grid_around"](spark, data), text.replace(cut, ""), duck)
-
-
-def test_lod_tiles_down_to_the_last_zoom(spark, data, duck):
-    pos = "SELECT event_id, x, y, alt * (1 + event_id % 50) AS alt FROM fx_track"
-    whole = sql.with_("fx_track", pos=pos, root=q_demand._ROOT, **q_demand._lod(18)) + "SELECT event_id, z, count(*) AS n, min(x) AS x0, max(y) AS y1 FROM tree WHERE NOT refine GROUP BY event_id, z"
-    same(queries.QUERIES["lod_tiles"](spark, data), whole, duck)
-
-
-def test_flight_demand_of_every_position(spark, data, duck):
-    q = q_demand
-    whole = sql.with_(
-        "fx_track", pos=q._POS, root=q._ROOT, vel=q._VEL, ahead=q._AHEAD, **q._lod(18), want="SELECT z, x, y FROM tree WHERE NOT refine UNION SELECT z, x, y FROM ahead", baked="SELECT DISTINCT z, x, y FROM root WHERE event_id % 700 = 0", up=q._UP, cover=q._COVER
-    )
-    got = queries.QUERIES["job_flight_demand"](spark, data)
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
-    same(got, whole + "SELECT z, x, y FROM want EXCEPT SELECT z, x, y FROM cover", duck)
+from tilelake.plans import q_buildings
 
 
 def test_ground_of_every_raster(spark, tmp_path):

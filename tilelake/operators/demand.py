@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilelake.functions import tilemath as tm
 
@@ -44,26 +47,31 @@ def root_grid(positions: DataFrame) -> DataFrame:
 def lod_tiles(positions: DataFrame, keys: list[str], *, max_zoom: int = MAX_ZOOM, factor: float = 900.0, lod: float = 2.2, ground: str | None = None) -> DataFrame:
     """(keys, z, tx, ty): the leaves of refinement from the roots of positions (x, y, alt). A tile is refined while its
     cell, side / 64, seen from the position is more than 16 / lod pixels, and its zoom is below max_zoom. ``ground`` names a
-    column with the world height of the ground, else it is 0. The refinement is a fold over an array of tiles in the row:
-    a narrow expression whose plan doesn't grow with the levels."""
-    x, y, alt = F.col("x"), F.col("y"), F.col("alt") - (F.col(ground) if ground else F.lit(0.0))
-
-    def refine(t: Column) -> Column:
-        side = tm.side(t["z"])
-        west, north = t["x"] * side - tm.HALF, F.lit(tm.HALF) - t["y"] * side
-        dx, dy = x - F.least(F.greatest(x, west), west + side), y - F.least(F.greatest(y, north - side), north)
-        dist = F.greatest(F.lit(1.0), F.sqrt(dx * dx + dy * dy + alt * alt))
-        return (t["z"] < max_zoom) & (side / 64 / dist * factor > 16 / lod)
-
-    empty = F.expr("cast(array() as array<struct<z:int,x:int,y:int>>)")
-    start = F.struct(grid(x, y, base_zoom(F.col("alt")), ROOTS).alias("open"), empty.alias("done"))
-
-    def step(s: Column, _: Column) -> Column:
-        more = F.filter(s["open"], refine)
-        return F.struct(F.flatten(F.transform(more, lambda t: tm.tile_children(t["z"], t["x"], t["y"]))).alias("open"), F.concat(s["done"], F.filter(s["open"], lambda t: ~refine(t))).alias("done"))
-
-    leaves = F.aggregate(F.sequence(F.lit(3), F.lit(max_zoom + 1)), start, step, lambda s: F.concat(s["done"], s["open"]))
-    return positions.select(*keys, F.explode(leaves).alias("_t")).select(*keys, F.col("_t.z").alias("z"), F.col("_t.x").alias("tx"), F.col("_t.y").alias("ty"))
+    column with the world height of the ground, else it is 0. The tiles of a batch of roots are refined level by level in
+    arrays; it is a narrow step."""
+    roots = root_grid(positions).select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"), (F.col("alt") - (F.col(ground) if ground else F.lit(0.0))).alias("_alt"), "z", "tx", "ty")
+    schema = T.StructType([*[roots.schema[k] for k in keys], *[T.StructField(k, T.IntegerType()) for k in ("z", "tx", "ty")]])
+
+    def leaves(it):
+        for whole in it:
+            for b in (whole.slice(k, 2048) for k in range(0, whole.num_rows, 2048)):
+                px, py, alt, z, x, y = (b.column(len(keys) + k).to_numpy(zero_copy_only=False) for k in range(6))
+                row, done = np.arange(b.num_rows), []
+                while len(row):
+                    side = tm.SIDE / np.exp2(z)
+                    west, north = x * side - tm.HALF, tm.HALF - y * side
+                    dx = px[row] - np.minimum(np.maximum(px[row], west), west + side)
+                    dy = py[row] - np.minimum(np.maximum(py[row], north - side), north)
+                    more = (z < max_zoom) & (side / 64 / np.maximum(1.0, np.sqrt(dx * dx + dy * dy + alt[row] * alt[row])) * factor > 16 / lod)
+                    done.append([v[~more] for v in (row, z, x, y)])
+                    row, z, x, y = (np.repeat(v[more], 4) for v in (row, z, x, y))
+                    kid = np.arange(len(row)) % 4
+                    z, x, y = z + 1, 2 * x + kid % 2, 2 * y + kid // 2
+                row, z, x, y = (np.concatenate(v) for v in zip(*done, strict=True))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(len(keys))], *[pa.array(v.astype(np.int32)) for v in (z, x, y)]], names=[*keys, "z", "tx", "ty"])
+
+    return roots.mapInArrow(leaves, schema)
 
 
 def track_velocity(track: DataFrame, max_gap_s: float = 0.2) -> DataFrame:
@@ -117,18 +125,22 @@ def prefetch_minus_loaded(tiles: DataFrame, loaded: DataFrame) -> DataFrame:
     return tiles.join(loaded.select(*TILE), TILE, "left_anti")
 
 
-def _with_owner(tiles: DataFrame) -> DataFrame:
-    return tiles.select(*TILE, F.explode(tm.tile_ancestors(F.col("z"), F.col("x"), F.col("y"))).alias("_a")).select(*TILE, F.col("_a.z").alias("az"), F.col("_a.x").alias("ax"), F.col("_a.y").alias("ay"))
+def _covered(tiles: DataFrame, active: DataFrame) -> DataFrame:
+    """Each tile once, with ``covered``: whether it or a tile above is active."""
+    a = active.select(F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lit(True).alias("there")).distinct()
+    up = tiles.select(*TILE).distinct().select(*TILE, F.explode(tm.tile_ancestors(F.col("z"), F.col("x"), F.col("y"))).alias("_a"))
+    met = up.select(*TILE, F.col("_a.z").alias("az"), F.col("_a.x").alias("ax"), F.col("_a.y").alias("ay")).join(a, ["az", "ax", "ay"], "left")
+    return met.groupBy(*TILE).agg(F.coalesce(F.bool_or("there"), F.lit(False)).alias("covered"))
 
 
 def covered_by_ancestor(tiles: DataFrame, active: DataFrame) -> DataFrame:
     """Tiles of which they or a tile above is active; finer tiles don't count."""
-    a = active.select(F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    return _with_owner(tiles).join(a, ["az", "ax", "ay"], "left_semi").select(*TILE).distinct()
+    return _covered(tiles, active).where("covered").select(*TILE)
 
 
 def coverage_gaps(tiles: DataFrame, active: DataFrame) -> DataFrame:
-    return tiles.select(*TILE).distinct().join(covered_by_ancestor(tiles, active), TILE, "left_anti")
+    """Tiles of which neither they nor a tile above is active. Tiles are made distinct before ancestors are looked up."""
+    return _covered(tiles, active).where("not covered").select(*TILE)
 
 
 def finest_tile_at_point(points: DataFrame, key: str, loaded: DataFrame, max_zoom: int = MAX_ZOOM) -> DataFrame:
@@ -153,8 +165,9 @@ def nearest_first(pending: DataFrame, k: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("priority").desc(), *TILE)))
 
 
-def latency_quantiles(requests: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """(cache_state, p50, p95, p99): exact, or with an accuracy approximate in bounded memory."""
+def latency_quantiles(requests: DataFrame, accuracy: int | None = 10000) -> DataFrame:
+    """(cache_state, p50, p95, p99): approximate in bounded memory, or with accuracy None exact, which keeps all distinct
+    latencies of a state in one task."""
     q = [0.5, 0.95, 0.99]
     v = F.percentile("latency_ms", F.array(*[F.lit(x) for x in q])) if accuracy is None else F.percentile_approx("latency_ms", q, accuracy)
     return requests.groupBy("cache_state").agg(v.alias("q")).select("cache_state", *[F.col("q")[k].alias(f"p{int(x * 100)}") for k, x in enumerate(q)])

@@ -38,14 +38,10 @@ def _some(spark, sf_dir) -> DataFrame:
     return track(spark, sf_dir).withColumn("alt", F.col("alt") * (1 + F.col("event_id") % 50)).select("event_id", "x", "y", "alt")
 
 
-def lod_tiles(spark, sf_dir, max_zoom: int = d.MAX_ZOOM):
-    """How many tiles of each zoom each position needs."""
-    return d.lod_tiles(_some(spark, sf_dir), ["event_id"], max_zoom=max_zoom).groupBy("event_id", "z").agg(F.count("*").alias("n"), F.min("tx").alias("x0"), F.max("ty").alias("y1"))
-
-
-def lod_tiles_z14(spark, sf_dir):
-    """The same down to zoom 14 only, for its recursive SQL."""
-    return lod_tiles(spark, sf_dir, 14)
+def lod_tiles(spark, sf_dir):
+    """The tiles that each position needs, as sums over each zoom."""
+    t = d.lod_tiles(_some(spark, sf_dir), ["event_id"]).withColumns({"x": F.col("tx").cast("long"), "y": F.col("ty").cast("long")})
+    return t.groupBy("event_id", "z").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.sum(F.col("x") * F.col("y")).alias("sum_xy"))
 
 
 def track_velocity(spark, sf_dir):
@@ -136,7 +132,7 @@ def nearest_first(spark, sf_dir):
 
 
 def latency_quantiles(spark, sf_dir):
-    return d.latency_quantiles(requests(spark, sf_dir)).select("cache_state", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+    return d.latency_quantiles(requests(spark, sf_dir), accuracy=None).select("cache_state", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
 def _retry(spark, sf_dir) -> DataFrame:
@@ -170,16 +166,8 @@ def tile_bundle_bytes(spark, sf_dir):
 
 def job_flight_demand(spark, sf_dir):
     """Positions → tiles to refine and tiles ahead → each once → those not baked."""
-    return _demand(spark, sf_dir, track(spark, sf_dir), d.MAX_ZOOM)
-
-
-def job_flight_demand_slice(spark, sf_dir):
-    """The same with tiles refined for one position in 20 and down to zoom 13 only, for its recursive SQL."""
-    return _demand(spark, sf_dir, track(spark, sf_dir).where("event_id % 20 = 0"), 13)
-
-
-def _demand(spark, sf_dir, t: DataFrame, max_zoom: int) -> DataFrame:
-    leaves = d.lod_tiles(t, ["event_id"], max_zoom=max_zoom).select("z", F.col("tx").alias("x"), F.col("ty").alias("y"))
+    t = track(spark, sf_dir)
+    leaves = d.lod_tiles(t, ["event_id"]).select("z", F.col("tx").alias("x"), F.col("ty").alias("y"))
     ahead = _prefetch(spark, sf_dir).select("z", F.col("tx").alias("x"), F.col("ty").alias("y"))
     return d.coverage_gaps(d.tile_demand_union(leaves, ahead), d.root_grid(t.where("event_id % 700 = 0")).select("z", F.col("tx").alias("x"), F.col("ty").alias("y")).distinct())
 
@@ -251,8 +239,11 @@ _flyz = "CASE WHEN g > 40000 THEN 8 WHEN g > 20000 THEN 9 WHEN g > 10000 THEN 10
 QUERIES = {
     "base_zoom": (base_zoom, sql.with_("fx_track") + f"SELECT event_id, {_ZOOM('(alt * pow(2e0, event_id % 12))')} AS z FROM fx_track"),
     "root_grid": (root_grid, _D + "SELECT event_id, z, x, y FROM root"),
-    "lod_tiles": (lod_tiles, None),
-    "lod_tiles_z14": (lod_tiles_z14, sql.with_("fx_track", pos="SELECT event_id, x, y, alt * (1 + event_id % 50) AS alt FROM fx_track", root=_ROOT, **_lod(14)) + "SELECT event_id, z, count(*) AS n, min(x) AS x0, max(y) AS y1 FROM tree WHERE NOT refine GROUP BY event_id, z"),
+    "lod_tiles": (
+        lod_tiles,
+        sql.with_("fx_track", pos="SELECT event_id, x, y, alt * (1 + event_id % 50) AS alt FROM fx_track", root=_ROOT, **_lod(18))
+        + "SELECT event_id, z, count(*) AS n, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(CAST(x AS BIGINT) * y) AS BIGINT) AS sum_xy FROM tree WHERE NOT refine GROUP BY event_id, z",
+    ),
     "track_velocity": (track_velocity, _D + "SELECT event_id, round(vx, 6) AS vx, round(vy, 6) AS vy FROM vel"),
     "speed_knots": (speed_knots, sql.with_("fx_track") + "SELECT event_id, CASE WHEN dt > 0 THEN CAST(floor(sqrt(power(x - x0, 2) + power(y - y0, 2)) / dt * 1.94384e0 + 0.5e0) AS BIGINT) END AS knots FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER v)) / 1e6 AS dt, lag(x) OVER v AS x0, lag(y) OVER v AS y0 FROM fx_track WINDOW v AS (PARTITION BY track_id ORDER BY ts, event_id)) a"),
     "prefetch_tiles": (prefetch_tiles, _D + "SELECT event_id, z, x, y FROM ahead"),
@@ -275,10 +266,9 @@ QUERIES = {
     "view_elevation_range": (view_elevation_range, sql.with_("fx_requests", ht=_HT) + "SELECT CASE WHEN lo < hi THEN lo ELSE 0 END AS lo, CASE WHEN lo < hi THEN hi ELSE 4000 END AS hi FROM (SELECT min(elevation) AS lo, max(elevation) + 50 AS hi FROM ht WHERE z % 2 = 0 AND elevation IS NOT NULL) t"),
     "coverage_counts": (coverage_counts, _Q + "SELECT CASE WHEN event_id % 3 = 0 THEN 'imagery' ELSE 'terrain' END AS layer, count(*) FILTER (http_status = 200) AS rendered, count(*) AS asked FROM fx_requests GROUP BY 1"),
     "tile_bundle_bytes": (tile_bundle_bytes, _Q + "SELECT z, CAST(sum(event_id % 5000 * 100 + CASE WHEN http_status = 200 THEN 1048576 ELSE 0 END) AS BIGINT) AS bytes, count(*) AS tiles FROM fx_requests GROUP BY z"),
-    "job_flight_demand": (job_flight_demand, None),
-    "job_flight_demand_slice": (
-        job_flight_demand_slice,
-        sql.with_("fx_track", pos=_POS, root0=_ROOT, root="SELECT * FROM root0 WHERE event_id % 20 = 0", vel=_VEL, ahead=_AHEAD, **_lod(13), want="SELECT z, x, y FROM tree WHERE NOT refine UNION SELECT z, x, y FROM ahead", baked="SELECT DISTINCT z, x, y FROM root0 WHERE event_id % 700 = 0", up=_UP, cover=_COVER)
+    "job_flight_demand": (
+        job_flight_demand,
+        sql.with_("fx_track", pos=_POS, root=_ROOT, vel=_VEL, ahead=_AHEAD, **_lod(18), want="SELECT z, x, y FROM tree WHERE NOT refine UNION SELECT z, x, y FROM ahead", baked="SELECT DISTINCT z, x, y FROM root WHERE event_id % 700 = 0", up=_UP, cover=_COVER)
         + "SELECT z, x, y FROM want EXCEPT SELECT z, x, y FROM cover",
     ),
     "stream_request_dedupe": (stream_request_dedupe, _Q + "SELECT DISTINCT z, x, y FROM fx_requests"),

@@ -70,11 +70,6 @@ def tile_grid_around(spark, sf_dir):
     return points(spark, sf_dir).select("point_id", F.explode(tm.tile_grid_around(F.col("lat"), F.col("lon"), F.col("z"), 4)).alias("tile")).select("point_id", "tile.*")
 
 
-def tile_grid_around_slice(spark, sf_dir):
-    """The points that its SQL takes: one in ten."""
-    return tile_grid_around(spark, sf_dir).where("point_id % 10 = 0")
-
-
 def tile_cover_bbox(spark, sf_dir):
     i = fixtures.imagery(spark, sf_dir)
     return i.select("id", F.explode(tm.tile_cover_bbox(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.lit(12))).alias("tile")).select("id", "tile.*")
@@ -166,10 +161,9 @@ QUERIES = {
     "tile_ancestor_at": (tile_ancestor_at, T_ + "SELECT z, x, y, x >> (z - 9) AS ax, y >> (z - 9) AS ay FROM tiles"),
     "tile_children": (tile_children, T_ + "SELECT z AS pz, x AS px, y AS py, z + 1 AS z, CAST(2 * x + dx AS INT) AS x, CAST(2 * y + dy AS INT) AS y FROM tiles, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)"),
     "tile_ancestors": (tile_ancestors, T_ + "SELECT CAST(k AS INT) AS z, x >> CAST(z - k AS INT) AS x, y >> CAST(z - k AS INT) AS y, count(*) AS n FROM (SELECT z, x, y, unnest(range(0, z + 1)) AS k FROM tiles) t GROUP BY 1, 2, 3"),
-    "tile_grid_around": (tile_grid_around, None),
-    "tile_grid_around_slice": (
-        tile_grid_around_slice,
-        P_ + f"SELECT point_id, z, CAST({sql.tx(_mx, 'z')} + dx AS INT) AS x, CAST({sql.ty(_my, 'z')} + dy AS INT) AS y FROM fx_points, (SELECT unnest(range(-2, 2)) AS dx) a, (SELECT unnest(range(-2, 2)) AS dy) b WHERE point_id % 10 = 0",
+    "tile_grid_around": (
+        tile_grid_around,
+        P_ + f"SELECT point_id, z, CAST({sql.tx(_mx, 'z')} + dx AS INT) AS x, CAST({sql.ty(_my, 'z')} + dy AS INT) AS y FROM fx_points, (SELECT unnest(range(-2, 2)) AS dx) a, (SELECT unnest(range(-2, 2)) AS dy) b",
     ),
     "tile_cover_bbox": (
         tile_cover_bbox,
