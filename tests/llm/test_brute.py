@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tilelake.llm import bytebpe, neardup, pii, tokenfile, urlrules, words
+from tilelake.llm import bytebpe, neardup, pii, quality, tokenfile, urlrules, words
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -309,6 +309,30 @@ def test_odd_texts_take_the_library(library):
     assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+# quality
+
+
+def test_few_candidates_hold_all_common_words(spark, documents, monkeypatch):
+    """Many small slices of a language whose words keep changing: at most 222 candidates, every common word among them."""
+    rnd = random.Random(2)
+    common = [f"common{k}" for k in range(60)]
+    rows = [(k, "xx", " ".join(rnd.choice(common) if rnd.random() < 0.5 else f"rare{rnd.randrange(10**6)}" for _ in range(120))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(40).union(documents.select("doc_id", "lang", "text"))
+    seen = df.mapInArrow(quality._survey("text", "lang"), quality.STATS).groupBy("lang", "kind", "word", "bin").agg(F.sum("n").alias("n"))
+    found = {(r.lang, r.word) for r in quality.candidates(seen).collect()}
+    count = Counter((r[1], w.lower()) for r in df.collect() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    total = Counter()
+    for (one, _), n in count.items():
+        total[one] += n
+    want = {k for k, n in count.items() if total[k[0]] >= quality.LEAST_WORDS and n >= quality.COMMON * total[k[0]] and k[1].isascii()}
+    assert want <= found and max(Counter(one for one, _ in found).values()) <= 222
+    refs = {r.lang: dict(zip(r.words, r.counts, strict=True)) for r in quality.references(df).collect()}
+    assert all(refs[one][w] == count[one, w] for one, w in want)
+    usual = sorted(quality.judge(df).select("doc_id", "lang", "quality.*").collect(), key=repr)
+    monkeypatch.setattr(quality, "LANGUAGES", 2)
+    assert sorted(quality.judge(df).select("doc_id", "lang", "quality.*").collect(), key=repr) == usual
+
+
 # URL rules
 
 

@@ -2,16 +2,22 @@
 
 Each language's reference has two histograms over all its documents: of character classes, and of its common words,
 which are the words that make up at least ``COMMON`` of the language's words, with one more bin for all other words. A
-document is compared with its language's reference by Jensen-Shannon distance. A language with less than ``SHARE`` of
-all words has no reference, so there are at most 1 / SHARE references of at most 1 / COMMON words each.
+document is compared with its language's reference by Jensen-Shannon distance. A language with fewer than ``LEAST_WORDS``
+words in all has no reference. References are made from the corpus that is judged, junk included, unless others are given.
 
-The words are counted in two narrow passes. A word with a share of at least COMMON of a whole has it in at least one of
-the whole's parts, so the first pass lists, for each batch, only the words with that share in the batch; the second
-counts these candidates everywhere. Only candidates and counts are shuffled.
+The words are counted in two narrow passes. The first keeps a summary of heavy hitters (Misra-Gries) of at most
+``COUNTERS`` words for each language in a task. A summary's count of a word falls short by at most the words it has seen
+over COUNTERS + 1, and so does the sum of all tasks' counts; words whose sum is too small for COMMON all the same are left
+out, which leaves at most 1 / (COMMON - 1 / COUNTERS) candidates of a language, 222. The second pass counts these exactly.
+
+References are a table with a row for each language. Tasks get them by broadcast for ``LANGUAGES`` languages at once, some
+6 KB each; if there are more, the documents are read in as many parts by language.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +28,10 @@ from tilelake.llm.shared import saved
 from tilelake.llm.words import Words, _LOWER, attach, mix, ragged, runs, slices
 
 COMMON = 0.005
-SHARE = 0.001
-#: Candidates sent to the tasks at once.
-BLOCK = 100_000
+COUNTERS = 2000
+LEAST_WORDS = 1000
+#: Languages whose references or candidates are sent to the tasks at once.
+LANGUAGES = 5000
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -121,16 +128,38 @@ def _folded(w: Words) -> np.ndarray:
 STATS = "lang string, kind string, word string, bin int, n long"
 
 
+class Heavy:
+    """A mergeable summary of the words of a stream: at most COUNTERS hashes with counts that are too small by at most the
+    words seen over COUNTERS + 1."""
+
+    def __init__(self):
+        self.key, self.n, self.names = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+
+    def add(self, w: Words, at: np.ndarray, h: np.ndarray) -> None:
+        """The words ``at`` of w, with their hashes."""
+        new, first, count = np.unique(h, return_index=True, return_counts=True)
+        key, back = np.unique(np.concatenate([self.key, new]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([self.n, count]), len(key)).astype(np.int64)
+        if len(key) > COUNTERS:
+            n -= np.partition(n, len(n) - COUNTERS - 1)[len(n) - COUNTERS - 1]
+            key, n = key[n > 0], n[n > 0]
+        self.key, self.n = key, n
+        spot = np.minimum(np.searchsorted(new, key), max(0, len(new) - 1))
+        for k, f in zip(key.tolist(), at[first[spot]].tolist(), strict=True) if len(new) else ():
+            if k not in self.names:
+                self.names[k] = (w.start[f], w.end[f], w)
+        self.names = {k: _LOWER[v[2].data[v[0] : v[1]]].tobytes().decode("utf-8", "replace") if isinstance(v := self.names[k], tuple) else v for k in key.tolist()}
+
+
 def _survey(text: str, lang: str):
-    """First pass: for each batch and language, its words, its classes and the words that are common in the batch."""
+    """First pass: for each task and language, its words, its classes and the summary of its words."""
 
     def batches(it):
+        totals: dict[str, int] = {}
+        hists: dict[str, np.ndarray] = {}
+        heavy: dict[str, Heavy] = {}
         for b in it:
-            rows, langs = [], _langs(b.column(b.schema.names.index(lang)))
-            totals: dict[str, int] = {}
-            hists: dict[str, np.ndarray] = {}
-            counts: dict[str, dict[int, int]] = {}
-            names: dict[int, str] = {}
+            langs = _langs(b.column(b.schema.names.index(lang)))
             for w, offsets in split(b.column(b.schema.names.index(text))):
                 own, hist, h = langs[w.rows.start : w.rows.stop], classes(w.data, offsets), _folded(w)
                 owner = w.doc()
@@ -139,19 +168,14 @@ def _survey(text: str, lang: str):
                     hists[one] = hists.get(one, 0) + hist[mine].sum(axis=0)
                     at = np.flatnonzero(mine[owner])
                     totals[one] = totals.get(one, 0) + len(at)
-                    keys, first, n = np.unique(h[at], return_index=True, return_counts=True)
-                    into = counts.setdefault(one, {})
-                    # common in the batch needs common in a slice of it
-                    for k, f, m in zip(keys[big := n >= COMMON * len(at)].tolist(), at[first[big]].tolist(), n[big].tolist(), strict=True):
-                        into[k] = into.get(k, 0) + m
-                        if k not in names:
-                            names[k] = _LOWER[w.data[w.start[f] : w.end[f]]].tobytes().decode("utf-8", "replace")
-            for one, n in totals.items():
-                rows.append((one, "total", None, 0, n))
-                rows += [(one, "class", None, k, int(x)) for k, x in enumerate(hists[one]) if x]
-                rows += [(one, "word", names[k], 0, 0) for k in counts[one]]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "kind", "word", "bin", "n"])
+                    heavy.setdefault(one, Heavy()).add(w, at, h[at])
+        rows = []
+        for one, n in totals.items():
+            rows.append((one, "total", None, 0, n))
+            rows += [(one, "class", None, k, int(x)) for k, x in enumerate(hists[one]) if x]
+            rows += [(one, "word", heavy[one].names[k], 0, n) for k, n in zip(heavy[one].key.tolist(), heavy[one].n.tolist(), strict=True)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "kind", "word", "bin", "n"])
 
     return batches
 
@@ -190,28 +214,40 @@ def _count(shared, text: str, lang: str):
     return batches
 
 
-def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> dict[str, dict]:
-    """For each language with at least SHARE of all words: its class counts, its words in all, its common words' counts."""
+def _parts(table: DataFrame, docs: DataFrame, lang: str):
+    """(rows of table, documents) by language, LANGUAGES or so at once; table has a column lang."""
+    n = max(1, -(-table.select("lang").distinct().count() // LANGUAGES))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
+    for k in range(n):
+        yield list(table.where(part(F.col("lang")) == k).toLocalIterator()), docs if n == 1 else docs.where(part(F.coalesce(F.col(lang).cast("string"), F.lit(""))) == k)
+
+
+def candidates(seen: DataFrame) -> DataFrame:
+    """(lang, total, word) of the words that may be common, from the sums of all tasks' summaries."""
+    total = seen.where((F.col("kind") == "total") & (F.col("n") >= LEAST_WORDS)).select("lang", F.col("n").alias("total"))
+    return seen.where("kind = 'word'").select("lang", "word", "n").join(total, "lang").where(F.col("n") >= COMMON * F.col("total") - F.col("total") / (COUNTERS + 1)).select("lang", "total", "word")
+
+
+def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, total, classes, words, counts) of each language with at least LEAST_WORDS words: its words in all, the counts
+    of its characters by class, its common words and their counts."""
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     seen = saved(own.mapInArrow(_survey("text", "lang"), STATS).groupBy("lang", "kind", "word", "bin").agg(F.sum("n").alias("n")))
-    everything = seen.where("kind = 'total'").agg(F.sum("n")).first()[0] or 0
-    refs = {r.lang: {"total": r.n, "classes": [0] * N_CLASSES, "words": {}} for r in seen.where((F.col("kind") == "total") & (F.col("n") >= max(1, SHARE * everything))).collect()}
-    if not refs:
-        return {}
-    for r in seen.where((F.col("kind") == "class") & F.col("lang").isin(list(refs))).collect():
-        refs[r.lang]["classes"][r.bin] = r.n
-    heavy = seen.where((F.col("kind") == "word") & F.col("lang").isin(list(refs))).select("lang", "word")
-    n = max(1, -(-heavy.count() // BLOCK))
-    for k in range(n):
-        block = heavy.where(F.pmod(F.xxhash64("lang", "word"), F.lit(n)) == k)
-        shared = sc.broadcast(sorted((r.lang, r.word) for r in block.toLocalIterator()))
-        if shared.value:
-            counted = own.mapInArrow(_count(shared, "text", "lang"), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-            enough = F.create_map(*[F.lit(x) for one, r in refs.items() for x in (one, COMMON * r["total"])])
-            for r in counted.where(F.col("n") >= enough[F.col("lang")]).collect():
-                refs[r.lang]["words"][r.word] = r.n
-    return refs
+    total = seen.where((F.col("kind") == "total") & (F.col("n") >= LEAST_WORDS)).select("lang", F.col("n").alias("total"))
+    counted = []
+    for rows, part in _parts(saved(candidates(seen)), own, "lang"):
+        if rows:
+            shared = sc.broadcast(sorted((r.lang, r.word) for r in rows))
+            counted.append(part.mapInArrow(_count(shared, "text", "lang"), "lang string, word string, n long"))
+    zero = docs.sparkSession.createDataFrame([], "lang string, word string, n long")
+    each = reduce(DataFrame.union, counted, zero).groupBy("lang", "word").agg(F.sum("n").alias("n")).join(total, "lang").where(F.col("n") >= COMMON * F.col("total"))
+    words = each.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("w"))
+    chars = seen.where("kind = 'class'").groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    made = total.join(chars, "lang", "left").join(words, "lang", "left")
+    count = F.transform(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0)))
+    pick = lambda f, kind: F.coalesce(F.transform("w", lambda x: x[f]), F.array().cast(f"array<{kind}>"))
+    return saved(made.select("lang", "total", count.alias("classes"), pick("word", "string").alias("words"), pick("n", "long").alias("counts")))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -225,7 +261,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def judge(
-    docs: DataFrame, *, text: str = "text", lang: str = "lang", out: str = "quality", min_words: int = 50, max_class: float = 0.32, max_word: float = 0.42, refs: dict | None = None
+    docs: DataFrame, *, text: str = "text", lang: str = "lang", out: str = "quality", min_words: int = 50, max_class: float = 0.32, max_word: float = 0.42, refs: DataFrame | None = None
 ) -> DataFrame:
     """docs with a struct ``out``: plain counts, the two distances, base_failed and kept.
 
@@ -235,16 +271,22 @@ def judge(
     and neither distance is over its limit. A distance is null, and so never over its limit, where the document has fewer
     than ``min_words`` words or its language no reference. Null text: no words. Null language: the language ''. Repeated
     rows are judged alike and count each time in the references; an empty table gives an empty result. A column of docs
-    named ``out`` is replaced. ``refs``: references made before, else they are made from docs.
+    named ``out`` is replaced. ``refs``: references made before from other documents, else they are made from docs.
     """
     refs = references(docs, text=text, lang=lang) if refs is None else refs
-    shared = docs.sparkSession.sparkContext.broadcast(refs)
+    sc = docs.sparkSession.sparkContext
+    parts = [attach(part, out, SCORED, _score(sc.broadcast({r.lang: r.asDict() for r in rows}), text, lang, min_words, max_class, max_word)) for rows, part in _parts(refs, docs, lang)]
+    return reduce(DataFrame.union, parts)
+
+
+def _score(shared, text: str, lang: str, min_words: int, max_class: float, max_word: float):
+    """Arrow table of a batch → the struct of judge; shared: references by language."""
+    ready: dict[str, tuple] = {}
 
     def score(b: pa.RecordBatch) -> pa.Array:
-        ready = {}
-        for one, r in shared.value.items():
-            keys = word_keys(list(r["words"]))
-            order, n = np.argsort(keys), np.array([*r["words"].values()], np.float64)
+        for one, r in shared.value.items() if not ready else ():
+            keys = word_keys(r["words"])
+            order, n = np.argsort(keys), np.array(r["counts"], np.float64)
             ready[one] = np.array(r["classes"]) / max(1, sum(r["classes"])), keys[order], np.append(n[order], r["total"] - n.sum()) / r["total"]
         langs, parts = _langs(b.column(b.schema.names.index(lang)).cast(pa.string())), []
         for w, offsets in split(b.column(b.schema.names.index(text))):
@@ -274,7 +316,7 @@ def judge(
         fields = [pa.array(x, pa.float64(), mask=np.isnan(x)) if "distance" in k else pa.array(x.astype(np.int64)) for k, x in cols.items()]
         return pa.StructArray.from_arrays([*fields, pa.array(failed), pa.array(kept)], names=[*cols, "base_failed", "kept"])
 
-    return attach(docs, out, SCORED, score)
+    return score
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,9 +344,7 @@ one AS (
   SELECT doc_id, lang, word, count(*) AS n
   FROM (SELECT doc_id, lang, unnest(list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS word FROM w) x
   GROUP BY doc_id, lang, word),
-total AS (
-  SELECT lang, total FROM (SELECT lang, sum(n_words) AS total, sum(sum(n_words)) OVER () AS everything FROM base GROUP BY lang) x
-  WHERE total >= greatest(1, 0.001e0 * everything)),
+total AS (SELECT lang, sum(n_words) AS total FROM base GROUP BY lang HAVING sum(n_words) >= 1000),
 common AS (SELECT lang, word, n / total::DOUBLE AS q FROM (SELECT lang, word, sum(n) AS n FROM one GROUP BY lang, word) a JOIN total USING (lang) WHERE n >= 0.005e0 * total),
 bin AS (
   SELECT doc_id, n_words, q, coalesce(n, 0) / n_words::DOUBLE AS p
