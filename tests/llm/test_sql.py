@@ -44,12 +44,39 @@ def test_blocks_of_items_give_the_same(spark, data, documents):
     assert flat(one) == flat(many) and any(r[3] for r in flat(one))
 
 
-def test_hot_heads_give_the_same(spark, data, documents, monkeypatch):
+def test_hash_collisions_of_heads_give_the_same(spark, data, monkeypatch):
+    """Hashes of two bits only rule out less."""
     usual = rows(suffixdedup.op8_sparse_suffixes(spark, data).toPandas())
-    monkeypatch.setattr(suffixdedup, "HOT", 2)
+    plain = suffixdedup.heads
+    monkeypatch.setattr(suffixdedup, "heads", lambda total, p: plain(total, p) & 3)
     assert rows(suffixdedup.op8_sparse_suffixes(spark, data).toPandas()) == usual
 
 
+def test_common_words():
+    cases = [("a b c", "a b c", 3), ("a b c", "a b cd", 2), ("a b", "a b cd", 2), ("ab", "a", 0), ("x", "y", 0), ("a b c d", "a b x d", 2), ("a bc", "a bd", 1)]
+    assert all(suffixdedup.common_words(a.encode(), b.encode()) == suffixdedup.common_words(b.encode(), a.encode()) == n for a, b, n in cases)
+
+
+def test_runs_over_the_ends_of_tasks(spark, data, monkeypatch, tmp_path):
+    """A passage that all documents have, with other words around it, in more tasks than windows."""
+    import duckdb
+
+    common = " ".join(f"common{k}" for k in range(70))
+    texts = [(k, f"{' '.join(f'l{k}x{i}' for i in range(40))} {common} {' '.join(f'r{k % 5}x{i}' for i in range(60))}") for k in range(90)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        same(suffixdedup.op8_sparse_suffixes(spark, str(tmp_path)), suffixdedup.SQL, c)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_blocks_of_buckets_give_the_same(spark, data, monkeypatch):
     usual = rows(neardup.op6_bag_minhash(spark, data).toPandas())
     monkeypatch.setattr(neardup, "BLOCK", 2)
