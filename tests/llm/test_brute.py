@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tilelake.llm import bytebpe, neardup, pii, quality, tokenfile, urlrules, words
+from tilelake.llm import bytebpe, decontaminate, neardup, pii, quality, tokenfile, urlrules, words
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -309,6 +309,37 @@ def test_odd_texts_take_the_library(library):
     assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+# decontamination
+
+
+def test_search_with_colliding_hashes_and_crowded_buckets(monkeypatch):
+    """Two-bit word hashes, items that share windows and ends, texts that repeat them."""
+    rnd = random.Random(9)
+    some = ["aa", "b", "cc", "dd", "e", "\u00e9"]
+    items = [(str(k), " ".join(rnd.choice(some) for _ in range(rnd.choice([2, 5, 12, 30])))) for k in range(60)] + [("x", ""), ("y", "!!")]
+    texts = [" ".join(rnd.choice(some) for _ in range(300)) + " " + rnd.choice(items)[1] for _ in range(30)] + ["", "b"]
+    plain = words.Words.hashes
+    monkeypatch.setattr(decontaminate, "PIECE", 100)
+    for bits in (64, 2):
+        monkeypatch.setattr(words.Words, "hashes", lambda w, b=bits: plain(w) >> np.uint64(64 - b) if b < 64 else plain(w))
+        p = decontaminate.tables(items, 10)
+        for w in words.words(pa.array(texts), limit=500):
+            got = set()
+            for t in p.tables:
+                begin, pattern = decontaminate.search(p, t, w, w.hashes())
+                for i, q in zip(begin.tolist(), pattern.tolist(), strict=True):
+                    got |= {(i, t.m, k) for k in t.item[t.item_first[q] : t.item_first[q + 1]].tolist()}
+            want = set()
+            for d, row in enumerate(w.rows):
+                mine = re.findall(words.WORD, texts[row])
+                for k, (_, body) in enumerate(items):
+                    own = re.findall(words.WORD, body)
+                    m = min(10, len(own))
+                    wins = {tuple(own[i : i + m]) for i in range(len(own) - m + 1)} if m else set()
+                    want |= {(int(w.first[d]) + i, m, k) for i in range(len(mine) - m + 1) if m and tuple(mine[i : i + m]) in wins}
+            assert got == want
+
+
 # quality
 
 
@@ -392,7 +423,6 @@ def test_long_and_odd_urls(spark):
 
 def test_pipeline_equals_plain_stages(spark, data, duck, documents, library):
     import corpus_pipeline
-    from tilelake.llm import decontaminate, quality
 
     texts = {r.doc_id: r.text for r in documents.collect()}
     kept = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({quality.SQL}) q WHERE kept").fetchall()}

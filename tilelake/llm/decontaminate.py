@@ -3,12 +3,14 @@
 The patterns are the windows of the benchmark items: ``window`` consecutive words, or the whole of a shorter item.
 Patterns of one length form a class with its own tables, so a short item doesn't shorten the skips of the others. A
 block is the last ``BLOCK`` words before a cursor. The shift table, indexed by bits of the block's hash, says how far the
-cursor may jump without passing the end of an occurrence; where it says 0, the bucket of patterns that end in this
-block is looked up by the block's full hash, and each candidate is compared word by word and then byte by byte.
+cursor may jump without passing the end of an occurrence; it has at least eight places for each block that is in it.
+Where it says 0, the bucket of patterns that end in this block is looked up by the block's full hash, the pattern in it by
+a hash of the window, and each candidate is compared byte by byte.
 
 Cursors of many stretches of text move in step, as numpy arrays. A document is one row of one task; nothing is
-shuffled. Items travel to the tasks in blocks of at most ``block_bytes`` of text; there is one pass over the documents
-for each block, which keeps what is broadcast bounded whatever the benchmark's size.
+shuffled. Items travel to the tasks in blocks of at most ``block_bytes`` of text, with tables of some 100 bytes a word.
+There is one job over the documents for each block; each but the last writes what it found, so a task has the tables of
+one block only, whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilelake.llm.shared import written
 from tilelake.llm.words import Words, mix, ragged, words
 
 BLOCK = 3
 STRETCH = 64
-SHIFT_BITS = 18
+#: Elements of arrays that are made at once from lists of lists.
+PIECE = 1 << 20
 
 FOUND = T.StructType(
     [
@@ -38,19 +42,22 @@ FOUND = T.StructType(
 
 @dataclass
 class Table:
-    """The patterns of one length m. hashes: a row of m word hashes for each pattern."""
+    """The patterns of one length m, in order of their windows' hashes."""
 
     m: int
-    hashes: np.ndarray
-    word_start: np.ndarray  # pattern × m: where each word's bytes begin in data
-    word_len: np.ndarray
-    data: np.ndarray
+    begin: np.ndarray  # first word of each pattern among the items' words
+    window: np.ndarray  # hash of each
     item_first: np.ndarray  # items of pattern p: item[item_first[p]:item_first[p + 1]]
     item: np.ndarray
     shift: np.ndarray
     suffix: np.ndarray  # sorted distinct block hashes at a pattern's end
-    bucket_first: np.ndarray
-    bucket: np.ndarray
+
+
+@dataclass
+class Patterns:
+    ids: list[str]
+    words: Words
+    tables: list[Table]
 
 
 def _block(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -61,46 +68,71 @@ def _block(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return g
 
 
-def _slot(g: np.ndarray) -> np.ndarray:
-    return (g >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
+def _slot(g: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
+
+
+def _pieces(length: np.ndarray):
+    """(list, place in it) of the elements of lists of these lengths, at most PIECE at once."""
+    ends = np.cumsum(length)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, PIECE):
+        k = np.arange(lo, min(lo + PIECE, int(ends[-1])))
+        owner = np.searchsorted(ends, k, "right")
+        yield owner, k - (ends[owner] - length[owner])
 
 
-def tables(items: list[tuple[str, str]], window: int) -> list[Table]:
+def equal_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray, m: int) -> np.ndarray:
+    """Whether the m words from i of a are those from j of b, by their bytes."""
+    same = np.ones(len(i), bool)
+    for k in range(m):
+        ok = np.flatnonzero(same)
+        length = a.end[i[ok] + k] - a.start[i[ok] + k]
+        fits = b.end[j[ok] + k] - b.start[j[ok] + k] == length
+        same[ok[~fits]] = False
+        ok, length = ok[fits], length[fits]
+        for owner, at in _pieces(length):
+            equal = a.data[a.start[i[ok[owner]] + k] + at] == b.data[b.start[j[ok[owner]] + k] + at]
+            same[ok[owner[~equal]]] = False
+    return same
+
+
+def tables(items: list[tuple[str, str]], window: int) -> Patterns:
     """items: (id, text). Items without words have no patterns."""
-    found: dict[int, dict[bytes, list]] = {}
-    whole = words(pa.array([t for _, t in items], pa.large_string()), limit=1 << 62)
-    for w in whole:
-        h, row = w.hashes(), 0
-        for row in range(len(w.first) - 1):
-            a, b = int(w.first[row]), int(w.first[row + 1])
-            m = min(window, b - a)
-            for at in range(a, b - m + 1) if m else ():
-                key = b" ".join(w.data[w.start[k] : w.end[k]].tobytes() for k in range(at, at + m))
-                found.setdefault(m, {}).setdefault(key, [h[at : at + m], set()])[1].add(w.rows[row])
+    w = next(words(pa.array([t for _, t in items], pa.large_string()), limit=1 << 62), None)
+    if w is None or not w.n:
+        return Patterns([], Words(*[np.zeros(0, np.int64)] * 4, range(0)), [])
+    h, n = w.hashes(), np.diff(w.first)
     out = []
-    for m, patterns in sorted(found.items(), reverse=True):
-        hashes = np.array([v[0] for v in patterns.values()], np.uint64).reshape(len(patterns), m)
-        joined = b" ".join(patterns) + b" "
-        data = np.frombuffer(joined, np.uint8)
-        ends = np.flatnonzero(data == 32).reshape(len(patterns), m)
-        starts = np.concatenate([[0], ends.ravel()[:-1] + 1]).reshape(len(patterns), m)
+    for m in sorted(set(np.minimum(n, window).tolist()) - {0}, reverse=True):
+        mine = np.flatnonzero(np.minimum(n, window) == m)
+        count = n[mine] - m + 1
+        begin, owner = ragged(w.first[mine], count), np.repeat(mine, count)
+        g = _block(h, begin + m - 1, m)
+        order = np.argsort(g, kind="stable")
+        begin, owner, g = begin[order], owner[order], g[order]
+        # equal windows are one pattern; among equal hashes there may be several
+        pattern, todo = np.full(len(g), -1), np.arange(len(g))
+        while len(todo):
+            head = np.ones(len(todo), bool)
+            head[1:] = g[todo][1:] != g[todo][:-1]
+            first = todo[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            same = equal_words(w, begin[todo], w, begin[first], m)
+            pattern[todo[same]] = first[same]
+            todo = todo[~same]
+        heads, pattern = np.unique(pattern, return_inverse=True)
+        pairs = np.unique(pattern * len(items) + owner)
+        begin, g = begin[heads], g[heads]
         size = min(BLOCK, m)
-        far = m - size + 1
-        shift = np.full(1 << SHIFT_BITS, far, np.int64)
-        flat = hashes.ravel()
-        for end in range(size - 1, m):
-            np.minimum.at(shift, _slot(_block(flat, np.arange(len(patterns)) * m + end, size)), m - 1 - end)
-        last = _block(flat, np.arange(len(patterns)) * m + m - 1, size)
-        order = np.argsort(last, kind="stable")
-        suffix, first = np.unique(last[order], return_index=True)
-        owners = [sorted(v[1]) for v in patterns.values()]
-        out.append(
-            Table(m, hashes, starts, ends - starts, data, np.concatenate([[0], np.cumsum([len(x) for x in owners])]), np.array([i for x in owners for i in x], np.int64), shift, suffix, np.append(first, len(order)), order)
-        )
-    return out
+        ends = [_block(h, begin + end, size) for end in range(size - 1, m)]
+        shift = np.full(1 << max(10, int(8 * len(np.unique(np.concatenate(ends)))).bit_length()), min(255, m - size + 1), np.uint8)
+        for end, block in zip(range(size - 1, m), ends, strict=True):
+            np.minimum.at(shift, _slot(block, shift), np.uint8(min(255, m - 1 - end)))
+        out.append(Table(m, begin.astype(np.int32), g, np.searchsorted(pairs, np.arange(len(heads) + 1) * len(items)), (pairs % len(items)).astype(np.int32), shift, np.unique(ends[-1])))
+    small = Words(w.data, w.start.astype(np.int32), w.end.astype(np.int32), w.first, w.rows)
+    return Patterns([i for i, _ in items], small, out)
 
 
-def search(t: Table, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def search(p: Patterns, t: Table, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words and patterns of all occurrences of a table's patterns."""
     m, size = t.m, min(BLOCK, t.m)
     lo, hi = w.first[:-1] + m - 1, w.first[1:]  # a window may end at lo .. hi - 1
@@ -111,7 +143,7 @@ def search(t: Table, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hits = []
     while len(at):
         g = _block(h, at, size)
-        jump = t.shift[_slot(g)]
+        jump = t.shift[_slot(g, t.shift)].astype(np.int64)
         zero = jump == 0
         if zero.any():
             hits.append((at[zero], g[zero]))
@@ -122,55 +154,57 @@ def search(t: Table, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends, g = np.concatenate([x[0] for x in hits]), np.concatenate([x[1] for x in hits])
     k = np.minimum(np.searchsorted(t.suffix, g), len(t.suffix) - 1)
-    real = t.suffix[k] == g
-    ends, k = ends[real], k[real]
-    length = t.bucket_first[k + 1] - t.bucket_first[k]
-    pattern, begin = t.bucket[ragged(t.bucket_first[k], length)], np.repeat(ends, length) - m + 1
-    for j in range(m):  # the prefix first
-        same = h[begin + j] == t.hashes[pattern, j]
-        pattern, begin = pattern[same], begin[same]
-    same = np.ones(len(begin), bool)
-    for j in range(m):
-        length = t.word_len[pattern, j]
-        same &= w.end[begin + j] - w.start[begin + j] == length
-        ok = np.flatnonzero(same)
-        equal = w.data[ragged(w.start[begin[ok] + j], length[ok])] == t.data[ragged(t.word_start[pattern[ok], j], length[ok])]
-        bad = np.add.reduceat(~equal, np.cumsum(length[ok]) - length[ok]) if len(ok) else np.zeros(0)
-        same[ok[bad > 0]] = False
-    return begin[same], pattern[same]
+    ends = ends[t.suffix[k] == g]
+    g = _block(h, ends, m)
+    first = np.searchsorted(t.window, g)
+    length = np.searchsorted(t.window, g, "right") - first
+    begins, patterns = [], []
+    for owner, inner in _pieces(length):
+        begin, pattern = ends[owner] - m + 1, first[owner] + inner
+        same = equal_words(w, begin, p.words, t.begin[pattern], m)
+        begins.append(begin[same])
+        patterns.append(pattern[same])
+    return (np.concatenate(begins), np.concatenate(patterns)) if begins else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _owners(t: Table, doc: np.ndarray, pattern: np.ndarray, n_items: int) -> np.ndarray:
+    """doc * n_items + item of the items of the patterns found in documents, each once."""
+    pair = np.unique(doc * len(t.begin) + pattern)
+    doc, pattern = pair // len(t.begin), pair % len(t.begin)
+    first = t.item_first[pattern]
+    found = [np.unique(doc[owner] * n_items + t.item[first[owner] + inner]) for owner, inner in _pieces(t.item_first[pattern + 1] - first)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def _pass(docs: DataFrame, text: str, out: str, items: list[tuple[str, str]], window: int, n_before: bool) -> DataFrame:
     """One pass over the documents with one block of items, adding to what the passes before found."""
-    ids = [i for i, _ in items]
-    shared = docs.sparkSession.sparkContext.broadcast((ids, tables(items, window)))
+    shared = docs.sparkSession.sparkContext.broadcast(tables(items, window))
     base = docs.drop(out) if not n_before else docs
     schema = T.StructType([*[f for f in base.schema.fields if f.name != out], T.StructField(out, FOUND)])
 
     def batches(it):
-        ids, all_tables = shared.value
+        p = shared.value
+        ids = p.ids
         for b in it:
             before = b.column(b.schema.names.index(out)).to_pylist() if n_before else [None] * b.num_rows
             made = []
             for w in words(b.column(b.schema.names.index(text))):
                 h, n = w.hashes(), np.diff(w.first)
-                cover, owner_doc, owner_item = np.zeros(w.n + 1, np.int64), [], []
-                for t in all_tables:
-                    begin, pattern = search(t, w, h)
+                cover, found = np.zeros(w.n + 1, np.int64), [np.zeros(0, np.int64)]
+                for t in p.tables:
+                    begin, pattern = search(p, t, w, h)
                     np.add.at(cover, begin, 1)
                     np.add.at(cover, begin + t.m, -1)
-                    length = t.item_first[pattern + 1] - t.item_first[pattern]
-                    owner_item.append(t.item[ragged(t.item_first[pattern], length)])
-                    owner_doc.append(np.repeat(np.searchsorted(w.first, begin, "right") - 1, length))
+                    found.append(_owners(t, np.searchsorted(w.first, begin, "right") - 1, pattern, len(ids)))
                 hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
                 doc = np.searchsorted(w.first, hit, "right") - 1
-                pairs = np.unique(np.concatenate(owner_doc) * len(ids) + np.concatenate(owner_item)) if owner_doc else np.zeros(0, np.int64)
+                pairs = np.unique(np.concatenate(found))
                 edge = np.searchsorted(pairs, np.arange(len(n) + 1) * len(ids))
                 hit_edge = np.searchsorted(doc, np.arange(len(n) + 1))
                 for d in range(len(n)):
-                    p = hit[hit_edge[d] : hit_edge[d + 1]] - w.first[d]
-                    brk = np.flatnonzero(np.diff(p) > 1)
-                    spans = list(zip(p[np.append(0, brk + 1)].tolist(), (p[np.append(brk, len(p) - 1)] + 1).tolist(), strict=True)) if len(p) else []
+                    at = hit[hit_edge[d] : hit_edge[d + 1]] - w.first[d]
+                    brk = np.flatnonzero(np.diff(at) > 1)
+                    spans = list(zip(at[np.append(0, brk + 1)].tolist(), (at[np.append(brk, len(at) - 1)] + 1).tolist(), strict=True)) if len(at) else []
                     got = [ids[k] for k in (pairs[edge[d] : edge[d + 1]] % len(ids)).tolist()]
                     if old := before[w.rows[d]]:
                         spans = _union(spans, [(s["start"], s["end"]) for s in old["spans"]])
@@ -194,7 +228,7 @@ def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 
 
 def find_benchmark(
-    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, out: str = "benchmark_found", block_bytes: int = 16 << 20
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, out: str = "benchmark_found", block_bytes: int = 8 << 20
 ) -> DataFrame:
     """docs with a struct ``out`` (n_words; spans of hit words, ends exclusive; ids of the items with occurring windows).
 
@@ -204,8 +238,8 @@ def find_benchmark(
     have no words match nothing; items with a null id are left out; ids are compared as strings, and rows that repeat an
     id add windows to the same item. An empty benchmark hits nothing. A column of docs named ``out`` is replaced.
 
-    The items come to the driver in blocks of at most ``block_bytes`` (at least one item), and each block is one more
-    narrow pass over docs.
+    The items come to the driver in blocks of about ``block_bytes`` (at least one item). Each block is one more narrow pass
+    over docs; the passes before the last write docs with what they found to the shared folder.
     """
     own = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -214,6 +248,8 @@ def find_benchmark(
     for k in range(n):
         block = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         found = _pass(found, text, out, [(r.i, r.t) for r in block.toLocalIterator()], window, k > 0)
+        if k + 1 < n:
+            found = written(found, "found")
     return found
 
 
