@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir; where it names none, a folder of
-    our own, as in tests on one machine."""
+    our own if all runs on this machine, as in tests, else an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         sc.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
