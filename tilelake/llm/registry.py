@@ -1,6 +1,5 @@
 """The queries of this subpackage and their SQL."""
 
-import corpus_pipeline
 from tilelake.llm import bytebpe, decontaminate, licences, neardup, pii, quality, quotes, suffixdedup, tokenfile, urlrules
 
 QUERIES = {
@@ -14,7 +13,6 @@ QUERIES = {
     "op8_sparse_suffixes": suffixdedup.op8_sparse_suffixes,
     "op9_quality": quality.op9_quality,
     "op10_simple8b": tokenfile.op10_simple8b,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

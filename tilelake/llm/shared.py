@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it names none, a folder of our own, as in
-    tests on one machine."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it names none, a folder of our own if all
+    runs on this machine, as in tests, else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
