@@ -79,13 +79,17 @@ def plain_pseudonym(m, key):
     digits = re.sub("[^0-9]", "", v)
     if "@" in v:
         name, at = v.split("@", 1)
-        return string(name, key, "email") + "@" + at
+        new = string(name.lower(), key, "email")
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(name, new, strict=True)) + "@" + at
     if re.fullmatch(pii.FORMATS["ipv4"], v):
         parts = [int(x) for x in v.split(".")]
         n = number(int.from_bytes(bytes(parts), "big"), 65536, 65536, key, "ipv4") if max(parts) < 256 else None
         return v if n is None else ".".join(str(x) for x in n.to_bytes(4, "big"))
     if re.fullmatch(pii.FORMATS["phone"], v) and v.startswith("+1 "):
-        new = iter(string(digits[1:], key, "phone"))
+        area, middle, line = int(digits[1:4]), int(digits[4:7]), int(digits[7:])
+        (a, n), (b, m) = ((200, 800) if x >= 200 else (0, 200) for x in (area, middle))
+        left, line = divmod(number(((area - a) * m + middle - b) * 10000 + line, n * m, 10000, key, "phone 1"), 10000)
+        new = iter(f"{a + left // m:03}{b + left % m:03}{line:04}")
         return "+1" + re.sub("[0-9]", lambda _: next(new), v[2:])
     if re.fullmatch(pii.FORMATS["card"], v) and luhn(digits):
         body = string(digits[:-1], key, "card")
@@ -124,6 +128,44 @@ def test_formats_stay_valid(spark):
     assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}", r[5].found[0].value)
 
 
+def canonical(kind, v):
+    if kind == "date":
+        a, b, c = (int(x) for x in re.split("[-/.]", v))
+        return (a, b, c) if a > 31 else (c, a, b) if b > 12 else (c, b, a)
+    if kind == "phone":
+        return re.sub("[^0-9]", "", v if v.startswith("+") else f"1{v}")
+    return v.lower().replace("-", "").replace(" ", "")
+
+
+def test_one_value_in_all_spellings_has_one_pseudonym(spark):
+    """Spellings of a number, day or address; pseudonyms are found again as their kind, and have their format."""
+    same = [
+        ["+442079460958", "+44 20 7946 0958", "+44 (20) 7946 0958", "+4420 7946 0958"], ["(212) 555-0199", "212-555-0199", "+1 212 555 0199", "+12125550199", "+1 (212) 555-0199"], ["+1 (017) 555-7713", "+1 017 555 7713"],
+        ["12/31/2020", "2020-12-31", "31/12/2020", "31.12.2020"], ["2020-03-04", "04/03/2020", "4.3.2020"], ["Some.One9@x.example.org", "some.one9@x.example.org", "SOME.ONE9@x.example.org"], ["4111111111111111", "4111-1111-1111-1111"], ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"],
+    ]
+    flat = [v for x in same for v in x]
+    once = [r.found for r in found(spark, "k", *flat)]
+    again = [r.found for r in found(spark, "k", *[x[0].value for x in once])]
+    assert all(len(x) == len(y) == 1 and x[0].kind == y[0].kind for x, y in zip(once, again, strict=True))
+    new = iter(x[0] for x in once)
+    for x in same:
+        assert len({canonical(v.kind, v.value) for v in (next(new) for _ in x)}) == 1, x
+    numbers = [f"{a}-{b}-{n:04}" for a, b, n in ((212 + k % 700, 200 + k * 7 % 800, k * 37 % 10000) for k in range(400))]
+    made = [r.found[0].value for r in found(spark, "k", *numbers)]
+    assert len(set(made)) == len(set(numbers)) and all(re.fullmatch("[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}", x) for x in made)
+
+
+def test_key_is_not_in_plans(spark):
+    df = spark.createDataFrame([("call +44 20 7946 0958",)], "text string")
+    spark.conf.set(pii.KEY_CONF, "very secret")
+    try:
+        made = pii.pseudonymise(df, pii.secret(spark))
+        assert made.select("pii.text").first() == pii.pseudonymise(df, "very secret").select("pii.text").first() and made.columns == ["text", "pii"]
+        assert "very secret" not in made._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset(pii.KEY_CONF)
+
+
 def test_invalid_values_stay(spark):
     texts = ["4111111111111112", "300.1.2.3", "2021-02-30", "000-12-3456", "DE00370400440532013000", "DE99000000000000000030", "version 2.0.1 of 12", "x@y"]
     assert all(r.text == t and not r.found for r, t in zip(found(spark, "k", *texts), texts, strict=True))
@@ -449,7 +491,7 @@ def test_pipeline_equals_plain_stages(spark, data, duck, documents, library):
     bad = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({decontaminate.SQL}) q WHERE contaminated").fetchall()}
     want = {}
     for k in kept - bad:
-        t = re.sub(pii.PATTERN, lambda m: plain_pseudonym(m, corpus_pipeline.KEY), texts[k])
+        t = re.sub(pii.PATTERN, lambda m: plain_pseudonym(m, pii.secret(spark).first().key), texts[k])
         ids = library.encode_ordinary(t)
         want[k] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, data).collect()}

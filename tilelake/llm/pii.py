@@ -2,7 +2,8 @@
 
 Values that pass their check (Luhn, IBAN's mod 97, calendar, octets, number ranges) are permuted by a keyed Feistel
 network within their own format, so a pseudonym passes the same check, equal values get equal pseudonyms in every
-document, and different values of one format get different ones. The round function is SHA-256 over the key, the format,
+document and every spelling, and different values of one format get different ones. What is permuted is the value itself
+(the digits of a number, the day of a date, an address in lower case); the layout is filled with the result. The round function is SHA-256 over the key, the format,
 the round and the other half.
 
 Two networks are used. Numbers below a * b: a left half below a and a right half below b are added to in turn, modulo a
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: The setting that holds the key.
+KEY_CONF = "spark.tilelake.pii.key"
 
 #: Lengths of IBANs and the countries that have them.
 IBANS = {
@@ -25,6 +28,10 @@ IBANS = {
 }
 
 
+#: Country codes of one and two digits; all others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+
+
 def _iban_pattern() -> str:
     """A country's IBAN has its length, so that words after it are no part; other letters take what may be one."""
     of = lambda names: "(?:" + names.replace(" ", "|") + ")"
@@ -174,32 +181,48 @@ def _date(v: Column, key: Column) -> tuple[Column, Column]:
     day_first = two.cast("int") <= 12
     day = F.try_to_date(F.when(iso, v).otherwise(F.concat_ws("-", three, F.when(day_first, pad(two)).otherwise(pad(one)), F.when(day_first, pad(one)).otherwise(pad(two)))), "yyyy-MM-dd")
     origin = F.to_date(F.lit("1900-01-01"))
-    step = lambda n, tweak: permute_number(n, *DAYS, key, tweak)
+    step = lambda n: permute_number(n, *DAYS, key, "date")
     on = lambda n: F.date_add(origin, n.cast("int"))
     number = F.datediff(day, origin).cast("long")
-    # among the days after the twelfth, the permutation is applied until it ends on such a day again
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), step(number, "date-us"), lambda n, _: F.when(F.dayofmonth(on(n)) > 12, n).otherwise(step(n, "date-us")))
+    # days after the twelfth stay among themselves, as month/day/year can be told only of these; so do the others
+    late = F.dayofmonth(day) > 12
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(96)), step(number), lambda n, _: F.when((F.dayofmonth(on(n)) > 12) == late, n).otherwise(step(n)))
     full = F.length(v) == 10
     show = lambda x: F.when(full, pad(x.cast("string"))).otherwise(x.cast("string"))
     write = lambda d, a, b: F.concat(show(a(d)), sep, show(b(d)), sep, F.year(d).cast("string"))
-    plain = F.aggregate(F.array(on(step(number, "date"))), F.lit(""), lambda _, d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(write(d, F.dayofmonth, F.month)))
-    us = F.aggregate(F.array(on(walked)), F.lit(""), lambda _, d: write(d, F.month, F.dayofmonth))
-    return day.isNotNull(), F.when(iso | day_first, plain).otherwise(us)
+    new = F.aggregate(F.array(on(walked)), F.lit(""), lambda _, d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(day_first, write(d, F.dayofmonth, F.month)).otherwise(write(d, F.month, F.dayofmonth)))
+    return day.isNotNull(), new
+
+
+def _national(d: Column, key: Column) -> Column:
+    """Ten digits of a number of the plan of country code 1. Area and exchange stay below 200 or not, as they are, since
+    only those from 200 on are in use."""
+    area, middle, line = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 3).cast("long"), F.substring(d, 7, 4).cast("long")
+    low = lambda x: F.when(x >= 200, 200).otherwise(0)
+    many = lambda x: F.when(x >= 200, 800).otherwise(200)
+    number = ((area - low(area)) * many(middle) + middle - low(middle)) * 10000 + line
+    new = permute_number(number, many(area) * many(middle), 10000, key, "phone 1")
+    part = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    first = lambda n: F.floor(n / 10000)
+    return F.aggregate(F.array(new), F.lit(""), lambda _, n: F.concat(part(low(area) + F.floor(first(n) / many(middle)), 3), part(low(middle) + F.pmod(first(n), many(middle)), 3), part(F.pmod(n, F.lit(10000)), 4)))
 
 
 def _phone(v: Column, key: Column) -> tuple[Column, Column]:
-    """The country code stays: the digits from + to the first other sign, or one digit of a run without signs."""
-    run = v.rlike(r"^\+[0-9]+$")
-    head = F.when(run, F.substring(v, 1, 2)).when(v.startswith("+"), F.regexp_extract(v, r"^\+[0-9]+", 0)).otherwise("")
-    rest = F.substring(v, F.length(head) + 1, F.length(v))
-    n = F.length(_digits(v))
-    return n.between(8, 15), F.concat(head, _refill(rest, "0-9", permute_string(_digits(rest), key, "phone")))
+    """The country code stays. Numbers without one have code 1."""
+    d, plus = _digits(v), v.startswith("+")
+    of = lambda n: "|".join(c for c in CODES.split() if len(c) == n)
+    code = F.when(~plus, 0).when(d.rlike(f"^({of(1)})"), 1).when(d.rlike(f"^({of(2)})"), 2).otherwise(3)
+    rest = F.substring(d, code + 1, F.length(d))
+    new = F.when((F.length(rest) == 10) & (~plus | d.startswith("1")), _national(rest, key)).otherwise(permute_string(rest, key, "phone"))
+    return F.length(d).between(8, 15), _refill(v, "0-9", F.concat(F.substring(d, F.lit(1), code), new))
 
 
 def _email(v: Column, key: Column) -> tuple[Column, Column]:
-    """The part before the @ is permuted; the domain stays."""
+    """The part before the @ is permuted without regard to case, which it keeps at each place; the domain stays."""
     name = F.substring_index(v, "@", 1)
-    return F.lit(True), F.concat(permute_string(name, key, "email"), F.substring(v, F.length(name) + 1, F.length(v)))
+    new = permute_string(F.lower(name), key, "email")
+    cased = F.array_join(F.zip_with(F.split(name, ""), F.split(new, ""), lambda o, n: F.when(o.between("A", "Z"), F.upper(n)).otherwise(n)), "")
+    return F.lit(True), F.concat(F.when(name.rlike("[A-Z]"), cased).otherwise(new), F.substring(v, F.length(name) + 1, F.length(v)))
 
 
 _MAKERS = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ipv4": _ipv4, "phone": _phone, "card": _card}
@@ -216,26 +239,36 @@ def _pseudonym(v: Column, key: Column) -> Column:
     return F.struct(kind.alias("kind"), out.alias("value"))
 
 
-def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", out: str = "pii") -> DataFrame:
+def secret(spark: SparkSession) -> DataFrame:
+    """The key of the deployment as a table of one row: what the setting ``KEY_CONF`` says, else a key for tests."""
+    return spark.createDataFrame([(spark.conf.get(KEY_CONF, "a key for tests"),)], "key string")
+
+
+def pseudonymise(docs: DataFrame, key: str | DataFrame, *, text: str = "text", out: str = "pii") -> DataFrame:
     """docs with a struct ``out``: text with pseudonyms, and found, an array of (kind, value) of them in order.
 
-    Kinds: email, iban, date (1900 to 2099), ssn, ipv4, phone, card. A value that looks like one but fails its check is
-    left alone, as is all other text. Null text stays null with nothing found; empty text stays empty. Each row is
-    handled by itself, repeated rows alike; there is no shuffle. A column of docs named ``out`` is replaced.
+    key: a table with a column ``key`` and one row, which is read as a scalar subquery, so that neither plans nor logs
+    show it; or the key itself, for tests. Kinds: email, iban, date (1900 to 2099), ssn, ipv4, phone, card. A value that
+    looks like one but fails its check is left alone, as is all other text. A number, day or address has one pseudonym in
+    all its spellings. Null text stays null with nothing found; empty text stays empty. Each row is handled by itself,
+    repeated rows alike; there is no shuffle. A column of docs named ``out`` is replaced.
     """
-    t, k = F.col(text), F.lit(key)
-    made = F.transform(F.regexp_extract_all(t, F.lit(f"({PATTERN})"), F.lit(1)), lambda v: _pseudonym(v, k))
-    some = docs.drop(out).withColumn(out, F.when(t.rlike("[0-9@]") & t.rlike(PATTERN), made))
+    name = f"{out}_key"
+    while name in docs.columns or name == out:
+        name += "_"
+    t, k = F.col(text), F.lit(key) if isinstance(key, str) else F.col(name)
+    base = docs.drop(out) if isinstance(key, str) else docs.drop(out).withColumn(name, key.select("key").scalar())
+    some = base.withColumn(out, F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(f"({PATTERN})"), F.lit(1))))
+    some = some.withColumn(out, F.when(F.size(out) > 0, F.transform(out, lambda v: _pseudonym(v, k))))
     gaps = F.split(t, PATTERN, -1)
     joined = F.array_join(F.zip_with(gaps, F.transform(F.col(out), lambda x: x["value"]), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
     none = F.expr("cast(array() as array<struct<kind:string,value:string>>)")
-    return some.withColumn(
-        out, F.struct(F.when(F.col(out).isNotNull(), joined).otherwise(t).alias("text"), F.coalesce(F.filter(F.col(out), lambda x: x["kind"].isNotNull()), none).alias("found"))
-    )
+    made = F.struct(F.when(F.col(out).isNotNull(), joined).otherwise(t).alias("text"), F.coalesce(F.filter(F.col(out), lambda x: x["kind"].isNotNull()), none).alias("found"))
+    return some.withColumn(out, made).drop(*[] if isinstance(key, str) else [name])
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    made = pseudonymise(docs, "a key that each deployment sets for itself")
+    made = pseudonymise(docs, secret(spark))
     kinds = F.transform("pii.found", lambda x: x["kind"])
     return made.select("doc_id", F.col("pii.text").alias("text"), F.size(kinds).cast("long").alias("n_found"), F.array_join(F.transform("pii.found", lambda x: F.concat_ws("=", x["kind"], x["value"])), "\n").alias("pseudonyms"))
