@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from tilelake.llm import bytebpe, decontaminate, neardup, pii, quality
 from tilelake.llm.shared import folder
 
-KEY = "a key that each deployment sets for itself"
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -42,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; n_chars follows the text."""
-    made = pii.pseudonymise(docs, KEY, out="_pii")
+    made = pii.pseudonymise(docs, pii.secret(spark), out="_pii")
     return made.withColumns({"text": F.col("_pii.text"), "n_chars": F.when(F.size("_pii.found") > 0, F.length("_pii.text").cast("long")).otherwise(F.col("n_chars"))}).drop("_pii").select(*docs.columns)
 
 
