@@ -289,12 +289,15 @@ def library():
 
 
 def test_tree_equals_library(library, monkeypatch):
-    monkeypatch.setattr(bytebpe, "LEAF", 6)
-    monkeypatch.setattr(bytebpe, "REACH", 3)
     c, rnd = bytebpe.codec(RANKS), random.Random(7)
+    assert all(c.merged(k) == [v] for k, v in c.ranks.items())
     some = ["a", "b", "'", "s", "t", "ll", " ", "  ", "\n", "1", "\u00e9", "\u6f22", "\U0001f600", "don't", " the", "!", "\u0301", "\xa0"]
-    for _ in range(1500):
-        s = "".join(rnd.choice(some) for _ in range(rnd.randint(0, 80)))
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 80))) for _ in range(1500)]
+    texts += ["".join(rnd.choice("abcdeinorst") for _ in range(rnd.randint(1, 400))) for _ in range(400)]  # long matches
+    texts += ["a" * 30000, "ab" * 3000 + "c" * 5000, "\u6f22\u5b57" * 3000, "".join(rnd.choice("ABCxyz019+/") for _ in range(20000)), "=" * 4097, " " * 5000]
+    monkeypatch.setattr(bytebpe, "KEPT", 500)
+    for k, s in enumerate(texts):
+        monkeypatch.setattr(bytebpe, "LEAF", (1, 2, 16)[k % 3])
         assert c.encode(s) == library.encode_ordinary(s) and c.decode(c.encode(s)) == s.encode()
 
 

@@ -1,59 +1,124 @@
 """Byte-level BPE by monoid tree reduction.
 
-Encoding halves a text until a part has at most ``LEAF`` characters, encodes the parts, and joins neighbours. The ids of
-a part are right except near its ends, where the pattern's matches, and so the merges, may run over the cut. A join
-encodes a window around the cut anew, from a character p before it to a character q behind it, and the window grows
-until both are sure ends: a space between two characters that aren't white space. No match of the pattern has such a
-space elsewhere than at its start, whatever stands around it, so matches begin at p and q in the parts and in the whole,
-and the tokens outside the window are final. A side without a sure end is encoded up to its end.
-
-Decoding concatenates the bytes of the tokens up the same kind of tree.
+Matches of the pattern are encoded by themselves, so the ids of a text are those of its matches one after another. Within
+a match the bytes are halved until a part is a token or has at most ``LEAF`` bytes; the ids of neighbouring parts are joined. A join encodes a window
+around the cut anew, which grows by tokens on either side until it is stable.
+
+When a window is stable can be told from its ends. Merging by ranks gives each string one encoding, and a sequence of
+tokens is the encoding of its bytes if and only if each two tokens that follow each other are the encoding of theirs: a
+merge over a boundary that would come first in the whole would also come first in the two. All pairs inside the parts and
+inside the window are right, so only the two pairs at the window's ends are looked at; what lies outside is final.
+
+Texts repeat their matches, so those of a worker are kept in a table that is emptied when it is full. Decoding concatenates
+the bytes of the tokens up the same kind of tree.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tilelake.llm.words import attach
 
-LEAF = 2048
-#: Characters looked at first on either side of a cut.
-REACH = 64
+#: Bytes of a part that is merged as it is.
+LEAF = 16
+NONE = 1 << 62
+#: Matches, and pairs of tokens, that a worker keeps, and the longest match that it keeps, in characters.
+KEPT, KEPT_LENGTH = 1 << 19, 64
 
 ENCODED = T.StructType([T.StructField("ids", T.BinaryType(), False), T.StructField("n_tokens", T.LongType(), False)])
 
 
-class Codec:
-    """Encodes and decodes whole texts by a rank file."""
+class Codec(dict):
+    """Encodes and decodes whole texts by a rank file. As a dict: the ids of matches."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.token = {v: k for k, v in ranks.items()}
-        self.leaf = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.token = {v: k for k, v in self.ranks.items()}
+        self.pattern = regex.compile(pattern)
+        self.pairs: dict[tuple[int, int], bool] = {}
+
+    def __missing__(self, match: str) -> list[int]:
+        ids = self.reduced(match.encode())
+        if len(match) <= KEPT_LENGTH:
+            self[match] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LEAF:
-            return self.leaf(text)
-        cut = len(text) // 2
-        left, right = self.encode(text[:cut]), self.encode(text[cut:])
-        p, q = before(text, cut), after(text, cut)
-        if p is None or q is None:
-            # no sure end on a side: the window takes that whole side
-            p, q = p or 0, len(text) if q is None else q
-        keep, drop = len(left) - len(self.leaf(text[p:cut])), len(self.leaf(text[cut:q]))
-        left[keep:] = self.leaf(text[p:q])
-        left += right[drop:]
-        return left
+        if len(self) > KEPT:
+            self.clear()
+        if len(self.pairs) > KEPT:
+            self.pairs.clear()
+        matches = self.pattern.findall(text) if not self.pattern.groups else [m.group() for m in self.pattern.finditer(text)]
+        return list(chain.from_iterable(map(self.__getitem__, matches)))
+
+    def reduced(self, b: bytes) -> list[int]:
+        """The encoding of the bytes of a match or of a part of one."""
+        if (whole := self.ranks.get(b)) is not None:
+            return [whole]
+        if len(b) <= LEAF:
+            return self.merged(b)
+        return self.joined(self.reduced(b[: len(b) // 2]), self.reduced(b[len(b) // 2 :]))
+
+    def joined(self, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of the bytes of two encodings."""
+        if self.apart(left[-1], right[0]):
+            return left + right
+        i = j = 1
+        while True:
+            window = self.merged(b"".join(map(self.token.__getitem__, left[-i:] + right[:j])))
+            low = i >= len(left) or self.apart(left[-i - 1], window[0])
+            high = j >= len(right) or self.apart(window[-1], right[j])
+            if low and high:
+                return left[:-i] + window + right[j:]
+            i, j = min(len(left), i if low else 2 * i), min(len(right), j if high else 2 * j)
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether two tokens are the encoding of their bytes."""
+        if (known := self.pairs.get((a, b))) is None:
+            known = self.pairs[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+        return known
+
+    def merged(self, b: bytes) -> list[int]:
+        """The encoding of a string by merging alone: of the neighbours whose union has the least rank, the leftmost become one."""
+        n = len(b)
+        if n <= LEAF:
+            parts, rank = [b[i : i + 1] for i in range(n)], self.ranks.get
+            while len(parts) > 1:
+                least, at = NONE, 0
+                for i in range(len(parts) - 1):
+                    if (r := rank(parts[i] + parts[i + 1], NONE)) < least:
+                        least, at = r, i
+                if least == NONE:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return [self.ranks[x] for x in parts]
+        end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        found = [(r, i, i + 2) for i in range(n - 1) if (r := self.ranks.get(b[i : i + 2])) is not None]
+        heapq.heapify(found)
+        while found:
+            r, i, stop = heapq.heappop(found)
+            if not alive[i] or end[i] >= n or end[end[i]] != stop:
+                continue  # one of the two has grown since
+            alive[end[i]] = False
+            end[i] = stop
+            if stop < n:
+                before[stop] = i
+                if (r := self.ranks.get(b[i : end[stop]])) is not None:
+                    heapq.heappush(found, (r, i, end[stop]))
+            if before[i] >= 0 and (r := self.ranks.get(b[before[i] : stop])) is not None:
+                heapq.heappush(found, (r, before[i], stop))
+        return [self.ranks[b[i : end[i]]] for i in range(n) if alive[i]]
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 1 << 16:
@@ -62,32 +127,6 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-SURE = regex.compile(r"(?<=\S) (?=\S)")
-
-
-def before(text: str, cut: int) -> int | None:
-    """The last sure end whose neighbours lie before the cut."""
-    reach = REACH
-    while True:
-        lo = max(0, cut - reach)
-        if found := [m.start() for m in SURE.finditer(text, lo, cut)]:
-            return found[-1]
-        if not lo:
-            return None
-        reach *= 2
-
-
-def after(text: str, cut: int) -> int | None:
-    """The first sure end behind the cut, with a character between."""
-    reach = REACH
-    while True:
-        if m := SURE.search(text, cut + 1, cut + reach):
-            return m.start()
-        if cut + reach >= len(text):
-            return None
-        reach *= 2
-
-
 _codecs: dict[str, Codec] = {}
 
 
