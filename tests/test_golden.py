@@ -270,3 +270,17 @@ def test_numbers_across_ranges(spark):
     got = catalogs.numbered(rows, "v", "fid").orderBy("v").collect()
     assert [r.fid for r in got] == list(range(1, 5001))
     assert catalogs.numbered(rows.limit(0), "v", "fid").count() == 0
+
+
+def test_resolve_reads_the_folders_of_the_regions_it_needs(spark, data):
+    """Region prune becomes a partition filter; tiles of one region leave the others' files alone."""
+    from tilelake.plans import q_imagery
+
+    catalogue = q_imagery.catalogue(spark, data)
+    tile = q_imagery.requested(spark, data)
+    near = q_imagery.im.region_prune(tile, q_imagery.im.region_extents(catalogue)).where("region = 'wy'").select("z", "x", "y").distinct().limit(5)
+    got = q_imagery.resolve(near, catalogue, q_imagery.YEAR)
+    scans = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x and "region" in x]
+    assert scans and any("region" in x.split("PartitionFilters: [")[1].split("]")[0] and "'ca'" not in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)
+    status = {r.status for r in q_imagery.job_resolve_imagery(spark, data).select("status").distinct().collect()}
+    assert {"ok", "no_coverage", "below_min_zoom", "out_of_range"} <= status

@@ -38,15 +38,24 @@ def following(ring: Column, i: Column) -> Column:
     return F.element_at(ring, (i + 1) % F.size(ring) + 1)
 
 
+def edges(ring: Column) -> Column:
+    """The edges of a convex ring (x, y, dx, dy), counter-clockwise: what ``edges_meet_box`` needs, made once for each ring."""
+    turn = F.when(ring_area(ring) >= 0, 1.0).otherwise(-1.0)
+    edge = lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), ((q["x"] - p["x"]) * turn).alias("dx"), ((q["y"] - p["y"]) * turn).alias("dy"))
+    return F.transform(ring, lambda p, i: edge(p, following(ring, i)))
+
+
+def edges_meet_box(edge: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
+    """Whether no edge has the whole box on its outer side; the box of the ring must meet it too, touching included."""
+    nearest = lambda v: F.greatest(v["dx"] * (s - v["y"]), v["dx"] * (n - v["y"])) - F.least(v["dy"] * (w - v["x"]), v["dy"] * (e - v["x"]))
+    return ~F.exists(edge, lambda v: nearest(v) < 0)
+
+
 def convex_meets_box(ring: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
     """Whether a convex ring meets a box, touching included: no edge of either separates them."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     boxes = (F.array_min(xs) <= e) & (F.array_max(xs) >= w) & (F.array_min(ys) <= n) & (F.array_max(ys) >= s)
-    corners = F.array(point(w, s), point(e, s), point(e, n), point(w, n))
-    side = lambda a, b, p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
-    turn = F.when(ring_area(ring) >= 0, 1.0).otherwise(-1.0)
-    splits = F.exists(F.transform(ring, lambda p, i: F.forall(corners, lambda c: side(p, following(ring, i), c) * turn < 0)), lambda v: v)
-    return boxes & ~splits
+    return boxes & edges_meet_box(edges(ring), w, s, e, n)
 
 
 def ring_area(ring: Column) -> Column:

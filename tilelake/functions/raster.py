@@ -32,6 +32,21 @@ def first_valid(ranked: Column) -> Column:
     return F.aggregate(F.slice(layers, 2, F.size(layers)), F.element_at(layers, 1), lambda a, b: F.zip_with(a, b, lambda p, q: F.coalesce(p, q)))
 
 
+def first_source(ranked: Column) -> Column:
+    """The rank of the layer that each pixel's first valid value is from, over an array of (rank, pixels) structs."""
+    own = F.transform(F.array_sort(ranked), lambda r: F.transform(r["pixels"], lambda p: F.when(p.isNotNull(), r["rank"])))
+    return F.aggregate(F.slice(own, 2, F.size(own)), F.get(own, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda p, q: F.coalesce(p, q)))
+
+
+def select_bands(pixels: Column, n_bands: int, picks: tuple[int, ...]) -> Column:
+    """The picked bands (from 1) of pixels that lie band after band, in that order. Fewer bands than asked are an error,
+    so that a picture without them isn't taken for one with other colours."""
+    if max(picks) > n_bands or min(picks) < 1:
+        raise ValueError(f"{picks} of {n_bands} bands")
+    size = F.floor(F.size(pixels) / n_bands).cast("int")
+    return F.flatten(F.array(*[F.slice(pixels, size * (b - 1) + 1, size) for b in picks]))
+
+
 def encode_terrarium(metres: Column) -> Column:
     """24-bit code of an elevation: null, NaN and the void value are sea level; half-way values go to the even code."""
     e = F.when(metres.isNull() | F.isnan(metres) | (metres == VOID), 0.0).otherwise(metres)

@@ -66,22 +66,27 @@ def newest_vintage(items: DataFrame, year: int) -> DataFrame:
     return items.join(newest, ["region", "year"], "left_semi")
 
 
-def in_cells(items: DataFrame, grid: int = GRID) -> DataFrame:
-    """items once for each cell that their box meets: cx, cy."""
-    cells = tm.tile_cover_bbox(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.lit(grid), MARGIN)
+def in_cells(items: DataFrame, zoom: Column) -> DataFrame:
+    """items once for each tile of a zoom that their box meets: cx, cy."""
+    cells = tm.tile_cover_bbox(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], zoom, MARGIN)
     return items.withColumn("_cell", F.explode(cells)).select("*", F.col("_cell.x").alias("cx"), F.col("_cell.y").alias("cy")).drop("_cell")
 
 
 def tiles_x_imagery(tiles: DataFrame, items: DataFrame, grid: int = GRID, exact: bool = True) -> DataFrame:
-    """(z, x, y) of tiles with z >= grid, joined to all columns of the items whose ring meets the tile, touching included;
-    with exact=False, to those whose box does."""
+    """(z, x, y) of tiles joined to all columns of the items whose ring meets the tile, touching included; with
+    exact=False, to those whose box does. Tiles from zoom ``grid`` on meet items in their ancestor at that zoom, coarser
+    ones in themselves, which takes items of the zooms that such tiles have."""
+    own = items.withColumn("_edges", geometry.edges(F.col("ring"))) if exact else items
     cell = tm.tile_ancestor_at(F.col("z"), F.col("x"), F.col("y"), grid)
-    t = with_box(tiles.where(F.col("z") >= grid)).withColumn("_cell", cell).select("z", "x", "y", *"wsen", F.col("_cell.x").alias("cx"), F.col("_cell.y").alias("cy"))
-    box, own = tuple(F.col(c) for c in "wsen"), tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
-    pairs = t.join(in_cells(items, grid), ["cx", "cy"]).where(geometry.bbox_meets(own, box))
+    fine = with_box(tiles.where(F.col("z") >= grid)).withColumn("_cell", cell).select("z", "x", "y", *"wsen", F.col("_cell.x").alias("cx"), F.col("_cell.y").alias("cy"))
+    wide = with_box(tiles.where(F.col("z") < grid)).select("z", "x", "y", *"wsen", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    spread = own.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).join(wide.select("z").distinct(), "z")
+    both = fine.join(in_cells(own, F.lit(grid)), ["cx", "cy"]).unionByName(wide.join(in_cells(spread, F.col("z")), ["z", "cx", "cy"]))
+    box = tuple(F.col(c) for c in "wsen")
+    pairs = both.where(geometry.bbox_meets(tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")), box))
     if exact:
-        pairs = pairs.where(geometry.convex_meets_box(F.col("ring"), *box))
-    return pairs.drop("cx", "cy", *"wsen")
+        pairs = pairs.where(geometry.edges_meet_box(F.col("_edges"), *box))
+    return pairs.drop("cx", "cy", "_edges", *"wsen")
 
 
 def rank_assets(pairs: DataFrame, cap: int = CAP) -> DataFrame:

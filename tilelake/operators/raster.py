@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,14 @@ def mosaic_first_valid(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
     return merged.select(*keys, F.when(F.exists(first, lambda p: p.isNotNull()), first).alias("pixels"), "failed")
 
 
+def finest_source_wins(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
+    """(keys, ranks): for each pixel the rank of the asset that shows there, the first in rank order with a valid value;
+    null where none has one. Failed assets show nowhere."""
+    ok = F.when(F.col("status") != "failed", F.struct("rank", "pixels"))
+    merged = tiles.groupBy(*keys).agg(F.collect_list(ok).alias("layers"))
+    return merged.where(F.size("layers") > 0).select(*keys, px.first_source(F.col("layers")).alias("ranks"))
+
+
 def mosaic_large(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
     """mosaic_first_valid for large tiles, in numpy: one group holds the at most 64 ranked assets of a tile."""
     fields = [f for f in tiles.schema.fields if f.name in keys]
@@ -156,29 +165,35 @@ def surface_grid(tiles: DataFrame, step: int = 8) -> DataFrame:
     return tiles.select("z", "x", "y", "rank", "size", "pixels").mapInPandas(one, GRID)
 
 
-def warp_to_tile(pairs: DataFrame, size: int) -> DataFrame:
-    """(z, x, y, rank, status, pixels) of pairs of a tile (z, x, y, rank) with an asset's grid (x0, y0, dx, dy, width,
-    height, crs, nodata, pixels): each tile pixel takes the asset's value at its centre (nearest). crs is 4326 or 3857.
-    Pixels outside the grid or equal to nodata are masked; an asset without a pixel in the tile has status no_coverage."""
-    schema = "z int, x int, y int, rank long, status string, pixels array<double>"
+def warp_to_tile(pairs: DataFrame, size: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(z, x, y, rank, keys, status, pixels) of pairs of a tile (z, x, y, rank, keys) with an asset's grid (x0, y0, dx, dy,
+    width, height, crs, nodata, pixels): each tile pixel takes the asset's value at its centre (nearest). crs is 4326 or
+    3857. Pixels outside the grid or equal to nodata are masked; an asset without a pixel in the tile has status
+    no_coverage."""
+    tile = ["z", "x", "y", "rank", *keys]
+    grid = ["x0", "y0", "dx", "dy", "width", "height", "crs", "nodata", "pixels"]
+    own = pairs.select(*tile, *grid)
+    schema = T.StructType([*[own.schema[k] for k in tile], T.StructField("status", T.StringType()), T.StructField("pixels", T.ArrayType(T.DoubleType()))])
 
     def one(it):
-        for pdf in it:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                side = tm.SIDE / 2**r.z
-                mid = (np.arange(size) + 0.5) / size * side
-                mx, my = r.x * side - tm.HALF + mid, tm.HALF - r.y * side - mid
-                if r.crs == 4326:
-                    mx, my = mx / tm.HALF * 180, np.degrees(2 * np.arctan(np.exp(my / tm.R)) - np.pi / 2)
-                col, row = np.floor((mx - r.x0) / r.dx).astype(int), np.floor((my - r.y0) / r.dy).astype(int)
-                a = np.array(r.pixels, dtype=float).reshape(r.height, r.width)
-                a = np.where(a == r.nodata, np.nan, a)
-                inside = ((row >= 0) & (row < r.height))[:, None] & ((col >= 0) & (col < r.width))[None, :]
-                got = np.where(inside, a[np.ix_(np.clip(row, 0, r.height - 1), np.clip(col, 0, r.width - 1))], np.nan)
-                ok = not np.isnan(got).all()
-                rows.append((r.z, r.x, r.y, r.rank, "ok" if ok else "no_coverage", [None if np.isnan(v) else float(v) for v in got.ravel()] if ok else None))
-            yield pd.DataFrame(rows, columns=["z", "x", "y", "rank", "status", "pixels"])
-
-    cols = ["z", "x", "y", "rank", "x0", "y0", "dx", "dy", "width", "height", "crs", "nodata", "pixels"]
-    return pairs.select(*cols).mapInPandas(one, schema)
+        for b in it:
+            z, x, y, x0, y0, dx, dy, width, height, crs = (b.column(b.schema.names.index(k)).to_numpy(zero_copy_only=False)[:, None] for k in ["z", "x", "y", *grid[:7]])
+            side = tm.SIDE / np.exp2(z)
+            mid = (np.arange(size) + 0.5)[None, :] / size * side
+            mx, my = x * side - tm.HALF + mid, tm.HALF - y * side - mid
+            mx, my = np.where(crs == 4326, mx / tm.HALF * 180, mx), np.where(crs == 4326, np.degrees(2 * np.arctan(np.exp(my / tm.R)) - np.pi / 2), my)
+            col, row = np.floor((mx - x0) / dx).astype(np.int64), np.floor((my - y0) / dy).astype(np.int64)
+            inside = ((row >= 0) & (row < height))[:, :, None] & ((col >= 0) & (col < width))[:, None, :]
+            lists = b.column(b.schema.names.index("pixels"))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+            first = (np.asarray(lists.offsets)[:-1] - np.asarray(lists.offsets)[0])[:, None, None]
+            at = first + row[:, :, None] * width[:, :, None] + col[:, None, :]
+            got = np.where(inside, flat[np.where(inside, at, 0)], np.nan) if len(flat) else np.full(inside.shape, np.nan)
+            got[got == b.column(b.schema.names.index("nodata")).to_numpy(zero_copy_only=False)[:, None, None]] = np.nan
+            got = got.reshape(b.num_rows, -1)
+            ok = ~np.isnan(got).all(axis=1)
+            values = pa.array(got[ok].ravel(), mask=np.isnan(got[ok]).ravel())
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok)]) * size * size, pa.int32(), mask=np.append(~ok, False)), values)
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(tile))], pa.array(np.where(ok, "ok", "no_coverage").tolist(), pa.string()), made], names=[*tile, "status", "pixels"])
+
+    return own.mapInArrow(one, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tilelake.functions import raster as px
 from tilelake.functions import tilemath as tm
 from tilelake.operators import raster
-from tilelake.plans import sql
+from tilelake.plans import q_imagery, sql
 from tilelake.sources import catalogs, fixtures, scratch
 
 
@@ -114,9 +114,15 @@ def composite_white(spark, sf_dir):
     return flat.select("vec_id", "i", *[F.when(F.col("seen"), px.composite_white(F.col(n), F.col("a"))).alias(n) for n in "rgb"], F.when(F.col("seen"), "ok").otherwise("no_coverage").alias("status"))
 
 
+def finest_source_wins(spark, sf_dir):
+    """Which asset each pixel of a tile is from; some reads failed."""
+    return raster.finest_source_wins(_sources(spark, sf_dir)).select("z", "x", "y", F.posexplode("ranks").alias("k", "rank"))
+
+
 def select_bands(spark, sf_dir):
+    """Bands 1, 2 and 3 of pictures of 16 bands of four pixels."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("band", "v")).select("vec_id", "band", F.round(F.col("v").cast("double"), 6).alias("v"))
+    return e.select("vec_id", F.posexplode(px.select_bands(F.col("embedding"), 16, (1, 2, 3))).alias("k", "v")).select("vec_id", "k", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
 def rescale(spark, sf_dir):
@@ -170,16 +176,46 @@ def warp_to_tile(spark, sf_dir):
     return w.select("rank", "status", F.posexplode("pixels").alias("k", "v"))
 
 
-def job_bake_imagery(spark, sf_dir):
-    """Assets of tiles → warp → mosaic in rank order → table → manifest."""
-    warped = raster.warp_to_tile(_asset_pairs(spark, sf_dir), 8)
-    m = raster.mosaic_first_valid(warped)
+#: Pixels of a side of a baked tile and of an asset's band, bands of an asset.
+SIZE, ASSET, BANDS = 4, 4, 4
+
+
+def _pictures(spark, sf_dir) -> DataFrame:
+    """(id, x0, y0, dx, dy, width, height, crs, nodata, pixels): the picture of each imagery item, four bands in its box."""
+    i = fixtures.imagery(spark, sf_dir)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda v: F.when(F.abs(v) < 0.01, px.VOID).otherwise(F.round(v.cast("double") * 100, 3))).alias("pixels"))
+    own = i.withColumn("vec_id", F.substring_index("id", "_", -1).cast("long") % 200).join(e, "vec_id")
+    dx, dy = (F.col("xmax") - F.col("xmin")) / ASSET, (F.col("ymin") - F.col("ymax")) / ASSET
+    return own.select("id", F.col("xmin").alias("x0"), F.col("ymax").alias("y0"), dx.alias("dx"), dy.alias("dy"), F.lit(ASSET).alias("width"), F.lit(ASSET).alias("height"), F.lit(4326).alias("crs"), F.lit(px.VOID).alias("nodata"), "pixels")
+
+
+def bake_imagery(resolved: DataFrame, pictures: DataFrame, size: int, n_bands: int, picks: tuple[int, ...]) -> DataFrame:
+    """(z, x, y, band, status, pixels) of resolved tiles (z, x, y, status, rank, id, ...): the bands of their assets'
+    pictures, warped to the tile and merged in rank order. A tile without an asset keeps its status; one whose assets have
+    no pixel in it has no coverage. The band of a tile without assets is 0."""
+    picked = pictures.withColumn("band", F.explode(F.array(*[F.lit(b) for b in picks])))
+    width = F.col("width") * F.col("height")
+    one = picked.withColumn("pixels", F.slice("pixels", width * (F.col("band") - 1) + 1, width))
+    pairs = resolved.where("id is not null").select("z", "x", "y", F.col("rank").cast("long").alias("rank"), "id").join(one, "id")
+    merged = raster.mosaic_first_valid(raster.warp_to_tile(pairs, size, ["band"]), ["z", "x", "y", "band"])
     status = F.when(F.col("failed"), "failed").when(F.col("pixels").isNull(), "no_coverage").otherwise("ok")
-    tiles = m.select(F.lit("naip").alias("layer"), F.lit(2000).alias("year"), "z", "x", "y", status.alias("status"), "pixels")
+    done = merged.select("z", "x", "y", "band", status.alias("status"), "pixels")
+    rest = resolved.where("id is null").select("z", "x", "y", F.lit(0).alias("band"), "status", F.lit(None).cast("array<double>").alias("pixels"))
+    return done.unionByName(rest)
+
+
+def job_bake_imagery(spark, sf_dir):
+    """Asked tiles → assets → pictures, bands 1 to 3 → warp → mosaic in rank order → table, read back; tiles that aren't
+    in it keep a row with their status."""
+    resolved = scratch.written(q_imagery.job_resolve_imagery(spark, sf_dir), "resolved")
+    baked = scratch.written(bake_imagery(resolved, _pictures(spark, sf_dir), SIZE, BANDS, (1, 2, 3)), "baked")
     path = scratch.new_folder(spark, "tiles")
-    catalogs.write_tile_table(tiles, path)
-    back = spark.read.schema("layer string, year int, z int, x int, y int, status string, pixels array<double>").parquet(path)
-    return catalogs.bake_manifest(back).withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)})
+    catalogs.write_tile_table(baked.withColumns({"layer": F.lit("naip"), "year": F.lit(q_imagery.YEAR)}), path)
+    back = spark.read.schema("layer string, year int, z int, x int, y int, band int, status string, pixels array<double>").parquet(path)
+    total = F.round(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))), 3)
+    seen = F.size(F.filter("pixels", lambda v: v.isNotNull())).cast("long")
+    cols = ["z", "x", "y", "band", "status"]
+    return back.select(*cols, seen.alias("n"), total.alias("total")).unionByName(baked.where("status != 'ok'").select(*cols, F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total")))
 
 
 def write_tile_table(spark, sf_dir):
@@ -205,6 +241,16 @@ def job_bake_terrain(spark, sf_dir):
     return back.select("z", "x", "y", "dem_source", F.aggregate("codes", F.lit(0).cast("long"), lambda a, v: a + v).alias("code_sum"), "s.lo", "s.hi", "s.mid")
 
 
+_b = sql.box()
+
+
+def _centres(size: int) -> str:
+    """From pr (a tile and a grid x0, y0, dx, dy in degrees): row r and column c of the grid at each of the tile's pixels k."""
+    at = lambda v: f"(({v} + 0.5e0) / {size} * {sql.side('z')})"
+    lon, lat = sql.lon(f"(x * {sql.side('z')} - {sql.HALF_} + {at('(k % ' + str(size) + ')')})"), sql.lat(f"({sql.HALF_} - y * {sql.side('z')} - {at('(k // ' + str(size) + ')')})")
+    return f"SELECT *, floor(({lon} - x0) / dx) AS c, floor(({lat} - y0) / dy) AS r FROM (SELECT *, unnest(range(0, {size * size})) AS k FROM pr) p_"
+
+
 _FOLD = "SELECT z, x, y, source, rank, list_transform(pixels, lambda v: CASE WHEN v = -999999e0 THEN NULL ELSE v END) AS pixels FROM fx_rasters"
 _CELL = "SELECT z, x, y, source, rank, CAST(k AS INT) AS k, pixels[k + 1] AS v FROM (SELECT *, unnest(range(0, 64)) AS k FROM folded) t"
 _F = sql.with_("fx_rasters", folded=_FOLD, cell=_CELL)
@@ -270,7 +316,8 @@ QUERIES = {
         sql.with_(p="SELECT vec_id, i, c, CASE WHEN c = 3 AND label = 2 THEN 0 ELSE v END AS v FROM (" + _RGBA + ") r", q="SELECT vec_id, i, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b, max(v) FILTER (c = 3) AS a FROM p GROUP BY vec_id, i", s="SELECT *, max(a) OVER (PARTITION BY vec_id) > 0 AS seen FROM q")
         + f"SELECT vec_id, CAST(i AS INT) AS i, {_over('r')}, {_over('g')}, {_over('b')}, CASE WHEN seen THEN 'ok' ELSE 'no_coverage' END AS status FROM s",
     ),
-    "select_bands": (select_bands, "SELECT vec_id, CAST(k AS INT) AS band, round(CAST(embedding[k + 1] AS DOUBLE), 6) AS v FROM (SELECT *, unnest(range(0, 3)) AS k FROM embeddings) t"),
+    "finest_source_wins": (finest_source_wins, _F + "SELECT z, x, y, CAST(k AS INT) AS k, min(rank) FILTER (v IS NOT NULL) AS rank FROM (" + _SRC + ") s WHERE NOT bad GROUP BY z, x, y, k"),
+    "select_bands": (select_bands, "SELECT vec_id, CAST(k AS INT) AS k, round(CAST(embedding[k + 1] AS DOUBLE), 6) AS v FROM (SELECT *, unnest(range(0, 12)) AS k FROM embeddings) t"),
     "rescale": (rescale, "SELECT vec_id, CAST(k AS INT) AS k, CAST(floor(least(greatest((CAST(embedding[k + 1] AS DOUBLE) + 0.25e0) / 0.5e0, 0), 1) * 255) AS INT) AS v FROM (SELECT *, unnest(range(0, 64)) AS k FROM embeddings) t"),
     "hillshade": (
         hillshade,
@@ -288,13 +335,29 @@ QUERIES = {
     ),
     "ground_at": (ground_at, _F + "SELECT rank, v AS ground FROM cell WHERE k = floor((rank % 7) / 6e0 * 7 + 0.5e0) * 8 + floor((rank % 11) / 10e0 * 7 + 0.5e0)"),
     "vertical_exaggeration": (vertical_exaggeration, _F + "SELECT rank, k, round(((v - 100e0) * 2e0 + 100e0) / cos(radians(y / 400e0)), 6) AS world FROM cell"),
-    "warp_to_tile": (warp_to_tile, None),
+    "warp_to_tile": (
+        warp_to_tile,
+        sql.with_("fx_rasters", box=f"SELECT *, {_b[0]} AS w, {_b[1]} AS s, {_b[2]} AS e, {_b[3]} AS n FROM fx_rasters", pr="SELECT z, x, y, rank, pixels, w + rank % 5 / 10e0 * (e - w) AS x0, n AS y0, (e - w) / 8 AS dx, (s - n) / 8 AS dy FROM box", spot=_centres(8))
+        + "SELECT rank, 'ok' AS status, CAST(k AS INT) AS k, v FROM (SELECT rank, k, CASE WHEN r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7 THEN nullif(pixels[CAST(r * 8 + c AS INT) + 1], -999999e0) END AS v FROM spot) t QUALIFY count(v) OVER (PARTITION BY rank) > 0",
+    ),
     "write_tile_table": (write_tile_table, _C + "SELECT z, x, y, dem_source, status FROM cas WHERE k = 0 AND status = 'ok'"),
     "bake_manifest": (
         bake_manifest,
         _C.rstrip() + ",\nm AS (SELECT z, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cas WHERE status = 'ok' GROUP BY z)\n" + f"SELECT 'terrain' AS layer, 0 AS year, z, x0, x1, y0, y1, {_LON} FROM m",
     ),
-    "job_bake_imagery": (job_bake_imagery, None),
+    "job_bake_imagery": (
+        job_bake_imagery,
+        q_imagery.RESOLVED.rstrip()
+        + f""",
+pic AS (SELECT id, xmin AS x0, ymax AS y0, (xmax - xmin) / 4 AS dx, (ymin - ymax) / 4 AS dy, list_transform(embedding, lambda v: CASE WHEN abs(v) < 0.01e0 THEN NULL ELSE round(CAST(v AS DOUBLE) * 100, 3) END) AS pixels
+  FROM items JOIN embeddings ON vec_id = CAST(split_part(id, '_', 2) AS BIGINT) % 200),
+pr AS (SELECT z, x, y, rank, p.* FROM resolved JOIN pic p USING (id)),
+spot AS ({_centres(4)}),
+cell AS (SELECT z, x, y, band, k, rank, CASE WHEN r BETWEEN 0 AND 3 AND c BETWEEN 0 AND 3 THEN pixels[CAST((band - 1) * 16 + r * 4 + c AS INT) + 1] END AS v FROM spot, (VALUES (1), (2), (3)) b(band)),
+mos AS (SELECT z, x, y, band, k, arg_min(v, rank) FILTER (v IS NOT NULL) AS v FROM cell GROUP BY z, x, y, band, k)
+SELECT z, x, y, band, CASE WHEN count(v) = 0 THEN 'no_coverage' ELSE 'ok' END AS status, count(v) AS n, round(sum(v), 3) AS total FROM mos GROUP BY z, x, y, band
+UNION ALL SELECT z, x, y, 0, status, 0, NULL FROM resolved WHERE id IS NULL""",
+    ),
     "job_bake_terrain": (
         job_bake_terrain,
         _C + f"SELECT z, x, y, dem_source, CAST(sum({_CODE}) AS BIGINT) AS code_sum, coalesce(min(v), 0) AS lo, coalesce(max(v), 0) AS hi, coalesce(max(v) FILTER (k = 36), 0) AS mid FROM cas WHERE status = 'ok' GROUP BY z, x, y, dem_source",
