@@ -23,7 +23,7 @@ TILE = ["z", "x", "y"]
 def mosaic_first_valid(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
     """(keys, pixels, failed): the first valid value of each pixel in rank order. pixels is null where no pixel of any
     asset is valid; failed tells of assets with status failed. For small arrays, in built-in expressions."""
-    ok = F.when(F.col("status") != "failed", F.struct("rank", "pixels"))
+    ok = F.when((F.col("status") != "failed") & F.col("pixels").isNotNull(), F.struct("rank", "pixels"))
     merged = tiles.groupBy(*keys).agg(F.collect_list(ok).alias("layers"), F.max(F.col("status") == "failed").alias("failed"))
     first = F.when(F.size("layers") > 0, px.first_valid(F.col("layers")))
     return merged.select(*keys, F.when(F.exists(first, lambda p: p.isNotNull()), first).alias("pixels"), "failed")
@@ -32,7 +32,7 @@ def mosaic_first_valid(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
 def finest_source_wins(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
     """(keys, ranks): for each pixel the rank of the asset that shows there, the first in rank order with a valid value;
     null where none has one. Failed assets show nowhere."""
-    ok = F.when(F.col("status") != "failed", F.struct("rank", "pixels"))
+    ok = F.when((F.col("status") != "failed") & F.col("pixels").isNotNull(), F.struct("rank", "pixels"))
     merged = tiles.groupBy(*keys).agg(F.collect_list(ok).alias("layers"))
     return merged.where(F.size("layers") > 0).select(*keys, px.first_source(F.col("layers")).alias("ranks"))
 
@@ -44,7 +44,7 @@ def mosaic_large(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
     names = [f.name for f in fields]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf[pdf["status"] != "failed"].sort_values("rank")
+        ok = pdf[(pdf["status"] != "failed") & pdf["pixels"].notna()].sort_values("rank")
         out = px.np_first_valid([np.array(p, dtype=float) for p in ok["pixels"]]) if len(ok) else np.array([np.nan])
         pixels = None if np.isnan(out).all() else [None if np.isnan(v) else float(v) for v in out]
         return pd.DataFrame([[*pdf[names].iloc[0], pixels, bool((pdf["status"] == "failed").any())]], columns=[*names, "pixels", "failed"])
