@@ -157,16 +157,31 @@ def _manifest(spark, sf_dir) -> DataFrame:
     )
 
 
-def read_buildings(spark, sf_dir):
-    """Features written as files, found by their manifest and read within a box."""
+def _lake(spark, sf_dir) -> DataFrame:
+    """Features written as a lake of folders; the manifest of its folders' boxes."""
     path = scratch.new_folder(spark, "lake")
-    features(spark, sf_dir).select("id", "height", "num_floors", "rings", "bbox").write.parquet(path)
-    return catalogs.read_buildings(spark, [path], (-74.19, 40.66, -74.15, 40.70)).select("id")
+    part = features(spark, sf_dir).withColumn("part", (F.col("id").cast("long") % 50).cast("int"))
+    part.select("id", "height", "num_floors", "rings", "bbox", "part").write.partitionBy("part").parquet(path)
+    box = [F.min("bbox.xmin").alias("bbox_xmin"), F.max("bbox.xmax").alias("bbox_xmax"), F.min("bbox.ymin").alias("bbox_ymin"), F.max("bbox.ymax").alias("bbox_ymax")]
+    return part.groupBy(F.concat(F.lit(f"{path}/part="), F.col("part").cast("string")).alias("file")).agg(*box)
+
+
+def read_buildings(spark, sf_dir):
+    """Features of a box: files found by their manifest, read within the box."""
+    box = (-74.19, 40.66, -74.15, 40.70)
+    asked = spark.createDataFrame([box], "w double, s double, e double, n double")
+    files = [r.file for r in catalogs.manifest_prune(asked, _lake(spark, sf_dir)).collect()]
+    return catalogs.read_buildings(spark, files, box).select("id")
 
 
 def job_bake_buildings(spark, sf_dir):
-    """Features → tiles → clip and quantise → payload of each tile."""
-    agg = b.tile_buildings_agg(b.mvt_quantize(_on_tiles(spark, sf_dir)))
+    """Asked tiles → manifest → files → features → tiles → clip and quantise → payload of each asked tile. The names of
+    files come to the driver, as for any read."""
+    asked = scratch.written(imagery.with_box(_asking(spark, sf_dir)), "asked")
+    files = [r.file for r in catalogs.manifest_prune(asked, _lake(spark, sf_dir)).collect()]
+    box = asked.agg(F.min("w"), F.min("s"), F.max("e"), F.max("n")).first()
+    on_tiles = b.tiles_x_buildings(catalogs.read_buildings(spark, files, tuple(box))).join(asked.select("z", "x", "y"), ["z", "x", "y"], "left_semi")
+    agg = b.tile_buildings_agg(b.mvt_quantize(on_tiles))
     points = F.aggregate(F.flatten(F.transform("features", lambda f: f["rings"])), F.lit(0).cast("long"), lambda a, r: a + F.size(r))
     return agg.select("z", "x", "y", "n", points.alias("points"))
 
@@ -230,19 +245,48 @@ _MEETS = f"CASE shape WHEN 'L' THEN {_rect(-1, -1, 1, 0)} OR {_rect(-1, 0, 0, 1)
 _SPREAD = f"""SELECT *, unnest(range({sql.ty(sql.my('cy + hh'), '14')} - 1, {sql.ty(sql.my('cy - hh'), '14')} + 2))::INT AS y FROM (
   SELECT *, unnest(range({sql.tx(sql.mx('cx - hw'), '14')} - 1, {sql.tx(sql.mx('cx + hw'), '14')} + 2))::INT AS x FROM fx_buildings) a"""
 
+
+
+def _cut(src: str, keys: str) -> dict[str, str]:
+    """Named queries that clip the rings (keys, ring, k, px, py) of ``src`` to their boxes (bw, bs, be, bn), a side after the
+    other, by rows; the last is c4."""
+    out, own = {}, f"{keys}, ring, bw, bs, be, bn"
+    for i, (p, q, line, sign) in enumerate((("px", "qx", "bw", ""), ("px", "qx", "be", "-"), ("py", "qy", "bs", ""), ("py", "qy", "bn", "-"))):
+        out[f"n{i}"] = f"SELECT *, {sign}({p} - {line}) AS d, {sign}({q} - {line}) AS d2 FROM (SELECT *, coalesce(lead(px) OVER o, first_value(px) OVER o) AS qx, coalesce(lead(py) OVER o, first_value(py) OVER o) AS qy, count(*) OVER (PARTITION BY {keys}, ring) AS points FROM {src} WINDOW o AS (PARTITION BY {keys}, ring ORDER BY k)) t WHERE points >= 3"
+        x, y = (f"CASE WHEN '{p}' = '{c}' THEN {line} ELSE {c} + ({c.replace('p', 'q')} - {c}) * (d / (d - d2)) END" for c in ("px", "py"))
+        out[f"c{i + 1}"] = f"SELECT {own}, 2 * k AS k, px, py FROM n{i} WHERE d >= 0 UNION ALL SELECT {own}, 2 * k + 1, {x}, {y} FROM n{i} WHERE (d >= 0) <> (d2 >= 0)"
+        src = f"c{i + 1}"
+    return out
+
+
+_LL = f"SELECT 14 AS z, b.x, b.y, b.id, ring, k, cx + hw * dx AS px, cy + hh * dy AS py, w, s, e, n, w - (e - w) * 64 / 4096 AS bw, s - (n - s) * 64 / 4096 AS bs, e + (e - w) * 64 / 4096 AS be, n + (n - s) * 64 / 4096 AS bn FROM met b JOIN shapes sh ON sh.id = b.shape"
+_UNIT = "SELECT z, x, y, id, ring, k, CAST(round_even((px - w) / (e - w) * 4096, 0) AS INT) AS ux, CAST(round_even((n - py) / (n - s) * 4096, 0) AS INT) AS uy FROM c4"
+_KEEP = "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY z, x, y, id, ring) AS points FROM (SELECT *, coalesce(lag(ux) OVER o, last_value(ux) OVER f) AS lx, coalesce(lag(uy) OVER o, last_value(uy) OVER f) AS ly FROM unit WINDOW o AS (PARTITION BY z, x, y, id, ring ORDER BY k), f AS (PARTITION BY z, x, y, id, ring ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) t WHERE ux <> lx OR uy <> ly) t WHERE points >= 3"
+_RINGS = "SELECT z, x, y, id, CAST(row_number() OVER (PARTITION BY z, x, y, id ORDER BY ring) - 1 AS INT) AS k, CAST(count(*) AS INT) AS points, max(ux) AS ux FROM keep GROUP BY z, x, y, id, ring"
+_MVT = sql.with_("fx_buildings", shapes=_PTS, spread=_SPREAD, met=f"SELECT * FROM (SELECT *, {_bx[0]} AS w, {_bx[1]} AS s, {_bx[2]} AS e, {_bx[3]} AS n FROM spread) t WHERE {_MEETS}", ll=_LL, **_cut("ll", "z, x, y, id, w, s, e, n"), unit=_UNIT, keep=_KEEP, rings=_RINGS)
+
+
+def _parts(zoom: int) -> str:
+    """WITH clause up to c4: the rings of records clipped to the target tiles that their boxes meet."""
+    s = _span(zoom)
+    at = f"SELECT p.id, r.tz, r.tx, r.ty, p.ring, p.k, p.px, p.py, (r.tx - p.tx * {2 ** (zoom - 14)}) * {s} AS bw, -(r.ty - p.ty * {2 ** (zoom - 14)}) * {s} - {s} AS bs, (r.tx - p.tx * {2 ** (zoom - 14)}) * {s} + {s} AS be, -(r.ty - p.ty * {2 ** (zoom - 14)}) * {s} AS bn FROM ({_roof(zoom)}) r JOIN pt p ON p.id = r.id AND p.tx = r.tx // {2 ** (zoom - 14)} AND p.ty = r.ty // {2 ** (zoom - 14)}"
+    area = "SELECT tz, tx, ty, id, ring, sum(px * qy - qx * py) AS a FROM (SELECT *, coalesce(lead(px) OVER o, first_value(px) OVER o) AS qx, coalesce(lead(py) OVER o, first_value(py) OVER o) AS qy, count(*) OVER (PARTITION BY tz, tx, ty, id, ring) AS points FROM c4 WINDOW o AS (PARTITION BY tz, tx, ty, id, ring ORDER BY k)) t WHERE points >= 3 GROUP BY tz, tx, ty, id, ring"
+    return sql.with_("fx_buildings", shapes=_PTS, pt=_PT, rec=_REC, cut=at, **_cut("cut", "tz, tx, ty, id"), area=area)
+
+
 QUERIES = {
     "building_height": (building_height, sql.with_("fx_buildings") + f"SELECT id, {_H} AS height FROM fx_buildings"),
     "ring_area": (ring_area, sql.with_("fx_buildings", shapes=_PTS, pt=_PT, edge=_EDGE) + "SELECT id, CAST(ring AS INT) AS k, round(sum(lon * lat2 - lon2 * lat) * 1e6, 6) AS area2 FROM edge GROUP BY id, ring"),
     "classify_rings": (classify_rings, sql.with_("fx_buildings") + "SELECT id, 1 AS polygons, CASE WHEN shape = 'donut' THEN 2 ELSE 1 END AS rings FROM fx_buildings"),
-    "units_to_metres": (units_to_metres, None),
+    "units_to_metres": (units_to_metres, _MVT + f"SELECT z, x, y, id, round(ux * ({_S14} / 4096), 6) AS xmax FROM rings WHERE k = 0"),
     "building_record": (building_record, _B + f"SELECT r.id, x, y, {_H} AS height, round(r.cx, 2) AS cx, round(r.cy, 2) AS cy, round(xmin, 2) AS xmin, round(ymax, 2) AS ymax FROM rec r JOIN fx_buildings b USING (id)"),
     "tiles_x_buildings": (tiles_x_buildings, sql.with_("fx_buildings", spread=_SPREAD, boxed=f"SELECT *, {_bx[0]} AS w, {_bx[1]} AS s, {_bx[2]} AS e, {_bx[3]} AS n FROM spread") + f"SELECT 14 AS z, x, y, id FROM boxed WHERE {_MEETS}"),
     "intersects_polygon": (intersects_polygon, sql.with_("fx_buildings", boxed="SELECT *, -74.19e0 AS w, 40.66e0 AS s, -74.15e0 AS e, 40.70e0 AS n FROM fx_buildings") + f"SELECT id FROM boxed WHERE {_MEETS}"),
-    "mvt_quantize": (mvt_quantize, None),
-    "clip_ring": (clip_ring, None),
+    "mvt_quantize": (mvt_quantize, _MVT + "SELECT z, x, y, id, k, points FROM rings"),
+    "clip_ring": (clip_ring, _parts(16) + "SELECT tz, tx, ty, id, round(abs(sum(a)) / 2, 1) AS area FROM area GROUP BY tz, tx, ty, id HAVING min(ring) = 0"),
     "wall_owner_join": (wall_owner_join, _B + _wall(18)),
     "roof_overlap_join": (roof_overlap_join, _B + _roof(18)),
-    "roof_parts": (roof_parts, None),
+    "roof_parts": (roof_parts, _parts(18) + "SELECT DISTINCT tz, tx, ty, id, 1 AS polygons FROM area WHERE ring = 0"),
     "wall_segments": (
         wall_segments,
         sql.with_("fx_buildings", shapes=_PTS, pt=_PT, edge=_EDGE)
@@ -256,12 +300,12 @@ QUERIES = {
         child_share,
         _B + f"SELECT tz, tx, ty, roofs, walls, round(roofs / n::DOUBLE, 6) AS share FROM (SELECT r.tz, r.tx, r.ty, count(*) AS roofs, coalesce(any_value(w.n), 0) AS walls FROM ({_roof(18)}) r LEFT JOIN (SELECT tx, ty, count(*) AS n FROM ({_wall(18)}) q GROUP BY tx, ty) w ON w.tx = r.tx AND w.ty = r.ty GROUP BY r.tz, r.tx, r.ty) t JOIN (SELECT x, y, count(*) AS n FROM rec GROUP BY x, y) p ON p.x = tx // 16 AND p.y = ty // 16",
     ),
-    "tile_buildings_agg": (tile_buildings_agg, None),
+    "tile_buildings_agg": (tile_buildings_agg, _MVT + "SELECT z, x, y, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM rings WHERE k = 0 GROUP BY z, x, y"),
     "seat_building": (seat_building, None),
     "building_settled": (building_settled, sql.with_("fx_requests") + "SELECT event_id, CASE WHEN http_status >= 500 THEN 'failed' WHEN http_status = 404 OR event_id % 4 = 0 THEN 'empty' ELSE 'records' END AS state FROM fx_requests"),
     "manifest_prune": (manifest_prune, _M + "SELECT DISTINCT 's3://' || file AS file FROM ask JOIN man ON NOT (x1 < w OR x0 > e OR y1 < s OR y0 > n)"),
     "tiles_x_manifest": (tiles_x_manifest, _M + "SELECT file, count(*) AS tiles FROM ask JOIN man ON NOT (x1 < w OR x0 > e OR y1 < s OR y0 > n) GROUP BY file"),
     "read_buildings": (read_buildings, sql.with_("fx_buildings") + "SELECT id FROM fx_buildings WHERE cx - hw <= -74.15e0 AND cx + hw >= -74.19e0 AND cy - hh <= 40.70e0 AND cy + hh >= 40.66e0"),
-    "job_bake_buildings": (job_bake_buildings, None),
+    "job_bake_buildings": (job_bake_buildings, _MVT.rstrip() + f",\npt AS ({_PT}),\nrec AS ({_REC})\nSELECT z, x, y, count(DISTINCT id) AS n, CAST(sum(points) AS BIGINT) AS points FROM rings r JOIN (SELECT DISTINCT x, y FROM rec) a USING (x, y) GROUP BY z, x, y"),
     "job_building_pyramid": (job_building_pyramid, _B + _pyr),
 }
