@@ -409,6 +409,19 @@ def test_few_candidates_hold_all_common_words(spark, documents, monkeypatch):
     assert sorted(quality.judge(df).select("doc_id", "lang", "quality.*").collect(), key=repr) == usual
 
 
+def test_pieces_with_equal_hashes(monkeypatch):
+    """Hashes of four bits: most pieces meet another one's entry and take the library."""
+    from tokenizers import Tokenizer
+
+    tok, rnd = Tokenizer.from_file(WORDS), random.Random(3)
+    some = ["a", "b", "an", "ana", "anan", "internationalisation", "internationalisations", "internationalizations", "x" * 9, "x" * 8 + "y", "7", "Z", "."]
+    texts = [" ".join(rnd.choice(some) for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    monkeypatch.setattr(tokenfile, "mix", lambda x: x * np.uint64(0) + (x & np.uint64(14)) + np.uint64(16))
+    t = tokenfile.Tokens(WORDS)
+    got = [ids[a:b].tolist() for _, ids, e in t.encode(pa.array(texts)) for a, b in zip(e[:-1], e[1:], strict=True)]
+    assert got == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 # URL rules
 
 

@@ -30,6 +30,8 @@ from tilelake.llm.words import Words, mix, ragged, slices
 BLOCK = 128
 #: A chunk ends with the document that brings it to this many ids.
 CHUNK = 1 << 17
+#: Bytes of text of a part of the files, on average.
+PART = 64 << 20
 
 #: Fixed values of Simple-8b: ids in a word and bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -106,11 +108,16 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     return out
 
 
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 class Tokens:
     """Ids of whole texts by a tokenizer file whose pattern cuts words, digits and runs of symbols and drops white space.
 
-    Each such piece is encoded by the tokenizers library once, and looked up by hash after that; the table is emptied
-    when it holds ``LIMIT`` pieces. Texts of plain characters are cut by byte classes, for a slice of texts at once. The
+    Each such piece is encoded by the tokenizers library once, and looked up by hash after that, its bytes being compared
+    with the kept ones; a text with another piece of the same hash is encoded whole. The table is emptied when it holds
+    ``LIMIT`` pieces. Texts of plain characters are cut by byte classes, for a slice of texts at once. The
     pieces of a text depend only on characters there: letters up to U+024F need no normalisation, and neither an
     apostrophe (contractions) nor ``<|`` (special tokens) may occur. Other texts are encoded whole by the library.
     """
@@ -135,19 +142,38 @@ class Tokens:
     def clear(self) -> None:
         self.key, self.slot = np.zeros(1 << 21, np.uint64), np.zeros(1 << 21, np.int64)
         self.index: dict[int, int] = {}
+        self.size, self.word, self.rest, self.bytes, self.n_bytes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint8), 0
         self.first, self.length, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
     def _add(self, hashes: list[int], pieces: list[str]) -> None:
-        for h, e in zip(hashes, self.whole.encode_batch(pieces, add_special_tokens=False), strict=True):
-            k, ids = len(self.index), e.ids
+        for h, piece, e in zip(hashes, pieces, self.whole.encode_batch(pieces, add_special_tokens=False), strict=True):
+            k, ids, raw = len(self.index), e.ids, piece.encode()
             if k >= len(self.first):
-                self.first, self.length = np.resize(self.first, 2 * k), np.resize(self.length, 2 * k)
+                self.first, self.length, self.size, self.word, self.rest = (np.resize(x, 2 * k) for x in (self.first, self.length, self.size, self.word, self.rest))
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
             self.index[h] = k
             self.first[k], self.length[k] = self.used, len(ids)
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
+            self.size[k], self.word[k], self.rest[k] = len(raw), int.from_bytes(raw[:8], "little"), self.n_bytes
+            if len(raw) > 8:
+                if self.n_bytes + len(raw) > len(self.bytes):
+                    self.bytes = np.resize(self.bytes, 2 * (self.n_bytes + len(raw)))
+                self.bytes[self.n_bytes : self.n_bytes + len(raw) - 8] = np.frombuffer(raw[8:], np.uint8)
+                self.n_bytes += len(raw) - 8
+
+    def _other(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """The pieces whose bytes aren't those of their entries: first eight bytes as one number, then the rest."""
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        size = end - start
+        word = np.ndarray(len(data) + 1, np.dtype("<u8"), padded.tobytes(), strides=(1,))[start] & _FIRST[np.minimum(size, 8)]
+        bad = (word != self.word[entry]) | (size != self.size[entry])
+        long = np.flatnonzero((size > 8) & ~bad)
+        more = size[long] - 8
+        differ = data[ragged(start[long] + 8, more)] != self.bytes[ragged(self.rest[entry[long]], more)]
+        bad[np.repeat(long, more)[differ]] = True
+        return np.flatnonzero(bad)
 
     def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = mix(Words(data, start, end, np.zeros(0), range(0)).hashes() + (end - start).astype(np.uint64)) | np.uint64(1)
@@ -192,6 +218,8 @@ class Tokens:
             stops = np.flatnonzero(after)
             end = stops[np.searchsorted(stops, start, "right")]
             entry = self._entries(data, start, end)
+            wrong = self._other(data, start, end, entry)
+            other[np.searchsorted(offsets, start[wrong], "right") - 1] = True
             length = self.length[entry]
             total = np.concatenate([[0], np.cumsum(length)])
             ids, edge = self.flat[ragged(self.first[entry], length)], total[np.searchsorted(start, offsets)]
@@ -219,11 +247,13 @@ def write_tokens(docs: DataFrame, out: str, path: str, *, doc_id: str = "doc_id"
     """Writes the ids of every whole text, each followed by ``end_id``, to ``out`` in ascending order of doc_id.
 
     Null text is empty. Documents with equal ids follow each other, ordered by text; null ids come first. The documents
-    are dealt to parts by ranges of their ids and sorted within, so no task holds more than its range, one chunk at a
-    time. An empty table writes no chunks.
+    are dealt to parts by ranges of their ids, as many as the size of the texts asks for, and sorted within, so no task
+    holds more than its range, one chunk at a time. Documents of one id are in one part. An empty table writes no chunks.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    dealt = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def chunks(it):
         part, number, start, held = TaskContext.get().partitionId(), 0, 0, [[], [], [], 0]
