@@ -121,7 +121,7 @@ def test_quotes_equal_sql(spark):
     c = duckdb.connect()
     c.register("conversations", talk)
     got = quotes.thread(df)
-    same(got, quotes.SQL, c)
+    same(got, quotes.THREAD_SQL, c)
     by = {(r.conv_id, r.turn): r for r in got.collect()}
     assert [by[1, t].reply_to for t in range(6)] == [None, 0, 1, 0, None, 2]
     assert [t for _, t in sorted((by[1, t].root * 100 + by[1, t].place, t) for t in range(6))] == [0, 1, 2, 5, 3, 4]
@@ -129,6 +129,31 @@ def test_quotes_equal_sql(spark):
     assert quotes.thread(df.limit(0)).count() == 0
 
 
+def test_quotes_lead_to_the_messages_that_they_are_from(spark, data):
+    """Recall on all conversations: whole, partial and nested quotes of the message before."""
+    df = quotes.with_quotes(spark.read.parquet(f"{data}/conversations.parquet"))
+    norm = {(r.conv_id, r.turn): r.norm for r in df.select("conv_id", "turn", quotes.normal(quotes.own_text(F.col("text"))).alias("norm")).collect()}
+    n, met = {}, {}
+    for r in quotes.thread(df).collect():
+        kind = (r.conv_id + r.turn) % 4
+        if r.n_quotes:
+            n[kind] = n.get(kind, 0) + 1
+            # the message before, or an earlier one that has its text
+            right = r.reply_to is not None and (r.reply_to == r.turn - 1 or norm[r.conv_id, r.turn - 1] in norm[r.conv_id, r.reply_to])
+            met[kind] = met.get(kind, 0) + right
+    assert set(n) == {0, 1, 2} and all(met[k] >= 0.9 * n[k] for k in n), (n, met)
+
+
+def test_partial_quotes_with_other_lines(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    cut = [f"word{k}" for k in range(13, 40)]
+    rows_ = [(1, 0, "user", "Something else first."), (1, 1, "user", text), (1, 2, "user", "> " + " ".join(cut[:5]) + "\n> " + " ".join(cut[5:19]).upper() + ",\n> " + " ".join(cut[19:]) + "\nyes"), (1, 3, "user", "> " + " ".join([*cut, "other"]) + "\nno")]
+    got = {r.turn: r.reply_to for r in quotes.thread(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string").withColumn("key", F.lit(1))).collect()}
+    assert got == {0: None, 1: None, 2: 1, 3: None}
+    long = "x " * 200_000
+    assert quotes.thread(spark.createDataFrame([(1, 0, "user", long), (1, 1, "user", f"> {long}\nend")], "conv_id long, turn long, role string, text string")).where("reply_to = 0").count() == 1
+
+
 def test_long_reply_chain(spark):
     """Depth by pointer doubling: a chain of replies, each quoting the one before."""
     rows_ = [(1, k, "user", (f"> message number {k - 1} says something\n" if k else "") + f"message number {k} says something") for k in range(70)]

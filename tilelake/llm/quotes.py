@@ -2,8 +2,10 @@
 
 Only messages with quoted lines take part in the joins. A quoted passage is a run of lines of one quote level; it and
 its longer lines are normalised and hashed, and looked up among the hashes of whole messages and lines of the same
-conversation. The earliest message with a hash is its source, found by an aggregate made before the shuffle, so that a
-text that many messages share gives one row, not all pairs.
+conversation. A passage that is a part of a message, its lines broken anew, is looked up by runs of ``RUN`` words: messages
+have one at each RUN-th word, passages one at each of their first RUN words, so a passage of 2 * RUN - 1 words or more
+meets its message; then the message must have the whole passage in it. The earliest message with a hash is its source,
+found by an aggregate made before the shuffle, so that a text that many messages share gives one row, not all pairs.
 
 Replies form trees. A message's place in the depth-first order of its tree comes from pointer doubling over successors,
 in a number of rounds that grows with the logarithm of a tree's size; no path is built.
@@ -20,6 +22,8 @@ QUOTE = r"^[ \t]*>"
 ATTRIBUTION = r"(?i)^[ \t]*(on|am|le|el) .{0,200} (wrote|schrieb|écrit|escribió).{0,80}:[ \t]*$"
 #: A line is looked up by itself if it has at least this many words.
 LINE_WORDS = 4
+#: Words of a run.
+RUN = 8
 #: Turns of a block of replies to one message.
 BLOCK = 4096
 
@@ -56,19 +60,41 @@ def passages(messages: DataFrame) -> DataFrame:
     return grouped.select("conv", "turn", "run", "level", F.transform("lines", lambda x: x["line"]).alias("lines"))
 
 
+def _run_keys(norm: Column, starts) -> Column:
+    """Hashes of the runs of RUN words of a normalised text from each of the places that ``starts`` names."""
+
+    def keys(w: Column) -> Column:
+        places = F.filter(starts(F.size(w)), lambda i: i + RUN <= F.size(w))
+        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, RUN), " "))))
+
+    return F.flatten(F.transform(F.array(F.split(norm, " ")), keys))  # the words are split once
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv, turn, run, level, lines, source) of the quoted passages of messages (conv, turn, text): source is the turn
-    of the earliest message before with the whole passage as its own text or as one of its lines, else of the latest of
-    the earliest sources of the passage's longer lines; else null."""
+    of the earliest message before with the whole passage as its own text or as one of its lines, else of the earliest
+    message among those that its runs lead to that has the passage in its own text, else of the latest of the earliest
+    sources of the passage's longer lines; else null."""
     quote = passages(messages)
     long = lambda x: _words(x) >= LINE_WORDS
     keys = lambda whole, lines: F.explode(F.array_distinct(F.concat(F.array(F.struct(F.lit(True).alias("whole"), whole.alias("norm"))), F.transform(F.filter(F.transform(lines, normal), long), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("norm"))))))
-    asked = quote.select("conv", "turn", "run", keys(normal(F.array_join("lines", " ")), F.col("lines")).alias("k")).select("conv", "turn", "run", "k.whole", _key(F.col("k.norm")).alias("key")).where(F.col("key") != _key(F.lit("")))
+    joined = normal(F.array_join("lines", " "))
+    asked = quote.select("conv", "turn", "run", keys(joined, F.col("lines")).alias("k")).select("conv", "turn", "run", "k.whole", _key(F.col("k.norm")).alias("key")).where(F.col("key") != _key(F.lit("")))
     talked = messages.join(quote.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", own_text(F.col("text")).alias("text"))
     said = talked.select("conv", "turn", keys(normal(F.col("text")), F.split("text", "\n")).alias("k")).select("conv", "turn", _key(F.col("k.norm")).alias("key"))
     source = said.groupBy("conv", "key").agg(F.min("turn").alias("source"))
     found = asked.join(source, ["conv", "key"]).where("source < turn").groupBy("conv", "turn", "run").agg(F.min(F.when(F.col("whole"), F.col("source"))).alias("w"), F.max(F.when(~F.col("whole"), F.col("source"))).alias("l"))
-    return quote.join(found, ["conv", "turn", "run"], "left").select("conv", "turn", "run", "level", "lines", F.coalesce("w", "l").alias("source"))
+
+    every = lambda n: F.transform(F.sequence(F.lit(0), F.floor(n / RUN).cast("int")), lambda i: i * RUN)
+    first = lambda n: F.sequence(F.lit(0), F.lit(RUN - 1))
+    norm = talked.select("conv", "turn", normal(F.col("text")).alias("norm"))
+    earliest = norm.select("conv", "turn", F.explode(_run_keys(F.col("norm"), every)).alias("key")).groupBy("conv", "key").agg(F.min("turn").alias("source"))
+    runs = quote.select("conv", "turn", "run", joined.alias("passage")).withColumn("key", F.explode(_run_keys(F.col("passage"), first)))
+    led = runs.join(earliest, ["conv", "key"]).where("source < turn").select("conv", "turn", "run", "passage", "source").distinct()
+    inside = F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))
+    part = led.join(norm.withColumnRenamed("turn", "source"), ["conv", "source"]).where(inside).groupBy("conv", "turn", "run").agg(F.min("source").alias("p"))
+    both = quote.join(found, ["conv", "turn", "run"], "left").join(part, ["conv", "turn", "run"], "left")
+    return both.select("conv", "turn", "run", "level", "lines", F.coalesce("w", "p", "l").alias("source"))
 
 
 def _doubled(state: DataFrame, rounds_on: str, jump) -> DataFrame:
@@ -135,12 +161,28 @@ def thread(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn
     )
 
 
+def with_quotes(conversations: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turn, role, text) whose messages quote those before them, by their numbers: the last message
+    whole with an attribution, some words of it broken anew, the last two at two levels, or nothing. The given
+    conversations have no quotes."""
+    own = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
+    back = lambda n: own.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"t{n}"))
+    three = own.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    quoted = lambda mark, t: F.concat(F.lit(mark), F.replace(F.col(t), F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))
+    w = F.split(F.translate("t1", "\n", " "), " ")
+    some = F.concat(*[x for k in (3, 9, 15) for x in (F.lit("> "), F.array_join(F.slice(w, k, 6), " "), F.lit("\n"))])
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    before = F.when(kind == 0, F.concat(F.lit("On Monday someone wrote:\n"), quoted("> ", "t1"))).when((kind == 1) & (F.size(w) >= 24), some).when(kind == 2, F.concat(F.coalesce(quoted(">> ", "t2"), F.lit("")), quoted("> ", "t1")))
+    return three.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), F.concat(F.coalesce(before, F.lit("")), "text")).alias("text"))
+
+
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All conversations, with quotes made of the messages before."""
+    return thread(with_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 #: Quotes, links and trees spelled out; places in a tree by recursive paths.
-SQL = r"""
+THREAD_SQL = r"""
 WITH RECURSIVE msg AS (SELECT conv_id, turn, min(text) AS text, arg_min(role, (text, role)) AS role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 line AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM msg WHERE regexp_matches(text, '(?m)^[ \t]*>')),
 lev AS (SELECT conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level,
@@ -163,8 +205,20 @@ ask AS (
     UNION ALL
     SELECT conv_id, turn, run, false, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) FROM run WHERE level > 0) a
   WHERE norm <> '' AND (whole OR len(string_split(norm, ' ')) >= 4)),
+whole AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM own),
+runs AS (
+  SELECT conv_id, key, min(turn) AS source FROM (
+    SELECT conv_id, turn, array_to_string(list_slice(w, i * 8 + 1, i * 8 + 8), ' ') AS key FROM (SELECT conv_id, turn, w, unnest(range(0, len(w) // 8)) AS i FROM (SELECT conv_id, turn, string_split(norm, ' ') AS w FROM whole) a) b) c GROUP BY conv_id, key),
+led AS (
+  SELECT DISTINCT conv_id, turn, run, norm, array_to_string(list_slice(w, o + 1, o + 8), ' ') AS key FROM (
+    SELECT conv_id, turn, run, norm, w, unnest(range(0, least(8, len(w) - 7))) AS o FROM (
+      SELECT conv_id, turn, run, norm, string_split(norm, ' ') AS w FROM (SELECT conv_id, turn, run, trim(regexp_replace(lower(passage), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM quote) a) b WHERE len(w) >= 8) c),
+part AS (
+  SELECT l.conv_id, l.turn, l.run, min(r.source) AS source FROM led l JOIN runs r ON r.conv_id = l.conv_id AND r.key = l.key JOIN whole n ON n.conv_id = l.conv_id AND n.turn = r.source
+  WHERE r.source < l.turn AND contains(' ' || n.norm || ' ', ' ' || l.norm || ' ') GROUP BY l.conv_id, l.turn, l.run),
 found AS (
-  SELECT conv_id, turn, run, coalesce(min(source) FILTER (whole), max(source) FILTER (NOT whole)) AS source FROM ask JOIN said USING (conv_id, norm) WHERE source < turn GROUP BY conv_id, turn, run),
+  SELECT conv_id, turn, run, coalesce(a.w, p.source, a.l) AS source FROM (SELECT conv_id, turn, run, min(source) FILTER (whole) AS w, max(source) FILTER (NOT whole) AS l FROM ask JOIN said USING (conv_id, norm) WHERE source < turn GROUP BY conv_id, turn, run) a
+  FULL JOIN part p USING (conv_id, turn, run)),
 link AS (SELECT conv_id, turn, run, level, source FROM quote LEFT JOIN found USING (conv_id, turn, run)),
 per AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, arg_min(source, (level, run)) FILTER (source IS NOT NULL) AS reply_to FROM link GROUP BY conv_id, turn),
 tree AS (
@@ -175,3 +229,15 @@ SELECT o.conv_id, o.turn, o.role, t.root, row_number() OVER (PARTITION BY o.conv
        coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, o.text
 FROM own o JOIN tree t USING (conv_id, turn) LEFT JOIN per USING (conv_id, turn)
 """
+
+_QUOTED = r"""
+WITH RECURSIVE m0 AS (SELECT conv_id, turn, min(text) AS text, arg_min(role, (text, role)) AS role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+m1 AS (SELECT m.*, (m.conv_id + m.turn) % 4 AS kind, p.text AS t1, q.text AS t2, string_split(translate(p.text, chr(10), ' '), ' ') AS w
+  FROM m0 m LEFT JOIN m0 p ON p.conv_id = m.conv_id AND p.turn = m.turn - 1 LEFT JOIN m0 q ON q.conv_id = m.conv_id AND q.turn = m.turn - 2),
+msg AS (SELECT conv_id, turn, role, coalesce(CASE
+    WHEN kind = 0 THEN 'On Monday someone wrote:' || chr(10) || '> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10)
+    WHEN kind = 1 AND len(w) >= 24 THEN '> ' || array_to_string(w[3:8], ' ') || chr(10) || '> ' || array_to_string(w[9:14], ' ') || chr(10) || '> ' || array_to_string(w[15:20], ' ') || chr(10)
+    WHEN kind = 2 THEN coalesce('>> ' || replace(t2, chr(10), chr(10) || '>> ') || chr(10), '') || '> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10) END, '') || text AS text FROM m1),
+"""
+#: The same of the conversations with quotes.
+SQL = _QUOTED + THREAD_SQL.split("\n", 2)[2]
