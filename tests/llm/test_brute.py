@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tilelake.llm import bytebpe, decontaminate, neardup, pii, quality, tokenfile, urlrules, words
+from tilelake.llm import bytebpe, decontaminate, licences, neardup, pii, quality, tokenfile, urlrules, words
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -385,6 +385,30 @@ def test_search_with_colliding_hashes_and_crowded_buckets(monkeypatch):
             assert got == want
 
 
+# licences
+
+
+def test_recall_on_planted_notices(spark):
+    """Notices as they stand in real files: wrapped, indented, behind comment marks, within longer lines and paragraphs."""
+    rnd = random.Random(5)
+    filler = lambda n: " ".join(f"filler{rnd.randrange(10**6)}" for _ in range(n))
+
+    def wrapped(t, mark, width):
+        w = t.split()
+        return "\n".join(mark + " ".join(w[k : k + width]) for k in range(0, len(w), width))
+
+    ways = {
+        "wrapped": lambda t: wrapped(t, "", 9), "indented": lambda t: wrapped(t, "        ", 7), "commented": lambda t: wrapped(t, " * ", 8), "hashed": lambda t: wrapped(t, "# ", 11),
+        "in a line": lambda t: f"/*! {filler(6)} | {t} */ {filler(20)}", "in a paragraph": lambda t: f"{filler(12)}\n{wrapped(t, '', 9)}\n{filler(12)}", "blank lines": lambda t: wrapped(t, "", 9).replace("\n", "\n\n"), "all one line": lambda t: f"{filler(50)} {t} {filler(50)}",
+    }
+    rows = [(w, t, f"{filler(40)}\n\n{way(body)}\n\n{filler(40)}") for w, way in ways.items() for t, (_, body) in enumerate(licences.TEMPLATES)]
+    got = licences.scan_licences(spark.createDataFrame(rows, "way string, t int, text string")).collect()
+    met = Counter(r.way for r in got if any(x.template == r.t for x in r.licences))
+    assert all(met[w] >= 0.95 * len(licences.TEMPLATES) for w in ways), met
+    clean = spark.createDataFrame([(k, filler(300)) for k in range(50)], "doc_id long, text string")
+    assert licences.scan_licences(clean).where(F.size("licences") > 0).count() == 0
+
+
 # quality
 
 

@@ -4,11 +4,17 @@ A passage is a line with a word, or a paragraph: a run of two or more such lines
 counted with their numbers, over the bigrams of both. Two bounds prune before anything is compared: a coefficient of t
 needs a number of bigrams between t / (2 - t) and (2 - t) / t times the template's, and enough of the passage's bigrams
 must occur in a template at all, which one lookup for all words of a slice decides. What is left is compared with
-the templates of fitting size. Templates are a small fixed table; nothing is shuffled.
+the templates of fitting size.
+
+A notice within a longer line, or over lines that are no paragraph, is found by its span: from a bigram of the template
+to the last one within the template's length. An index from bigrams to templates gives their places; a span needs at least
+t / (2 - t) of the template's number. The best span of a template in a document counts where no passage comes as near.
+Templates are a small fixed table; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -17,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilelake.llm.words import attach, mix, runs, words
+from tilelake.llm.words import attach, mix, ragged, runs, words
 
 LEAST = 0.8
 
@@ -60,7 +66,9 @@ class Scanner:
         self.least, self.names = least, [n for n, _ in templates]
         self.counts: list[Counter] = [Counter(_bigrams(w.hashes()).tolist()) for _, t in templates for w in words(pa.array([t]))]
         self.sizes = np.array([c.total() for c in self.counts])
-        self.known = np.unique(np.array([g for c in self.counts for g in c], np.uint64))
+        pairs = sorted((g, t) for t, c in enumerate(self.counts) for g in c)
+        self.known, first = np.unique(np.array([g for g, _ in pairs], np.uint64), return_index=True)
+        self.first, self.of = np.append(first, len(pairs)), np.array([t for _, t in pairs], np.int64)
 
     def best(self, bigrams: np.ndarray) -> list[tuple[int, float]]:
         """(template, Dice) of the templates that the bigrams of a passage come near to."""
@@ -73,6 +81,31 @@ class Scanner:
                 out.append((int(k), dice))
         return out
 
+    def spans(self, g: np.ndarray, place: np.ndarray, near: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """(document, template, Dice, first and last bigram) of the best span of each template in each document, the first
+        of equals; place: known bigrams of g, near: which ones, doc: their documents."""
+        n = self.first[near + 1] - self.first[near]
+        t, at, d = self.of[ragged(self.first[near], n)], np.repeat(place, n), np.repeat(doc, n)
+        order = np.lexsort((at, t))
+        t, at, d = t[order], at[order], d[order]
+        out: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for one in np.unique(t).tolist():
+            lo, hi = np.searchsorted(t, [one, one + 1])
+            q, own, size = at[lo:hi], d[lo:hi], int(self.sizes[one])
+            need = max(1, math.ceil(size * self.least / (2 - self.least) - 1e-9))
+            begin = np.arange(max(0, len(q) - need + 1))
+            begin = begin[(q[begin + need - 1] - q[begin] < size) & (own[begin + need - 1] == own[begin])]
+            stop = np.minimum(np.searchsorted(q, q[begin] + size), np.searchsorted(own, own[begin], "right"))
+            for i, j in zip(begin.tolist(), stop.tolist(), strict=True):
+                key, both = (int(own[i]), one), int(q[j - 1] - q[i]) + 1 + size
+                before = out[key][0] if key in out else 0.0
+                if 2 * (j - i) / both <= before:
+                    continue
+                dice = 2 * (Counter(g[q[i:j]].tolist()) & self.counts[one]).total() / both
+                if dice >= self.least and dice > before:
+                    out[key] = dice, int(q[i]), int(q[j - 1])
+        return [(*k, *v) for k, v in out.items()]
+
     def scan(self, text: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = []
         for w in words(text):
@@ -83,7 +116,8 @@ class Scanner:
                 continue
             g = _bigrams(h)
             near = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
-            hit = np.concatenate([[0], np.cumsum(self.known[near] == g)])
+            is_known = self.known[near] == g
+            hit = np.concatenate([[0], np.cumsum(is_known)])
             offsets = _edges(text, w)
             start, end = runs(w.data != 10, offsets)
             first, last = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
@@ -103,6 +137,13 @@ class Scanner:
                 for t, dice in self.best(g[a[k] : b[k] - 1]):
                     at = int(w.first[d[k]])
                     found[d[k]].append({"licence": self.names[t], "template": t, "dice": dice, "start": int(a[k]) - at, "end": int(b[k]) - at})
+            inside = is_known.copy()
+            inside[w.first[1:-1][(w.first[1:-1] > 0) & (w.first[1:-1] < w.n)] - 1] = False  # from one document to the next
+            place = np.flatnonzero(inside)
+            for d, t, dice, i, j in self.spans(g, place, near[place], np.searchsorted(w.first, place, "right") - 1):
+                if dice > max((x["dice"] for x in found[d] if x["template"] == t), default=0.0):
+                    at = int(w.first[d])
+                    found[d].append({"licence": self.names[t], "template": t, "dice": dice, "start": i - at, "end": j + 2 - at})
             for k in range(base, len(out)):
                 out[k].sort(key=lambda x: (x["start"], x["end"], x["template"]))
         return out
@@ -116,7 +157,8 @@ def _edges(text: pa.Array, w) -> np.ndarray:
 
 def scan_licences(docs: DataFrame, *, text: str = "text", out: str = "licences", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """docs with an array ``out`` of (licence, template, dice, start, end) in order of place: the passages that come to a
-    Dice coefficient of ``least`` or more with a template; start and end count words, the end exclusive.
+    Dice coefficient of ``least`` or more with a template, and the best span of a template where it comes nearer than all
+    passages; start and end count words, the end exclusive.
 
     Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Null and empty texts and passages of one word match
     nothing. A passage that is near several templates is listed for each. Rows are scanned one by one, repeated rows
@@ -157,8 +199,13 @@ passage AS (
 big AS (SELECT doc_id, pos, kind, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM passage),
 cnt AS (SELECT doc_id, pos, kind, n, g, count(*) AS c FROM big GROUP BY doc_id, pos, kind, n, g),
 meet AS (SELECT doc_id, pos, kind, cnt.n, t, sum(least(cnt.c, tbi.c)) AS m FROM cnt JOIN tbi USING (g) GROUP BY doc_id, pos, kind, cnt.n, t),
-hit AS (SELECT doc_id, licence, 2 * m / CAST(meet.n + tn.n AS DOUBLE) AS dice FROM meet JOIN tn USING (t) WHERE 2 * m / CAST(meet.n + tn.n AS DOUBLE) >= 0.8e0),
-agg AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS best FROM hit GROUP BY doc_id)
+hit AS (SELECT doc_id, t, licence, 2 * m / CAST(meet.n + tn.n AS DOUBLE) AS dice FROM meet JOIN tn USING (t) WHERE 2 * m / CAST(meet.n + tn.n AS DOUBLE) >= 0.8e0),
+place AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, {word.format("text")} AS w FROM documents) x) y),
+spot AS (SELECT doc_id, t, i, g, c, tn.n FROM place JOIN tbi USING (g) JOIN tn USING (t)),
+win AS (SELECT a.doc_id, a.t, a.i AS p, a.n, b.g, b.c, count(*) AS k, max(b.i) AS last FROM spot a JOIN spot b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i BETWEEN a.i AND a.i + a.n - 1 GROUP BY a.doc_id, a.t, a.i, a.n, b.g, b.c),
+span AS (SELECT doc_id, t, max(dice) AS dice FROM (SELECT doc_id, t, p, 2 * sum(least(k, c)) / CAST(max(last) - p + 1 + n AS DOUBLE) AS dice FROM win GROUP BY doc_id, t, p, n) z GROUP BY doc_id, t),
+more AS (SELECT s.doc_id, tn.licence, s.dice FROM span s JOIN tn USING (t) LEFT JOIN (SELECT doc_id, t, max(dice) AS dice FROM hit GROUP BY doc_id, t) h USING (doc_id, t) WHERE s.dice >= 0.8e0 AND s.dice > coalesce(h.dice, 0)),
+agg AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS best FROM (SELECT doc_id, licence, dice FROM hit UNION ALL SELECT doc_id, licence, dice FROM more) u GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licences, '') AS licences, round(best, 6) AS best_dice FROM documents d LEFT JOIN agg USING (doc_id)
 """
 
