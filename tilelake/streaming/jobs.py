@@ -6,9 +6,9 @@ A query function takes a streaming DataFrame and returns one; ``drain`` runs it
 from __future__ import annotations
 
 import datetime
-import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +27,13 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: Files of a trigger's rows, and the rows from which on it has so many.
+FILES, MANY = 8, 8000
+
+
 def source(spark: SparkSession, batch: DataFrame, parts: int = 1, order: str | None = None) -> DataFrame:
-    """A file stream of a batch's rows, in ``parts`` files in order of a column, one for each trigger."""
-    path = scratch.new_folder(spark, "source")
+    """A file stream of a batch's rows, in ``parts`` triggers in order of a column."""
+    path, n = scratch.new_folder(spark, "source"), 1
     if order is None:
         batch.write.parquet(path)
     else:
@@ -37,9 +41,12 @@ def source(spark: SparkSession, batch: DataFrame, parts: int = 1, order: str | N
         at = F.lit(0)
         for b in bounds:
             at = at + (F.col(order) > b).cast("int")
+        placed = scratch.written(batch.withColumn("_part", at), "parts")
+        rows = [r["count"] for r in placed.groupBy("_part").count().collect()]  # one for each part
+        n = FILES if len(rows) == parts and min(rows) >= MANY else 1
         for k in range(parts):
-            batch.where(at == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            placed.where(F.col("_part") == k).drop("_part").repartition(n).write.mode("append").parquet(path)
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 def request_dedupe(requests: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -58,24 +65,23 @@ def velocities(track: DataFrame, max_gap_s: float, delay: str = "30 days", forge
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get if state.exists else None
-        rows = []
         pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for r in pdf.itertuples(index=False):
-            now = r.ts.value / 1e9
-            vx = vy = 0.0
-            if last is not None:
-                dt = now - last[2]
-                if 0 < dt < max_gap_s:
-                    vx, vy = (r.x - last[0]) / dt, (r.y - last[1]) / dt
-                elif dt <= 0:
-                    vx, vy = last[3], last[4]
-            last = (r.x, r.y, now, vx, vy)
-            rows.append((key[0], r.event_id, r.x, r.y, r.alt, vx, vy))
+        own = np.stack([pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["ts"].to_numpy("datetime64[ns]").astype(np.int64) / 1e9])
+        if state.exists:
+            last = np.array(state.get)
+            own = np.concatenate([last[:3, None], own], axis=1)
+        step_ = np.diff(own, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = np.where((step_[2] > 0) & (step_[2] < max_gap_s), step_[:2] / step_[2], 0.0)
+        v = np.concatenate([last[3:, None] if state.exists else np.zeros((2, 1)), v], axis=1)
+        # a step of no time keeps the velocity before
+        v = v[:, np.maximum.accumulate(np.where(np.append(True, step_[2] > 0), np.arange(v.shape[1]), 0))]
+        last = (*own[:, -1].tolist(), *v[:, -1].tolist())
+        v = v[:, -len(pdf) :]
         state.update(last)
         mark = state.getCurrentWatermarkMs()
         state.setTimeoutTimestamp(max(int(last[2] * 1000), mark) + forget_s * 1000 + 1)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in MOVES.split(", ")])
+        yield pd.DataFrame({"track_id": key[0], "event_id": pdf["event_id"], "x": pdf["x"], "y": pdf["y"], "alt": pdf["alt"], "vx": v[0], "vy": v[1]})
 
     marked = track.withWatermark("ts", delay)
     return marked.groupBy("track_id").applyInPandasWithState(step, MOVES, "x double, y double, t double, vx double, vy double", "append", GroupStateTimeout.EventTimeTimeout)
@@ -108,12 +114,16 @@ def retry_states(requests: DataFrame, delay: str = "30 days", forget_s: int = 36
         if state.hasTimedOut:
             state.remove()
             return
-        attempts, pending = state.get if state.exists else (0, False)
-        after = None
-        at = None
-        for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            attempts, pending, after = demand.retry_step((attempts, pending, after), r.http_status, r.ts.to_pydatetime())
-            at = r.ts.to_pydatetime()
+        attempts = state.get[0] if state.exists else 0
+        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        status, at = pdf["http_status"].to_numpy(), pdf["ts"].iloc[-1].to_pydatetime()
+        # only what came after the last answer that settled the tile counts
+        settled = np.flatnonzero(status < 500)
+        run = status[settled[-1] + 1 :] if len(settled) else status
+        attempts = int((run == 503).sum()) + (0 if len(settled) else attempts)
+        pending = 0 < attempts < demand.MAX_ATTEMPTS
+        wait = None if not len(run) else demand.FAILED_RETRY_S if run[-1] != 503 else demand.IMAGERY_RETRY_S if pending else None
+        after = None if wait is None else at + datetime.timedelta(seconds=wait)
         if attempts:
             state.update((attempts, pending))
             mark = datetime.datetime.fromtimestamp(state.getCurrentWatermarkMs() / 1000)
@@ -131,30 +141,30 @@ def latest_states(states: DataFrame) -> DataFrame:
     return last.select("z", "x", "y", "s.attempts", "s.pending", "s.retry_after")
 
 
-def catalog_ingest(listing: DataFrame, start: Callable[[], DataFrame | None] = lambda: None) -> DataFrame:
+CATALOG = "dataset string, xmin double, xmax double, ymin double, ymax double"
+
+
+def catalog_ingest(listing: DataFrame, start: Callable[[], DataFrame | None] = lambda: None, root: str | None = None, state: str | None = None) -> DataFrame:
     """Rebuilds the catalogue for each new piece of a listing stream: newest of what is catalogued and what came, known
-    files' rows reused, new ones added. Returns the last catalogue (dataset, xmin, xmax, ymin, ymax). A batch that is
-    run again after a failure gives the same catalogue, because it starts from the one before."""
+    files' rows reused, new ones added. Returns the last catalogue (dataset, xmin, xmax, ymin, ymax), which is the one at
+    the start for an empty stream. Each batch's catalogue lies in a folder of its number under ``root`` and is made from
+    the one before, so a restart with the same ``root`` and ``state``, or a batch that is run again, gives the same."""
     spark = listing.sparkSession
-    root, state = scratch.new_folder(spark, "catalog"), scratch.new_folder(spark, "state")
+    root, state = root or scratch.new_folder(spark, "catalog"), state or scratch.new_folder(spark, "state")
     box = ["xmin", "xmax", "ymin", "ymax"]
     before = start()
-    versions: dict[int, str] = {}
-
-    def read(k: int) -> DataFrame | None:
-        older = [v for v in versions if v < k]
-        return spark.read.parquet(versions[max(older)]) if older else before
+    first = spark.createDataFrame([], CATALOG) if before is None else before.select("dataset", *box)
+    first.write.mode("ignore").parquet(f"{root}/batch=-1")
 
     def merge(batch: DataFrame, k: int) -> None:
-        known = read(k)
+        known = spark.read.schema(CATALOG).parquet(f"{root}/batch={k - 1}")
         came = batch.select("dataset", *box)
-        both = came if known is None else known.select("dataset", *box).unionByName(came)
-        current = dem.newest_per_location(both.dropDuplicates(["dataset"])).select("dataset", *box)
-        kept = current if known is None else dem.index_reuse(current, known).select("dataset", *box).unionByName(dem.index_todo(current, known).select("dataset", *box))
-        path = f"{root}/{k}-{uuid.uuid4().hex}"
-        kept.write.parquet(path)
-        versions[k] = path
+        current = dem.newest_per_location(known.unionByName(came).dropDuplicates(["dataset"])).select("dataset", *box)
+        kept = dem.index_reuse(current, known).select("dataset", *box).unionByName(dem.index_todo(current, known).select("dataset", *box))
+        kept.write.mode("overwrite").parquet(f"{root}/batch={k}")
 
     query = listing.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(versions[max(versions)])
+    versions = spark.read.schema(f"{CATALOG}, batch long").parquet(root)
+    folders = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_extract("path", r"/batch=(-?[0-9]+)/", 1).cast("long").alias("k"))
+    return versions.where(F.col("batch") == folders.agg(F.max("k")).first()[0]).drop("batch")
