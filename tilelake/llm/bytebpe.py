@@ -33,7 +33,7 @@ from tilelake.llm.words import attach
 LEAF = 16
 NONE = 1 << 62
 #: Matches, and pairs of tokens, that a worker keeps, and the longest match that it keeps, in characters.
-KEPT, KEPT_LENGTH = 1 << 19, 64
+KEPT, KEPT_LENGTH = 1 << 18, 64
 
 ENCODED = T.StructType([T.StructField("ids", T.BinaryType(), False), T.StructField("n_tokens", T.LongType(), False)])
 
@@ -94,14 +94,15 @@ class Codec(dict):
         n = len(b)
         if n <= LEAF:
             parts, rank = [b[i : i + 1] for i in range(n)], self.ranks.get
-            while len(parts) > 1:
-                least, at = NONE, 0
-                for i in range(len(parts) - 1):
-                    if (r := rank(parts[i] + parts[i + 1], NONE)) < least:
-                        least, at = r, i
-                if least == NONE:
-                    break
+            of = [rank(b[i : i + 2], NONE) for i in range(n - 1)]  # ranks of the unions of neighbours
+            while of and (least := min(of)) < NONE:
+                at = of.index(least)
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                del of[at]
+                if at:
+                    of[at - 1] = rank(parts[at - 1] + parts[at], NONE)
+                if at < len(of):
+                    of[at] = rank(parts[at] + parts[at + 1], NONE)
             return [self.ranks[x] for x in parts]
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         found = [(r, i, i + 2) for i in range(n - 1) if (r := self.ranks.get(b[i : i + 2])) is not None]

@@ -178,7 +178,7 @@ def _similar(a: np.ndarray, b: np.ndarray) -> float:
 def _verify(it):
     """Links of the texts that follow a head's row (text of a, b null) in a partition that is sorted by (a, block, b)."""
     head, own = None, None
-    for batch in it:
+    for batch in (b.slice(k, 1024) for b in it for k in range(0, b.num_rows, 1024)):
         members = units(batch.column(2))
         keep = []
         for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
