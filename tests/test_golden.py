@@ -284,3 +284,20 @@ def test_resolve_reads_the_folders_of_the_regions_it_needs(spark, data):
     assert scans and any("region" in x.split("PartitionFilters: [")[1].split("]")[0] and "'ca'" not in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)
     status = {r.status for r in q_imagery.job_resolve_imagery(spark, data).select("status").distinct().collect()}
     assert {"ok", "no_coverage", "below_min_zoom", "out_of_range"} <= status
+
+
+def test_catalogue_stream_restarts_from_its_folder(spark, tmp_path):
+    """An empty stream leaves the catalogue as it is; a second run with the same folders goes on from the first's."""
+    from tilelake.streaming import jobs
+
+    at = lambda n, day: (f"S1M/b1/S1M_n{n}w1000_202401{day}.tif", -1e6, -1e6 + 1e4, n * 1e3 - 1e4, n * 1e3)
+    rows = [[at(1500, 11)], [at(1500, 12), at(1510, 11)]]
+    put = lambda k: spark.createDataFrame(rows[k], jobs.CATALOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/listing")
+    spark.createDataFrame([], jobs.CATALOG).write.parquet(f"{tmp_path}/none")
+    known = spark.createDataFrame(rows[0], jobs.CATALOG)
+    stream = lambda name: spark.readStream.schema(jobs.CATALOG).parquet(f"{tmp_path}/{name}")
+    assert jobs.catalog_ingest(stream("none"), lambda: known).collect() == known.collect()
+    for k in range(2):
+        put(k)
+        got = jobs.catalog_ingest(stream("listing"), root=f"{tmp_path}/root", state=f"{tmp_path}/state")
+    assert {r.dataset for r in got.collect()} == {rows[1][0][0], rows[1][1][0]}
