@@ -229,6 +229,12 @@ def _roof(zoom: int) -> str:
     return f"SELECT id, {zoom} AS tz, CAST(x * {n} + i AS INT) AS tx, CAST(y * {n} + j AS INT) AS ty FROM rec, {grid} WHERE xmax >= i * {s} AND xmin <= (i + 1) * {s} AND ymax >= -(j + 1) * {s} AND ymin <= -j * {s}"
 
 
+#: Owned records with their place in the tile, and the height of the nearest of its 5 × 5 vertices, every second pixel.
+_in = lambda v: f"least(greatest({v}, 0), 1)"
+_UV = f"SELECT o.*, {_in(f'r.cx / {_span(15)} - (o.tx - r.x * 2)')} AS u, {_in(f'-r.cy / {_span(15)} - (o.ty - r.y * 2)')} AS v FROM own o JOIN rec r ON r.id = o.id AND r.x = o.tx // 2 AND r.y = o.ty // 2"
+_up = f"(({sql.HALF_} - (ty + 0.5e0) * {_span(15)}) / {sql.R_})"
+_GROUND = f"""SELECT u.id, tz, tx, ty, coalesce(nullif(pixels[CAST(least(floor(v * 4 + 0.5e0) * 2, 7) * 8 + least(floor(u * 4 + 0.5e0) * 2, 7) AS INT) + 1], -999999e0), 0) * (exp({_up}) + exp(-{_up})) / 2 AS base
+  FROM uv u JOIN fx_rasters f ON f.rank = (tx * 31 + ty) % (SELECT count(*) FROM fx_rasters)"""
 _pyr = " UNION ALL ".join(f"SELECT r.tz, r.tx, r.ty, count(*) AS roofs, coalesce(any_value(w.n), 0) AS walls FROM ({_roof(z)}) r LEFT JOIN (SELECT tx, ty, count(*) AS n FROM ({_wall(z)}) q GROUP BY tx, ty) w ON w.tx = r.tx AND w.ty = r.ty GROUP BY r.tz, r.tx, r.ty" for z in (15, 16, 17, 18))
 _pad, _eps = f"({_S14} * 64 / 4096)", f"({_S14} / 4096 * 0.1e0)"
 _on = lambda a, b_, line: f"(abs({a} - ({line})) < {_eps} AND abs({b_} - ({line})) < {_eps})"
@@ -301,7 +307,11 @@ QUERIES = {
         _B + f"SELECT tz, tx, ty, roofs, walls, round(roofs / n::DOUBLE, 6) AS share FROM (SELECT r.tz, r.tx, r.ty, count(*) AS roofs, coalesce(any_value(w.n), 0) AS walls FROM ({_roof(18)}) r LEFT JOIN (SELECT tx, ty, count(*) AS n FROM ({_wall(18)}) q GROUP BY tx, ty) w ON w.tx = r.tx AND w.ty = r.ty GROUP BY r.tz, r.tx, r.ty) t JOIN (SELECT x, y, count(*) AS n FROM rec GROUP BY x, y) p ON p.x = tx // 16 AND p.y = ty // 16",
     ),
     "tile_buildings_agg": (tile_buildings_agg, _MVT + "SELECT z, x, y, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM rings WHERE k = 0 GROUP BY z, x, y"),
-    "seat_building": (seat_building, None),
+    "seat_building": (
+        seat_building,
+        sql.with_("fx_buildings", "fx_rasters", shapes=_PTS, pt=_PT, rec=_REC, own=_wall(15), uv=_UV, ground=_GROUND)
+        + f"SELECT g.id, tz, tx, ty, round(base, 4) AS base, round(base + {_H} / cos(radians({sql.lat(f'{sql.HALF_} - (ty + 0.5e0) * ' + _span(15))})), 4) AS top FROM ground g JOIN fx_buildings b ON b.id = g.id",
+    ),
     "building_settled": (building_settled, sql.with_("fx_requests") + "SELECT event_id, CASE WHEN http_status >= 500 THEN 'failed' WHEN http_status = 404 OR event_id % 4 = 0 THEN 'empty' ELSE 'records' END AS state FROM fx_requests"),
     "manifest_prune": (manifest_prune, _M + "SELECT DISTINCT 's3://' || file AS file FROM ask JOIN man ON NOT (x1 < w OR x0 > e OR y1 < s OR y0 > n)"),
     "tiles_x_manifest": (tiles_x_manifest, _M + "SELECT file, count(*) AS tiles FROM ask JOIN man ON NOT (x1 < w OR x0 > e OR y1 < s OR y0 > n) GROUP BY file"),
