@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from tilelake.llm import bytebpe, decontaminate, licences, linededup, neardup, pii, quality, quotes, suffixdedup, tokenfile, urlrules
+from tilelake.llm import bytebpe, decontaminate, licences, linededup, neardup, periodic, pii, quality, quotes, suffixdedup, tokenfile, urlrules
 
 QUERIES = {
     "op1_feistel_pii": pii.op1_feistel_pii,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_sparse_suffixes": suffixdedup.op8_sparse_suffixes,
     "op9_quality": quality.op9_quality,
     "op10_simple8b": tokenfile.op10_simple8b,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op13_line_dedup": linededup.op13_line_dedup,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op6_bag_minhash": neardup.SQL,
     "op8_sparse_suffixes": suffixdedup.SQL,
     "op9_quality": quality.SQL,
+    "op11_periodic_runs": periodic.SQL,
     "op13_line_dedup": linededup.SQL,
 }
