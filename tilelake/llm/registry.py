@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from tilelake.llm import bytebpe, decontaminate, licences, linededup, neardup, periodic, pii, quality, quotes, suffixdedup, tokenfile, urlrules
+from tilelake.llm import bytebpe, decontaminate, licences, linededup, neardup, periodic, pii, quality, quotes, spelling, suffixdedup, tokenfile, urlrules
 
 QUERIES = {
     "op1_feistel_pii": pii.op1_feistel_pii,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_simple8b": tokenfile.op10_simple8b,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_line_dedup": linededup.op13_line_dedup,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op8_sparse_suffixes": suffixdedup.SQL,
     "op9_quality": quality.SQL,
     "op11_periodic_runs": periodic.SQL,
+    "op12_spelling_variants": spelling.SQL,
     "op13_line_dedup": linededup.SQL,
 }

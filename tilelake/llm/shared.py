@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,3 +34,20 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", shares: int = 1024, least: int = 4096) -> DataFrame:
+    """big joined with small, which has few rows for a key, though one key may be that of a third of big's rows.
+
+    Keys with more than ``least`` rows and a share of 1 / shares of big's are fewer than shares, at any size, so their rows
+    of small are broadcast; the others are joined in a shuffle in which no key has more rows than that. big is read
+    several times and should be a written table. how: inner or left. Null keys match nothing.
+    """
+    counts = big.groupBy(*keys).count()
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    limit = max((total or 0) / shares, least)
+    if (most or 0) <= limit:
+        return big.join(small, keys, how)
+    hot = F.broadcast(written(counts.where(F.col("count") > limit).select(*keys), "hot-keys"))
+    of_hot = big.join(hot, keys, "left_semi").join(F.broadcast(small.join(hot, keys, "left_semi")), keys, how)
+    return of_hot.unionByName(big.join(hot, keys, "left_anti").join(small, keys, how))
