@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilelake.llm.linededup import LOWER, UPPER
@@ -34,6 +34,9 @@ from tilelake.llm.words import mix, ragged
 LETTERS = r"[a-zÀ-ÿ]"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
+#: What follows a word; no letter. In a word it would only let more candidates through.
+END = "\0"
+
 PATHS = "backwards boolean, word string, pos int, node long, next int, stop boolean"
 
 
@@ -93,43 +96,61 @@ def trie_paths(vocab: DataFrame, *, batch_chars: int = 1 << 20) -> DataFrame:
 
 
 def trie_edges(paths: DataFrame) -> DataFrame:
-    """(node, first, label, child, child_ends): the edges, each once."""
+    """(node, first, label, child, ends, follow): the edges, each once; follow has the code points that can follow the label,
+    ``END`` if a word ends there."""
     label = F.substring(F.col("word"), F.col("pos") + 1, F.col("to") - F.col("pos"))
-    return paths.where("child is not null").select("node", F.substring(label, 1, 1).alias("first"), label.alias("label"), "child", "child_ends").dropDuplicates(["node", "child", "first"])
+    edges = paths.where("child is not null").select("node", F.substring(label, 1, 1).alias("first"), label.alias("label"), "child", F.col("child_ends").alias("ends")).dropDuplicates(["node", "child", "first"])
+    edges = written(edges, "edges")
+    follow = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set("first"), "").alias("follow"))
+    return edges.join(follow, "child", "left").withColumn("follow", F.concat(F.coalesce("follow", F.lit("")), F.when(F.col("ends"), F.lit(END)).otherwise("")))
+
+
+def _piece(s: Column, at: Column, n: Column | None = None) -> Column:
+    """n code points from the place at on, or all."""
+    return F.substring(s, at + 1, n if n is not None else F.greatest(F.length(s) - at, F.lit(0)))
+
+
+def _next(word: Column, at: Column) -> Column:
+    """The code point at a place, END behind the word."""
+    return F.when(at < F.length(word), F.substring(word, at + 1, F.lit(1))).otherwise(F.lit(END))
 
 
 def near_words(vocab: DataFrame) -> DataFrame:
     """(word, near) of each two words that differ by one inserted, deleted or replaced code point, in both orders."""
     paths = written(trie_paths(vocab), "trie-paths")
     edges = written(trie_edges(paths), "trie-edges")
-    w, i, length, label, size = F.col("word"), F.col("pos"), F.length("word"), F.col("label"), F.length("label")
-    piece = lambda s, a, n=None: F.substring(s, a + 1, n if n is not None else F.greatest(F.length(s) - a, F.lit(0)))
+    w, i, length, label, size, can_follow = F.col("word"), F.col("pos"), F.length("word"), F.col("label"), F.length("label"), F.col("follow")
     half = F.floor(length / 2).cast("int")  # what an edit must leave in front; the other part when read backwards
-    zero = paths.where(i >= F.when(F.col("backwards"), length - half).otherwise(half)).select("backwards", "word", "pos", "node", "ends")
-    found = [zero.where(F.col("ends") & (i == length - 1)).select("backwards", "word", piece(w, F.lit(0), i).alias("near"))]
-
-    there = i < length
-    met = spread_join(written(zero, "zero-edits"), edges, ["node"]).where(F.col("first") != piece(w, i, F.lit(1)))
-    inserted = piece(w, i, size - 1) == piece(label, F.lit(1))
-    replaced = there & (piece(w, i + 1, size - 1) == piece(label, F.lit(1)))
-    deleted = there & (piece(w, i + 1, size) == label)
-    front, state = piece(w, F.lit(0), i), lambda ok, at, near: F.when(ok, F.struct(at.alias("pos"), near.alias("near")))
-    ways = F.array(state(inserted, i + size - 1, F.concat(front, "first", piece(w, i))), state(replaced, i + size, F.concat(front, "first", piece(w, i + 1))), state(deleted, i + size + 1, F.concat(front, piece(w, i + 1))))
-    states = met.where(inserted | replaced | deleted).select("backwards", "word", "child", "child_ends", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("x"))
-    states = states.select("backwards", "word", "x.near", "x.pos", F.col("child").alias("node"), F.col("child_ends").alias("ends"))
+    zero = paths.where(i >= F.when(F.col("backwards"), length - half).otherwise(half)).select("backwards", "word", "pos", "node", "ends", _next(w, i).alias("here"), F.when(i < length, _next(w, i + 1)).alias("beyond"))
+    found = [zero.where(F.col("ends") & (i == length - 1)).select("backwards", "word", _piece(w, F.lit(0), i).alias("near"))]
+
+    # What comes after the label's first code point says of most edges at once that no edit can be there.
+    second = F.when(size > 1, F.substring(label, 2, 1)).otherwise(can_follow)
+    met = spread_join(zero.drop("ends"), edges.withColumn("second", second), ["node"]).where(
+        (F.col("first") != F.col("here")) & (F.contains("second", "here") | F.coalesce(F.contains("second", "beyond") | (F.col("first") == F.col("beyond")), F.lit(False)))
+    )
+
+    def state(ok: Column, at: Column, near: Column) -> Column:
+        return F.when(ok & F.contains(can_follow, _next(w, at)), F.struct(at.alias("pos"), near.alias("near")))
+
+    front = _piece(w, F.lit(0), i)
+    inserted = state(_piece(w, i, size - 1) == _piece(label, F.lit(1)), i + size - 1, F.concat(front, "first", _piece(w, i)))
+    replaced = state((i < length) & (_piece(w, i + 1, size - 1) == _piece(label, F.lit(1))), i + size, F.concat(front, "first", _piece(w, i + 1)))
+    deleted = state((i < length) & (_piece(w, i + 1, size) == label), i + size + 1, F.concat(front, _piece(w, i + 1)))
+    states = met.select("backwards", "word", F.col("child").alias("node"), F.explode(F.filter(F.array(inserted, replaced, deleted), lambda x: x.isNotNull())).alias("x")).select("backwards", "word", "node", "x.*")
     while True:
-        states = written(states.select("*", piece(w, i, F.lit(1)).alias("first")), "one-edit")
-        found.append(states.where((i == length) & F.col("ends")).select("backwards", "word", "near"))
-        going = states.where(i < length).drop("ends")
+        states = written(states.select("*", _piece(w, i, F.lit(1)).alias("first")), "one-edit")
+        found.append(states.where(i == length).select("backwards", "word", "near"))
+        going = states.where(i < length)
         if going.isEmpty():
             break
-        met = spread_join(going, edges, ["node", "first"]).where(piece(w, i, size) == label)
-        states = met.select("backwards", "word", "near", (i + size).alias("pos"), F.col("child").alias("node"), F.col("child_ends").alias("ends"))
+        met = spread_join(going, edges.drop("ends"), ["node", "first"]).where((_piece(w, i, size) == label) & F.contains(can_follow, _next(w, i + size)))
+        states = met.select("backwards", "word", F.col("child").alias("node"), (i + size).alias("pos"), "near")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     near = F.col("near")
-    late = piece(w, length - half) == piece(near, F.length(near) - half)  # both tries have the pair
+    late = _piece(w, length - half) == _piece(near, F.length(near) - half)  # both tries have the pair
     turned = lambda c: F.when(F.col("backwards"), F.reverse(c)).otherwise(c)
     return pairs.where(~F.col("backwards") | ~late).select(turned(w).alias("word"), turned(near).alias("near"))
 
