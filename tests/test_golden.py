@@ -145,20 +145,6 @@ def test_flat_surface(spark):
     assert r.grid == 65 and abs(r.zs[0] - 100 / math.cos(math.radians(lat))) < 1e-6 and r.nx[0] == 0 and r.nz[0] == 1
 
 
-def test_large_mosaic_equals_small(spark):
-    rng = np.random.default_rng(1)
-    rows = [(15, 0, 0, k, "ok", [None if v < 0.5 else float(v) for v in rng.random(64 * 64)]) for k in range(5)]
-    df = spark.createDataFrame(rows, "z int, x int, y int, rank long, status string, pixels array<double>")
-    assert rops.mosaic_first_valid(df).first().pixels == rops.mosaic_large(df).first().pixels
-
-
-def test_warp_is_identity_on_the_own_grid(spark):
-    w, _, e, n = one(spark, *tm.tile_bounds_merc(F.lit(15), F.lit(9588), F.lit(12348)))
-    px = [float(v) for v in range(64)]
-    df = spark.createDataFrame([(15, 9588, 12348, 0, w, n, (e - w) / 8, (w - e) / 8, 8, 8, 3857, 5.0, px)], "z int, x int, y int, rank long, x0 double, y0 double, dx double, dy double, width int, height int, crs int, nodata double, pixels array<double>")
-    assert rops.warp_to_tile(df, 8).first().pixels == [None if v == 5 else v for v in px]
-
-
 def test_dem_names(spark):
     names = [("S1M_n41w074_20240101.tif",), ("x/S1M_n41w074_20240301.tif",), ("a/S1M_n41w074_20240301.tif",), ("n41w074_meta.tif",)]
     df = spark.createDataFrame(names, "dataset string")

@@ -26,12 +26,6 @@ def has_void(pixels: Column) -> Column:
     return F.exists(pixels, lambda p: p.isNull())
 
 
-def first_valid(ranked: Column) -> Column:
-    """The first valid value of each pixel over an array of (rank, pixels) structs, lowest rank first."""
-    layers = F.transform(F.array_sort(ranked), lambda r: r["pixels"])
-    return F.aggregate(F.slice(layers, 2, F.size(layers)), F.element_at(layers, 1), lambda a, b: F.zip_with(a, b, lambda p, q: F.coalesce(p, q)))
-
-
 def first_source(ranked: Column) -> Column:
     """The rank of the layer that each pixel's first valid value is from, over an array of (rank, pixels) structs."""
     own = F.transform(F.array_sort(ranked), lambda r: F.transform(r["pixels"], lambda p: F.when(p.isNotNull(), r["rank"])))
@@ -93,17 +87,6 @@ def exaggerated(h: Column, ref: Column | float, k: float, lat: Column) -> Column
 # numpy twins
 
 
-def np_first_valid(layers: list[np.ndarray]) -> np.ndarray:
-    """Arrays with NaN as mask, in rank order; stops when no pixel is masked."""
-    out = layers[0].copy()
-    for layer in layers[1:]:
-        void = np.isnan(out)
-        if not void.any():
-            break
-        out[void] = layer[void]
-    return out
-
-
 def np_terrarium(metres: np.ndarray) -> np.ndarray:
     e = np.where(np.isnan(metres) | (metres == VOID), 0.0, metres)
     return np.rint(np.clip((e + 32768.0) * 256.0, 0, TOP)).astype(np.int64)

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tilelake.functions import raster as px
 from tilelake.functions import tilemath as tm
+from tilelake.operators import blocks
 
 FINE_MIN, COARSE_MIN = 15, 11
 TILE = ["z", "x", "y"]
@@ -22,11 +22,8 @@ TILE = ["z", "x", "y"]
 
 def mosaic_first_valid(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
     """(keys, pixels, failed): the first valid value of each pixel in rank order. pixels is null where no pixel of any
-    asset is valid; failed tells of assets with status failed. For small arrays, in built-in expressions."""
-    ok = F.when((F.col("status") != "failed") & F.col("pixels").isNotNull(), F.struct("rank", "pixels"))
-    merged = tiles.groupBy(*keys).agg(F.collect_list(ok).alias("layers"), F.max(F.col("status") == "failed").alias("failed"))
-    first = F.when(F.size("layers") > 0, px.first_valid(F.col("layers")))
-    return merged.select(*keys, F.when(F.exists(first, lambda p: p.isNotNull()), first).alias("pixels"), "failed")
+    asset is valid; failed tells of assets with status failed. One fold for arrays of all sizes, see ``blocks``."""
+    return blocks.progressive_mosaic(tiles, keys)
 
 
 def finest_source_wins(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
@@ -37,21 +34,6 @@ def finest_source_wins(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
     return merged.where(F.size("layers") > 0).select(*keys, px.first_source(F.col("layers")).alias("ranks"))
 
 
-def mosaic_large(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
-    """mosaic_first_valid for large tiles, in numpy: one group holds the at most 64 ranked assets of a tile."""
-    fields = [f for f in tiles.schema.fields if f.name in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", pixels array<double>, failed boolean"
-    names = [f.name for f in fields]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf[(pdf["status"] != "failed") & pdf["pixels"].notna()].sort_values("rank")
-        out = px.np_first_valid([np.array(p, dtype=float) for p in ok["pixels"]]) if len(ok) else np.array([np.nan])
-        pixels = None if np.isnan(out).all() else [None if np.isnan(v) else float(v) for v in out]
-        return pd.DataFrame([[*pdf[names].iloc[0], pixels, bool((pdf["status"] == "failed").any())]], columns=[*names, "pixels", "failed"])
-
-    return tiles.groupBy(*names).applyInPandas(one, schema)
-
-
 def dem_cascade(tiles: DataFrame, fine: DataFrame, coarse: DataFrame, far: DataFrame) -> DataFrame:
     """(z, x, y, pixels, dem_source, status) of tiles from mosaics (z, x, y, pixels, failed) of three sources.
 
@@ -163,37 +145,3 @@ def surface_grid(tiles: DataFrame, step: int = 8) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in GRID.split(", ")])
 
     return tiles.select("z", "x", "y", "rank", "size", "pixels").mapInPandas(one, GRID)
-
-
-def warp_to_tile(pairs: DataFrame, size: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """(z, x, y, rank, keys, status, pixels) of pairs of a tile (z, x, y, rank, keys) with an asset's grid (x0, y0, dx, dy,
-    width, height, crs, nodata, pixels): each tile pixel takes the asset's value at its centre (nearest). crs is 4326 or
-    3857. Pixels outside the grid or equal to nodata are masked; an asset without a pixel in the tile has status
-    no_coverage."""
-    tile = ["z", "x", "y", "rank", *keys]
-    grid = ["x0", "y0", "dx", "dy", "width", "height", "crs", "nodata", "pixels"]
-    own = pairs.select(*tile, *grid)
-    schema = T.StructType([*[own.schema[k] for k in tile], T.StructField("status", T.StringType()), T.StructField("pixels", T.ArrayType(T.DoubleType()))])
-
-    def one(it):
-        for b in it:
-            z, x, y, x0, y0, dx, dy, width, height, crs = (b.column(b.schema.names.index(k)).to_numpy(zero_copy_only=False)[:, None] for k in ["z", "x", "y", *grid[:7]])
-            side = tm.SIDE / np.exp2(z)
-            mid = (np.arange(size) + 0.5)[None, :] / size * side
-            mx, my = x * side - tm.HALF + mid, tm.HALF - y * side - mid
-            mx, my = np.where(crs == 4326, mx / tm.HALF * 180, mx), np.where(crs == 4326, np.degrees(2 * np.arctan(np.exp(my / tm.R)) - np.pi / 2), my)
-            col, row = np.floor((mx - x0) / dx).astype(np.int64), np.floor((my - y0) / dy).astype(np.int64)
-            inside = ((row >= 0) & (row < height))[:, :, None] & ((col >= 0) & (col < width))[:, None, :]
-            lists = b.column(b.schema.names.index("pixels"))
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
-            first = (np.asarray(lists.offsets)[:-1] - np.asarray(lists.offsets)[0])[:, None, None]
-            at = first + row[:, :, None] * width[:, :, None] + col[:, None, :]
-            got = np.where(inside, flat[np.where(inside, at, 0)], np.nan) if len(flat) else np.full(inside.shape, np.nan)
-            got[got == b.column(b.schema.names.index("nodata")).to_numpy(zero_copy_only=False)[:, None, None]] = np.nan
-            got = got.reshape(b.num_rows, -1)
-            ok = ~np.isnan(got).all(axis=1)
-            values = pa.array(got[ok].ravel(), mask=np.isnan(got[ok]).ravel())
-            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok)]) * size * size, pa.int32(), mask=np.append(~ok, False)), values)
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(tile))], pa.array(np.where(ok, "ok", "no_coverage").tolist(), pa.string()), made], names=[*tile, "status", "pixels"])
-
-    return own.mapInArrow(one, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilelake.functions import raster as px
 from tilelake.functions import tilemath as tm
-from tilelake.operators import raster
+from tilelake.operators import blocks, raster
 from tilelake.plans import q_imagery, sql
 from tilelake.sources import catalogs, fixtures, scratch
 
@@ -37,9 +37,10 @@ def mosaic_first_valid(spark, sf_dir):
 
 
 def mosaic_large(spark, sf_dir):
-    """The numpy path gives the same rows."""
-    tiles = _folded(spark, sf_dir).withColumn("status", F.lit("ok"))
-    return _cells(raster.mosaic_large(tiles), "x", "y")
+    """Layers that come in parts, as from blocks, give the same rows: a part has every third place, masked ones left out."""
+    tiles = _folded(spark, sf_dir).select("z", "x", "y", "rank", F.posexplode("pixels").alias("k", "v")).where("v is not null")
+    parts = tiles.groupBy("z", "x", "y", "rank", F.col("k") % 3).agg(F.collect_list(F.struct("k", "v")).alias("p")).select("z", "x", "y", "rank", F.col("p.k").alias("at"), F.col("p.v").alias("pixels"))
+    return _cells(blocks.progressive_mosaic(parts, n_pixels=64), "x", "y")
 
 
 def _mosaics(spark, sf_dir) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -168,16 +169,18 @@ def _asset_pairs(spark, sf_dir) -> DataFrame:
     r = fixtures.rasters(spark, sf_dir)
     w, s, e, n = tm.tile_bounds_lonlat(F.col("z"), F.col("x"), F.col("y"))
     shift = F.col("rank") % 5 / 10 * (e - w)
-    return r.select("z", "x", "y", "rank", (w + shift).alias("x0"), n.alias("y0"), ((e - w) / 8).alias("dx"), ((s - n) / 8).alias("dy"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(4326).alias("crs"), F.lit(px.VOID).alias("nodata"), "pixels")
+    return r.select("z", "x", "y", "rank", F.col("rank").alias("id"), (w + shift).alias("x0"), n.alias("y0"), ((e - w) / 8).alias("dx"), ((s - n) / 8).alias("dy"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(4326).alias("crs"), F.lit(px.VOID).alias("nodata"), "pixels")
 
 
 def warp_to_tile(spark, sf_dir):
-    w = raster.warp_to_tile(_asset_pairs(spark, sf_dir), 8)
+    """Pictures of 8 × 8 pixels in blocks of 3 × 3."""
+    pairs = _asset_pairs(spark, sf_dir)
+    w = blocks.warp_to_tile(pairs, blocks.cut_blocks(pairs, 3).drop("band"), 8, 3)
     return w.select("rank", "status", F.posexplode("pixels").alias("k", "v"))
 
 
-#: Pixels of a side of a baked tile and of an asset's band, bands of an asset.
-SIZE, ASSET, BANDS = 4, 4, 4
+#: Pixels of a side of a baked tile, of an asset's band and of a block, bands of an asset.
+SIZE, ASSET, BLOCK, BANDS = 4, 4, 3, 4
 
 
 def _pictures(spark, sf_dir) -> DataFrame:
@@ -189,28 +192,35 @@ def _pictures(spark, sf_dir) -> DataFrame:
     return own.select("id", F.col("xmin").alias("x0"), F.col("ymax").alias("y0"), dx.alias("dx"), dy.alias("dy"), F.lit(ASSET).alias("width"), F.lit(ASSET).alias("height"), F.lit(4326).alias("crs"), F.lit(px.VOID).alias("nodata"), "pixels")
 
 
-def bake_imagery(resolved: DataFrame, pictures: DataFrame, size: int, n_bands: int, picks: tuple[int, ...]) -> DataFrame:
-    """(z, x, y, band, status, pixels) of resolved tiles (z, x, y, status, rank, id, ...): the bands of their assets'
-    pictures, warped to the tile and merged in rank order. A tile without an asset keeps its status; one whose assets have
-    no pixel in it has no coverage. The band of a tile without assets is 0."""
-    picked = pictures.withColumn("band", F.explode(F.array(*[F.lit(b) for b in picks])))
-    width = F.col("width") * F.col("height")
-    one = picked.withColumn("pixels", F.slice("pixels", width * (F.col("band") - 1) + 1, width))
-    pairs = resolved.where("id is not null").select("z", "x", "y", F.col("rank").cast("long").alias("rank"), "id").join(one, "id")
-    merged = raster.mosaic_first_valid(raster.warp_to_tile(pairs, size, ["band"]), ["z", "x", "y", "band"])
-    status = F.when(F.col("failed"), "failed").when(F.col("pixels").isNull(), "no_coverage").otherwise("ok")
-    done = merged.select("z", "x", "y", "band", status.alias("status"), "pixels")
+def bake_imagery(resolved: DataFrame, grids: DataFrame, blocks_: DataFrame, size: int, block: int, picks: tuple[int, ...]) -> DataFrame:
+    """(z, x, y, band, status, pixels) of resolved tiles (z, x, y, status, rank, id, ...): the picked bands of their assets,
+    from the blocks that a tile touches, merged in rank order. A tile without an asset keeps its status; one whose assets
+    have no pixel in it has no coverage. The band of a tile without assets is 0."""
+    pairs = resolved.where("id is not null").select("z", "x", "y", F.col("rank").cast("long").alias("rank"), "id").join(grids, "id")
+    pairs = pairs.withColumn("band", F.explode(F.array(*[F.lit(b) for b in picks])))
+    parts = blocks.warped_parts(pairs, blocks_, size, block, ["band"])
+    merged = blocks.progressive_mosaic(parts, ["z", "x", "y", "band"], size * size)
+    done = merged.select("z", "x", "y", "band", F.when(F.col("pixels").isNull(), "no_coverage").otherwise("ok").alias("status"), "pixels")
     rest = resolved.where("id is null").select("z", "x", "y", F.lit(0).alias("band"), "status", F.lit(None).cast("array<double>").alias("pixels"))
     return done.unionByName(rest)
 
 
-def job_bake_imagery(spark, sf_dir):
-    """Asked tiles → assets → pictures, bands 1 to 3 → warp → mosaic in rank order → table, read back; tiles that aren't
-    in it keep a row with their status."""
+def _baked(spark, sf_dir) -> tuple[DataFrame, str, str]:
+    """Asked tiles → assets → blocks of their pictures, bands 1 to 3 → warp → mosaic in rank order → tile table and manifest:
+    the baked rows and the paths of both."""
     resolved = scratch.written(q_imagery.job_resolve_imagery(spark, sf_dir), "resolved")
-    baked = scratch.written(bake_imagery(resolved, _pictures(spark, sf_dir), SIZE, BANDS, (1, 2, 3)), "baked")
-    path = scratch.new_folder(spark, "tiles")
-    catalogs.write_tile_table(baked.withColumns({"layer": F.lit("naip"), "year": F.lit(q_imagery.YEAR)}), path)
+    pictures = _pictures(spark, sf_dir)
+    cut = scratch.written(blocks.cut_blocks(pictures, BLOCK, BANDS), "blocks")
+    baked = scratch.written(bake_imagery(resolved, pictures.drop("pixels"), cut, SIZE, BLOCK, (1, 2, 3)), "baked").withColumns({"layer": F.lit("naip"), "year": F.lit(q_imagery.YEAR)})
+    tiles, manifest = scratch.new_folder(spark, "tiles"), scratch.new_folder(spark, "manifest")
+    catalogs.write_tile_table(baked, tiles)
+    catalogs.bake_manifest(baked.where("status = 'ok'")).write.parquet(manifest)
+    return baked, tiles, manifest
+
+
+def job_bake_imagery(spark, sf_dir):
+    """The tile table, read back; tiles that aren't in it keep a row with their status."""
+    baked, path, _ = _baked(spark, sf_dir)
     back = spark.read.schema("layer string, year int, z int, x int, y int, band int, status string, pixels array<double>").parquet(path)
     total = F.round(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))), 3)
     seen = F.size(F.filter("pixels", lambda v: v.isNotNull())).cast("long")
@@ -218,6 +228,12 @@ def job_bake_imagery(spark, sf_dir):
     return back.select(*cols, seen.alias("n"), total.alias("total")).unionByName(baked.where("status != 'ok'").select(*cols, F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total")))
 
 
+def bake_imagery_manifest(spark, sf_dir):
+    """The manifest that the imagery job writes, read back."""
+    m = spark.read.parquet(_baked(spark, sf_dir)[2])
+    return m.withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)})
+
+
 def write_tile_table(spark, sf_dir):
     """Cascaded tiles written by zoom and read back; tiles that failed or have no coverage aren't there."""
     path = scratch.new_folder(spark, "tiles")
@@ -287,6 +303,17 @@ _SLOPE = f"""SELECT a.rank, a.k, a.row, a.col, a.h, {sql.side('a.z')} AS side, c
 _RGBA = """SELECT vec_id, label, i, CAST(((CAST(floor(CAST(embedding[4 * i + c + 1] AS DOUBLE) * 4096) AS BIGINT) % 256) + 256) % 256 AS INT) AS v, c
   FROM (SELECT *, unnest(range(0, 4)) AS c FROM (SELECT *, unnest(range(0, 16)) AS i FROM embeddings) a) b"""
 _over = lambda n: f"CASE WHEN seen THEN CAST(({n} * a + 255 * (255 - a)) // 255 AS INT) END AS {n}"
+_BAKED = (
+    q_imagery.RESOLVED.rstrip()
+    + f""",
+pic AS (SELECT id, xmin AS x0, ymax AS y0, (xmax - xmin) / 4 AS dx, (ymin - ymax) / 4 AS dy, list_transform(embedding, lambda v: CASE WHEN abs(v) < 0.01e0 THEN NULL ELSE round(CAST(v AS DOUBLE) * 100, 3) END) AS pixels
+  FROM items JOIN embeddings ON vec_id = CAST(split_part(id, '_', 2) AS BIGINT) % 200),
+pr AS (SELECT z, x, y, rank, p.* FROM resolved JOIN pic p USING (id)),
+spot AS ({_centres(4)}),
+cell AS (SELECT z, x, y, band, k, rank, CASE WHEN r BETWEEN 0 AND 3 AND c BETWEEN 0 AND 3 THEN pixels[CAST((band - 1) * 16 + r * 4 + c AS INT) + 1] END AS v FROM spot, (VALUES (1), (2), (3)) b(band)),
+mos AS (SELECT z, x, y, band, k, arg_min(v, rank) FILTER (v IS NOT NULL) AS v FROM cell GROUP BY z, x, y, band, k)
+"""
+)
 
 QUERIES = {
     "fold_nodata": (fold_nodata, _F + "SELECT rank, k, v FROM cell"),
@@ -347,17 +374,14 @@ QUERIES = {
     ),
     "job_bake_imagery": (
         job_bake_imagery,
-        q_imagery.RESOLVED.rstrip()
-        + f""",
-pic AS (SELECT id, xmin AS x0, ymax AS y0, (xmax - xmin) / 4 AS dx, (ymin - ymax) / 4 AS dy, list_transform(embedding, lambda v: CASE WHEN abs(v) < 0.01e0 THEN NULL ELSE round(CAST(v AS DOUBLE) * 100, 3) END) AS pixels
-  FROM items JOIN embeddings ON vec_id = CAST(split_part(id, '_', 2) AS BIGINT) % 200),
-pr AS (SELECT z, x, y, rank, p.* FROM resolved JOIN pic p USING (id)),
-spot AS ({_centres(4)}),
-cell AS (SELECT z, x, y, band, k, rank, CASE WHEN r BETWEEN 0 AND 3 AND c BETWEEN 0 AND 3 THEN pixels[CAST((band - 1) * 16 + r * 4 + c AS INT) + 1] END AS v FROM spot, (VALUES (1), (2), (3)) b(band)),
-mos AS (SELECT z, x, y, band, k, arg_min(v, rank) FILTER (v IS NOT NULL) AS v FROM cell GROUP BY z, x, y, band, k)
-SELECT z, x, y, band, CASE WHEN count(v) = 0 THEN 'no_coverage' ELSE 'ok' END AS status, count(v) AS n, round(sum(v), 3) AS total FROM mos GROUP BY z, x, y, band
+        _BAKED
+        + """SELECT z, x, y, band, CASE WHEN count(v) = 0 THEN 'no_coverage' ELSE 'ok' END AS status, count(v) AS n, round(sum(v), 3) AS total FROM mos GROUP BY z, x, y, band
 UNION ALL SELECT z, x, y, 0, status, 0, NULL FROM resolved WHERE id IS NULL""",
     ),
+    "bake_imagery_manifest": (
+        bake_imagery_manifest,
+        _BAKED.rstrip() + ",\nm AS (SELECT z, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM mos WHERE v IS NOT NULL GROUP BY z)\n" + f"SELECT 'naip' AS layer, {q_imagery.YEAR} AS year, z, x0, x1, y0, y1, {_LON} FROM m",
+    ),
     "job_bake_terrain": (
         job_bake_terrain,
         _C + f"SELECT z, x, y, dem_source, CAST(sum({_CODE}) AS BIGINT) AS code_sum, coalesce(min(v), 0) AS lo, coalesce(max(v), 0) AS hi, coalesce(max(v) FILTER (k = 36), 0) AS mid FROM cas WHERE status = 'ok' GROUP BY z, x, y, dem_source",
