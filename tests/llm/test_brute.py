@@ -476,13 +476,50 @@ def test_mined_rules_equal_enumeration(spark):
                 t[0] += 1
                 t[1] += block[k]
     rules = {a for a, (n, b) in every.items() if b >= 0.05 * len(pages) and b >= 0.8 * n}
-    got = {r.page_id: r for r in urlrules.judge_urls(df, labels, rules=[], min_support=0.05, min_confidence=0.8).collect()}
+    got = {r.page_id: r for r in urlrules.judge_urls(df, labels, rules=[], min_support=0.05, min_confidence=0.8, max_tokens=12).collect()}
     assert {k: r.verdict for k, r in got.items()} == {k: "block" if any(a <= s for a in rules) else "allow" for k, s in items.items()}
     assert any(r.verdict == "block" for r in got.values())
     sure = {k: max((every[a][1] / every[a][0] for a in rules if a <= s), default=None) for k, s in items.items()}
     assert all((r.confidence is None) == (sure[k] is None) and (sure[k] is None or abs(r.confidence - sure[k]) < 1e-6) for k, r in got.items())
 
 
+def all_rules(items, block, least, sure, most):
+    """Counts of each set of at most ``most`` tokens that rules can be made of, by enumeration of the labelled pages."""
+    every: dict = {}
+    for k in block:
+        for n in range(1, most + 1):
+            for c in itertools.combinations(sorted(items[k]), n):
+                t = every.setdefault(frozenset(c), [0, 0])
+                t[0] += 1
+                t[1] += block[k]
+    return {a: b / n for a, (n, b) in every.items() if b >= least and b >= sure * n}
+
+
+@pytest.mark.parametrize("few", [1 << 14, 0])
+def test_rules_of_pages_with_many_common_tokens(spark, monkeypatch, few):
+    """More frequent tokens than two pieces hold, and pages without labels that have one token of a class only; rules
+    broadcast and joined in parts."""
+    monkeypatch.setattr(urlrules, "FEW", few)
+    rnd = random.Random(9)
+    words_ = [f"w{k}" for k in range(14)]
+    pages, block = [], {}
+    for k in range(240):
+        bad = k % 4 == 0
+        three = ["red", "green", "blue"] if bad else rnd.sample(["red", "green", "blue"], 2)
+        pair = ["alpha", "beta"] if k % 8 == 0 else []
+        pages.append((k, f"https://site{k % 3}.example.com/" + "/".join(three + pair + rnd.sample(words_, 11))))
+        block[k] = bad
+    pages += [(500, "https://new.biz/alpha/x"), (501, "https://new.biz/beta/x"), (502, "https://new.biz/red/green/blue"), (503, "https://new.biz/red/green"), (504, "https://new.biz/y"), (505, "https://new.biz/alpha/beta")]
+    df, labels = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(list(block.items()), "page_id long, block boolean")
+    items = {r.page_id: frozenset(r["items"]) for r in df.withColumn("items", urlrules.tokens(F.col("url"))).collect()}
+    rules = all_rules(items, block, 5, 0.9, 3)
+    got = {r.page_id: r for r in urlrules.judge_urls(df, labels, rules=[], min_support=0.0, min_confidence=0.9, max_tokens=3).collect()}
+    want = {k: max((c for a, c in rules.items() if a <= s), default=None) for k, s in items.items()}
+    assert {k: r.confidence for k, r in got.items()} == {k: c and round(c, 6) for k, c in want.items()}
+    assert [got[k].verdict for k in range(500, 506)] == ["block", "block", "block", "allow", "allow", "block"] and got[505].n_rules == got[500].n_rules
+    assert all((got[k].verdict == "block") or not b for k, b in block.items())
+
+
 def test_long_and_odd_urls(spark):
     """Many labels of one long URL, long URLs that differ a little, nulls and repeated ids."""
     rnd = random.Random(6)

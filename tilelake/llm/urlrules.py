@@ -6,25 +6,31 @@ implies the label ``block``. They are kept by support, count and confidence, and
 smaller one that is at least as sure. They are matched by an inverted index: a rule is filed under its rarest token,
 joined to the pages with that token, and holds if the page has all its tokens.
 
-FP-growth lists every frequent set, which for n tokens that keep coming together is 2^n of them. Before it runs, tokens
-that too few blocked pages have are taken out, as are those that all pages have; and tokens that the same transactions
-have become one. All three leave the pruned rules as they are. What a transaction then has beyond its ``LONGEST`` rarest
-tokens is left to a second way: sets of one and two tokens are counted for all its tokens. The counts of all sets that
-either way proposes are made over the whole transactions.
+A rule has at most ``max_tokens`` tokens; FP-growth would list every frequent set, which for n tokens that keep coming
+together is 2^n of them. So it gets transactions in pieces: the tokens of one are dealt into groups of ``GROUP``, and each
+max_tokens groups are a piece. Any set of at most max_tokens tokens is whole in a piece, so FP-growth proposes it, and no
+token is left out of any transaction. A piece's sets come more often than they are, so all counts are made over the whole
+transactions afterwards.
+
+Before FP-growth runs, tokens that too few blocked pages have are taken out, as are those that all pages have. Tokens that
+the same transactions have are one class while rules are mined. Pages may have one of them without the others, so each
+stands for its class when rules are matched.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilelake.llm.shared import saved, written
 
-#: Tokens of a transaction that FP-growth combines: its rarest ones.
-LONGEST = 12
-#: Parts of a token's pages in joins, so that a token that most pages have is no hot key.
-SALT = 16
+#: Tokens of a group. Pieces of a transaction have max_tokens groups.
+GROUP = 2
+#: So many rules at most are broadcast; more are joined in parts, so that a token that most pages have is no hot key.
+FEW, SALT = 1 << 14, 64
 #: Rules of one token that travel together.
 CHUNK = 1000
 
@@ -67,19 +73,35 @@ def tokens(url: Column) -> Column:
 
 
 def _filed(rules: DataFrame) -> DataFrame:
-    """(anchor, salt, rules) of rules (anchor, ...): the rules of an anchor in lists of at most about CHUNK, for each salt."""
-    n = rules.groupBy("anchor").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
-    part = rules.join(n, "anchor").withColumn("part", F.pmod(F.xxhash64("antecedent"), F.col("n")))
-    lists = part.groupBy("anchor", "part").agg(F.collect_list(F.struct("rule_id", "antecedent", "confidence")).alias("rules"))
-    return lists.select("anchor", "rules", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    """(anchor, part, rules) of rules (anchors, ...): those of each anchor in lists of at most about CHUNK."""
+    each = rules.withColumn("anchor", F.explode("anchors"))
+    n = each.groupBy("anchor").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
+    part = each.join(n, "anchor").withColumn("part", F.pmod(F.xxhash64("rule_id"), F.col("n")))
+    return part.groupBy("anchor", "part").agg(F.collect_list(F.struct("rule_id", "any_of", "anchors", "confidence")).alias("rules"))
 
 
 def _matches(sets: DataFrame, key: str, rules: DataFrame) -> DataFrame:
-    """sets (key, items, ...) with each list of rules (rule_id, antecedent, anchor, confidence) whose anchor a set has:
-    column ``met``, the rules of the list that hold, at least one."""
-    spread = sets.withColumn("anchor", F.explode("items")).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))
-    met = F.filter("rules", lambda r: F.size(F.array_except(r["antecedent"], F.col("items"))) == 0)
-    return spread.join(_filed(rules), ["anchor", "salt"]).withColumn("met", met).where(F.size("met") > 0).drop("rules", "anchor", "salt")
+    """sets (key, items, ...) with each list of rules (rule_id, any_of, anchors, confidence) one of whose anchors a set has:
+    column ``met``, the rules of the list that hold, at least one. A rule holds if the set has a token of each class in
+    any_of; it is met under the least of its anchors that the set has, so once. rules should be a written table."""
+    spread, filed, on = sets.withColumn("anchor", F.explode("items")), _filed(rules), ["anchor"]
+    if rules.count() <= FEW:
+        filed = F.broadcast(filed)
+    else:
+        spread = spread.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))
+        filed, on = filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["anchor", "salt"]
+    holds = lambda r: (F.array_min(F.array_intersect(r["anchors"], F.col("items"))) == F.col("anchor")) & F.forall(r["any_of"], lambda c: F.arrays_overlap(c, F.col("items")))
+    return spread.join(filed, on).withColumn("met", F.filter("rules", holds)).where(F.size("met") > 0).drop("rules", "part", *on)
+
+
+def _pieces(items: Column, max_tokens: int) -> Column:
+    """Pieces of a transaction: each max_tokens of its groups of GROUP tokens; fewer groups are one piece."""
+    groups = F.ceil(F.size(items) / GROUP).cast("int")
+    chosen = F.transform(F.sequence(F.lit(0), groups - 1), lambda k: F.array(k))
+    for _ in range(max_tokens - 1):
+        chosen = F.flatten(F.transform(chosen, lambda c: F.transform(F.filter(F.sequence(F.lit(0), groups - 1), lambda k: k > F.element_at(c, -1)), lambda k: F.concat(c, F.array(k)))))
+    cut = F.transform(chosen, lambda c: F.flatten(F.transform(c, lambda k: F.slice(items, k * GROUP + 1, GROUP))))
+    return F.when(groups > max_tokens, cut).otherwise(F.array(items))
 
 
 def _anchored(sets: DataFrame, count: DataFrame) -> DataFrame:
@@ -89,54 +111,58 @@ def _anchored(sets: DataFrame, count: DataFrame) -> DataFrame:
     return named.join(rarest, "rule_id")
 
 
-def mine(transactions: DataFrame, *, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 5) -> DataFrame:
-    """(rule_id, antecedent, anchor, confidence, support) of the rules from transactions (items array<string>, block
+def mine(transactions: DataFrame, *, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 5, max_tokens: int = 4) -> DataFrame:
+    """(rule_id, antecedent, any_of, anchors, confidence, support) of the rules from transactions (items array<string>, block
     boolean): at least min_count and min_support of all transactions have the antecedent and are blocked, and these are
-    at least min_confidence of those with the antecedent. Sets of three and more tokens are looked for among the LONGEST
-    rarest tokens of each transaction, sets of one and two among all. All work is in Spark jobs; the rules stay a table."""
+    at least min_confidence of those with the antecedent; it has at most max_tokens tokens, and none of its subsets is at
+    least as sure. any_of has for each token of the antecedent all tokens of its class, which the same transactions have;
+    anchors are those of the rarest. All work is in Spark jobs; the rules stay a table."""
     kept = saved(transactions.groupBy(F.array_sort("items").alias("items"), "block").agg(F.count("*").alias("times")).withColumn("t", F.xxhash64("items")))
     n = kept.agg(F.sum("times")).first()[0] or 0
-    empty = kept.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, anchor string, confidence double, support double")
+    empty = kept.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, any_of array<array<string>>, anchors array<string>, confidence double, support double")
     least = max(min_count, min_support * n)
     blocked = F.sum(F.when(F.col("block"), F.col("times")).otherwise(0))
     item = kept.select("t", "times", "block", F.explode("items").alias("item"))
     # tokens of the same transactions: equal counts and equal sums of two hashes of them
     trace = [F.sum(F.xxhash64("t", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
     of = item.groupBy("item").agg(F.sum("times").alias("n"), blocked.alias("n_block"), *trace).where((F.col("n_block") >= least) & (F.col("n") < n))
-    token = saved(of.groupBy("n", "n_block", "h1", "h2").agg(F.min("item").alias("item")).select("item", "n"))
-    if not token.limit(1).count():
+    token = saved(of.groupBy("n", "n_block", "h1", "h2").agg(F.min("item").alias("item"), F.array_sort(F.collect_set("item")).alias("class")).select("item", "n", "class"))
+    if token.isEmpty():
         return empty
-    short = saved(item.join(token, "item").groupBy("t", "block", "times").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("by")).select("t", "block", "times", F.transform("by", lambda x: x["item"]).alias("items")))
-    bad = short.where("block").select("items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_")).drop("_")
-    grown = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, bad.count())), minConfidence=0.0).fit(bad.select(F.slice("items", 1, LONGEST).alias("items"))).freqItemsets
-    long = short.where(F.col("block") & (F.size("items") > LONGEST))
-    pair = F.transform(F.col("items"), lambda x, i: F.concat(F.array(F.array(x)), F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.array(x, y))))
-    proposed = grown.select("items").union(long.select(F.explode(F.flatten(pair)).alias("items"))).select(F.array_sort("items").alias("antecedent")).distinct()
-    sets = saved(_anchored(proposed, token).withColumn("confidence", F.lit(None).cast("double")))
+    short = saved(item.join(token.drop("class"), "item").groupBy("t", "block", "times").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("by")).select("t", "block", "times", F.transform("by", lambda x: x["item"]).alias("items")))
+    enough = math.ceil(least)  # more copies of a transaction than this say no more of what is frequent
+    copies = F.sequence(F.lit(1), F.least(F.col("times"), F.lit(enough)).cast("int"))
+    bad = saved(short.where("block").select(F.explode(_pieces(F.col("items"), max_tokens)).alias("items"), copies.alias("copies")).select("items", F.explode("copies").alias("_")).select("items"))
+    grown = FPGrowth(itemsCol="items", minSupport=min(1.0, (enough - 0.5) / max(1, bad.count())), minConfidence=0.0).fit(bad).freqItemsets
+    proposed = grown.where(F.size("items") <= max_tokens).select(F.array_sort("items").alias("antecedent")).distinct()
+    sets = saved(_anchored(proposed, token.drop("class")).select("rule_id", "antecedent", "anchor", F.array("anchor").alias("anchors"), F.transform("antecedent", lambda x: F.array(x)).alias("any_of"), F.lit(None).cast("double").alias("confidence")))
     counted = _matches(short, "t", sets).select("block", "times", F.explode("met").alias("m")).groupBy(F.col("m.rule_id").alias("rule_id")).agg(F.sum("times").alias("n"), blocked.alias("n_block"))
     sure = counted.where((F.col("n_block") >= least) & (F.col("n_block") >= min_confidence * F.col("n")))
-    rules = saved(sets.drop("confidence").join(sure, "rule_id").select("rule_id", "antecedent", "anchor", (F.col("n_block") / F.col("n")).alias("confidence"), (F.col("n_block") / F.lit(n)).alias("support")))
+    rules = saved(sets.drop("confidence").join(sure, "rule_id").select("rule_id", "antecedent", "anchor", "anchors", "any_of", (F.col("n_block") / F.col("n")).alias("confidence"), (F.col("n_block") / F.lit(n)).alias("support")))
     # a rule goes if a smaller antecedent is at least as sure
     larger = rules.where(F.size("antecedent") > 1).select(F.col("rule_id").alias("r"), F.col("antecedent").alias("items"), F.col("confidence").alias("own"))
-    beaten = _matches(larger, "r", rules).where(F.exists("met", lambda m: (F.size(m["antecedent"]) < F.size("items")) & (m["confidence"] >= F.col("own"))))
-    return rules.join(beaten.select(F.col("r").alias("rule_id")).distinct(), "rule_id", "left_anti")
+    beaten = _matches(larger, "r", rules).where(F.exists("met", lambda m: (F.size(m["any_of"]) < F.size("items")) & (m["confidence"] >= F.col("own"))))
+    best = rules.join(beaten.select(F.col("r").alias("rule_id")).distinct(), "rule_id", "left_anti")
+    classes = best.select("rule_id", F.explode("antecedent").alias("item")).join(token.drop("n"), "item").groupBy("rule_id").agg(F.collect_list("class").alias("any_of"))
+    first = token.select(F.col("item").alias("anchor"), F.col("class").alias("anchors"))
+    return best.drop("any_of", "anchors").join(classes, "rule_id").join(first, "anchor").select("rule_id", "antecedent", "any_of", "anchors", "confidence", "support")
 
 
 def judge_urls(
-    pages: DataFrame, labels: DataFrame, *, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 5
+    pages: DataFrame, labels: DataFrame, *, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, min_support: float = 0.002, min_confidence: float = 0.5, min_count: int = 5, max_tokens: int = 4
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_rules, confidence) for each row of pages.
 
     labels: (page_id, block boolean). verdict is the fixed rule's, else block if a mined rule matches, else allow; n_rules
     and confidence tell of the mined rules that match, whatever the fixed one says. A page with several labels is several
     transactions; null labels and labels of no page are left out. Equal URLs are judged once. A rule needs ``min_count``
-    blocked pages, ``min_support`` of the labelled ones and ``min_confidence``; see ``mine`` for long URLs. A null URL, or one without ``://``, has an empty
-    host and path. Repeated page ids and null ids keep their rows. Without labels nothing is mined.
+    blocked pages, ``min_support`` of the labelled ones and ``min_confidence``, and has at most ``max_tokens`` tokens. A null URL,
+    or one without ``://``, has an empty host and path. Repeated page ids and null ids keep their rows. Without labels nothing is mined.
     """
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"))
     urls = written(own.select("url").distinct().withColumn("items", tokens(F.col("url"))), "urls")
     known = own.join(labels.where("block is not null").select("page_id", "block"), "page_id").select("url", "block").join(urls, "url").select("items", "block")
-    mined = saved(mine(known, min_support=min_support, min_confidence=min_confidence, min_count=min_count))
+    mined = saved(mine(known, min_support=min_support, min_confidence=min_confidence, min_count=min_count, max_tokens=max_tokens))
     hit = _matches(urls.select("url", "items"), "url", mined).select("url", F.size("met").alias("n"), F.array_max(F.transform("met", lambda m: m["confidence"])).alias("c"))
     met = hit.groupBy("url").agg(F.sum("n").alias("n_rules"), F.max("c").alias("confidence"))
     host, path = host_and_path(F.col("url"))
