@@ -601,3 +601,18 @@ def test_pipeline_tells_rows_apart_by_all_columns(spark, odd, data):
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, odd.schema), data).collect()
     want = [(None, text("a")), (None, text("b")), (None, None), (7, text("c")), (7, text("d")), (7, None), (2, text("e")), (5, ""), (6, "")]
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, odd, data, empty):
+    """Columns with the names that the stages or the operators use inside, and a map, come back with their values."""
+    import corpus_pipeline
+
+    names = ["_row", "_quality", "_found", "_pii", "_least", "row", "Quality", "found", "pii", "class", "rank", "none", "least", "class_id", "k1", "spans", "items", "n_words", "tokens"]
+    more = odd.select("*", *[F.lit(f"own {k}").alias(n) for k, n in enumerate(names)], F.create_map(F.lit("x"), F.coalesce("doc_id", F.lit(-1))).alias("map"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, data)
+        assert got.columns == more.columns
+        rows = got.collect()
+        assert rows and all(r[5 + k] == f"own {k}" for r in rows for k in range(len(names))) and all(r["map"] == {"x": -1 if r.doc_id is None else r.doc_id} for r in rows)
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in stage(spark, odd, data).collect())
+        assert stage(spark, more.limit(0), data).count() == 0
