@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tilelake.functions import geometry, projection, raster
 from tilelake.functions import tilemath as tm
 from tilelake.operators import buildings, dem, demand, imagery, validate
+import in_batch
 from tilelake.operators import raster as rops
 from tilelake.plans import q_buildings
 from tilelake.sources import catalogs, fixtures
@@ -82,24 +83,24 @@ def test_rank_order(spark):
 def test_touching_counts():
     square = [np.array([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]])]
     hole = np.array([[0.2, 0.2], [0.2, 0.8], [0.8, 0.8], [0.8, 0.2]])
-    assert geometry.polygon_meets_box(square, 1.0, 0.0, 2.0, 1.0)
-    assert not geometry.polygon_meets_box(square, 1.001, 0.0, 2.0, 1.0)
-    assert geometry.polygon_meets_box(square, 0.4, 0.4, 0.6, 0.6)
-    assert not geometry.polygon_meets_box([*square, hole], 0.4, 0.4, 0.6, 0.6)
-    assert geometry.polygon_meets_box([*square, hole], 0.1, 0.4, 0.6, 0.6)
-    assert geometry.polygon_meets_box(square, -1.0, -1.0, 2.0, 2.0)
+    assert in_batch.polygon_meets_box(square, 1.0, 0.0, 2.0, 1.0)
+    assert not in_batch.polygon_meets_box(square, 1.001, 0.0, 2.0, 1.0)
+    assert in_batch.polygon_meets_box(square, 0.4, 0.4, 0.6, 0.6)
+    assert not in_batch.polygon_meets_box([*square, hole], 0.4, 0.4, 0.6, 0.6)
+    assert in_batch.polygon_meets_box([*square, hole], 0.1, 0.4, 0.6, 0.6)
+    assert in_batch.polygon_meets_box(square, -1.0, -1.0, 2.0, 2.0)
 
 
 def test_clip():
     square = np.array([[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]])
-    assert abs(geometry.signed_area(geometry.clip(square, 1, 1, 5, 5)) / 2 - 1) < 1e-12
-    assert len(geometry.clip(square, 3, 3, 5, 5)) == 0
-    assert len(geometry.clip(square[:2], 0, 0, 5, 5)) == 0
+    assert abs(in_batch.signed_area(in_batch.clip(square, 1, 1, 5, 5)) / 2 - 1) < 1e-12
+    assert len(in_batch.clip(square, 3, 3, 5, 5)) == 0
+    assert len(in_batch.clip(square[:2], 0, 0, 5, 5)) == 0
 
 
 def test_polygons_by_orientation():
     outer, hole = np.array([[0, 0], [4, 0], [4, 4], [0, 4]]), np.array([[1, 1], [1, 2], [2, 2], [2, 1]])
-    assert [len(p) for p in geometry.polygons([outer, hole, outer + 10, hole[:2]])] == [2, 1]
+    assert [len(p) for p in in_batch.polygons([outer, hole, outer + 10, hole[:2]])] == [2, 1]
 
 
 def _tile(spark, *rows):
@@ -194,7 +195,7 @@ def test_one_wall_tile_and_roofs_cover(spark, data):
 
 def test_roof_parts_add_up(spark, data):
     rec = q_buildings._records(spark, data)
-    area = lambda polys: sum(geometry.signed_area(np.array([[p.x, p.y] for p in r])) for poly in polys for r in poly)
+    area = lambda polys: sum(in_batch.signed_area(np.array([[p.x, p.y] for p in r])) for poly in polys for r in poly)
     whole = {r.id: area(r.polygons) for r in rec.collect()}
     parts: dict = {}
     side = tm.SIDE / 2**14

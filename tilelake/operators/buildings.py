@@ -7,13 +7,13 @@ the one tile that holds its centroid; its roof is cut among all tiles that its b
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from tilelake.functions import geometry
+from tilelake.functions import geometry, ragged
 from tilelake.functions import tilemath as tm
 
 SOURCE_ZOOM = 14
@@ -25,14 +25,15 @@ def building_height(height: Column, num_floors: Column) -> Column:
     return F.coalesce(height, F.when(num_floors != 0, num_floors * FLOOR_M), F.lit(DEFAULT_M))
 
 
-@pandas_udf(T.BooleanType())
-def polygon_meets_box(rings: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.Series:
+@arrow_udf(T.BooleanType())
+def polygon_meets_box(rings: pa.Array, w: pa.Array, s: pa.Array, e: pa.Array, n: pa.Array) -> pa.Array:
     """Whether polygons with holes meet boxes, touching included."""
-    return pd.Series([geometry.polygon_meets_box(_arrays(r), *box) for r, *box in zip(rings, w, s, e, n, strict=True)])
+    levels, x, y = ragged.read(rings)
+    return pa.array(ragged.polygons_meet_boxes(*levels, x, y, *_numbers(w, s, e, n)))
 
 
-def _arrays(rings) -> list[np.ndarray]:
-    return [np.array([[p["x"], p["y"]] for p in r], dtype=float) for r in rings]
+def _numbers(*columns: pa.Array) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in columns]
 
 
 def tiles_x_buildings(features: DataFrame, zoom: int = SOURCE_ZOOM) -> DataFrame:
@@ -48,24 +49,24 @@ def tiles_x_buildings(features: DataFrame, zoom: int = SOURCE_ZOOM) -> DataFrame
 UNITS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])))
 
 
-@pandas_udf(UNITS)
-def quantized(rings: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.Series:
+@arrow_udf(UNITS)
+def quantized(rings: pa.Array, w: pa.Array, s: pa.Array, e: pa.Array, n: pa.Array) -> pa.Array:
     """Rings in degrees, clipped to a tile's box with its buffer, in whole units of the tile; y is linear in latitude."""
-    out = []
-    for one, west, south, east, north in zip(rings, w, s, e, n, strict=True):
-        bx, by = (east - west) * BUFFER / EXTENT, (north - south) * BUFFER / EXTENT
-        kept = []
-        for r in _arrays(one):
-            lo, hi = r.min(axis=0), r.max(axis=0)
-            whole = lo[0] >= west - bx and lo[1] >= south - by and hi[0] <= east + bx and hi[1] <= north + by
-            c = r if whole else geometry.clip(r, west - bx, south - by, east + bx, north + by)
-            if len(c):
-                u = np.rint(np.stack([(c[:, 0] - west) / (east - west), (north - c[:, 1]) / (north - south)], axis=1) * EXTENT).astype(int)
-                u = u[np.any(u != np.roll(u, 1, axis=0), axis=1)]
-                if len(u) >= 3:
-                    kept.append([{"x": int(a), "y": int(b)} for a, b in u])
-        out.append(kept)
-    return pd.Series(out)
+    (features, points), x, y = ragged.read(rings)
+    of = ragged.owner(features)
+    west, south, east, north = (v[of] for v in _numbers(w, s, e, n))
+    bx, by = (east - west) * BUFFER / EXTENT, (north - south) * BUFFER / EXTENT
+    points, x, y = ragged.clip(points, x, y, west - bx, south - by, east + bx, north + by)
+    ring = ragged.owner(points)
+    ux = np.rint((x - west[ring]) / (east - west)[ring] * EXTENT).astype(np.int32)
+    uy = np.rint((north[ring] - y) / (north - south)[ring] * EXTENT).astype(np.int32)
+    before = np.empty(len(ux), np.int64)
+    before[ragged.following(points)] = np.arange(len(ux))
+    new = (ux != ux[before]) | (uy != uy[before])
+    points, ux, uy = ragged.kept(points, new), ux[new], uy[new]
+    big = np.diff(points) >= 3
+    stay = np.repeat(big, np.diff(points))
+    return ragged.nested([ragged.kept(features, big), np.append(0, np.cumsum(np.diff(points)[big]))], ux[stay], uy[stay])
 
 
 # not to be run once for the filter on the result and again for the result
@@ -82,11 +83,11 @@ def mvt_quantize(features: DataFrame) -> DataFrame:
 POLYGONS = T.ArrayType(T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))))
 
 
-@pandas_udf(POLYGONS)
-def classified(rings: pd.Series) -> pd.Series:
+@arrow_udf(POLYGONS)
+def classified(rings: pa.Array) -> pa.Array:
     """Rings of a feature as polygons of an outer ring and its holes."""
-    dicts = lambda r: [{"x": float(a), "y": float(b)} for a, b in r]
-    return pd.Series([[[dicts(r) for r in p] for p in geometry.polygons(_arrays(one))] for one in rings])
+    levels, x, y = ragged.read(rings)
+    return ragged.nested(*ragged.polygons(*levels, x, y))
 
 
 classified = classified.asNondeterministic()
@@ -115,7 +116,7 @@ def records(quantised: DataFrame) -> DataFrame:
 
 
 def tile_buildings_agg(quantised: DataFrame) -> DataFrame:
-    """(z, x, y, n, features) by tile, features in order of id. Partial lists are made for the 16 tiles two zooms down
+    """(z, x, y, n, features) by tile, features in order of id. Partial lists are made for 16 parts dealt by a hash of the id
     first, so a dense tile's lists come together in pieces."""
     part = F.struct("id", building_height(F.col("height"), F.col("num_floors")).alias("height"), "rings")
     small = quantised.withColumn("_q", F.pmod(F.xxhash64("id"), F.lit(16)))
@@ -150,18 +151,18 @@ def roof_overlap(rec: DataFrame, zoom: int) -> DataFrame:
     return some.select("*", F.lit(zoom).alias("tz"), F.explode(cells).alias("_c")).select("*", "_c.tx", "_c.ty").drop("_c")
 
 
-@pandas_udf(POLYGONS)
-def clipped(polygons: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.Series:
+@arrow_udf(POLYGONS)
+def clipped(polygons: pa.Array, w: pa.Array, s: pa.Array, e: pa.Array, n: pa.Array) -> pa.Array:
     """Polygons clipped to boxes: a polygon whose outer ring vanishes goes, and so do vanished holes."""
-    out = []
-    for polys, *box in zip(polygons, w, s, e, n, strict=True):
-        kept = []
-        for rings in polys:
-            cut = [geometry.clip(r, *box) for r in _arrays(rings)]
-            if len(cut[0]):
-                kept.append([[{"x": float(a), "y": float(b)} for a, b in r] for r in cut if len(r)])
-        out.append(kept)
-    return pd.Series(out)
+    (features, of_polygon, points), x, y = ragged.read(polygons)
+    feature = ragged.owner(features)[ragged.owner(of_polygon)]  # of each ring
+    points, x, y = ragged.clip(points, x, y, *(v[feature] for v in _numbers(w, s, e, n)))
+    left = np.append(np.diff(points) > 0, False)
+    whole = left[of_polygon[:-1]] & (np.diff(of_polygon) > 0)
+    stay = left[:-1] & np.repeat(whole, np.diff(of_polygon))
+    spots = np.repeat(stay, np.diff(points))
+    rings = ragged.kept(of_polygon, stay)
+    return ragged.nested([ragged.kept(features, whole), np.append(0, np.cumsum(np.diff(rings)[whole])), np.append(0, np.cumsum(np.diff(points)[stay]))], x[spots], y[spots])
 
 
 clipped = clipped.asNondeterministic()
