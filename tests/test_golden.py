@@ -288,3 +288,14 @@ def test_catalogue_stream_restarts_from_its_folder(spark, tmp_path):
         put(k)
         got = jobs.catalog_ingest(stream("listing"), root=f"{tmp_path}/root", state=f"{tmp_path}/state")
     assert {r.dataset for r in got.collect()} == {rows[1][0][0], rows[1][1][0]}
+
+
+def test_checked_files_are_split_in_one_pass(spark, tmp_path):
+    good = dem.PROJECTION
+    rows = [("a", good, 0.0, 10000.0, 0.0, 10000.0), ("b", good | {"ellps": "WGS84", "x_0": "1"}, 0.0, 10000.0, 0.0, 10000.0), ("c", good, 0.0, 10000.0, 0.0, 9000.0), ("d", None, 0.0, None, 0.0, 1.0), ("e", {k: v for k, v in good.items() if k != "ellps"}, 0.0, 10000.0, 0.0, 10000.0)]
+    df = spark.createDataFrame(rows, "dataset string, params map<string,string>, xmin double, xmax double, ymin double, ymax double")
+    kept, rejected, totals = dem.split_checked(df, f"{tmp_path}/checked")
+    assert [r.dataset for r in kept.collect()] == ["a"] and totals == {"checked": 5, "rejected": 4}
+    names = ",".join(sorted(good))
+    assert {r.dataset: r.reason for r in rejected.collect()} == {"b": "projection: ellps,x_0", "c": "box", "d": f"projection: {names}; box", "e": "projection: ellps"}
+    assert dem.split_checked(df.limit(0), f"{tmp_path}/none")[0].count() == 0

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tilelake.functions import geometry, projection
 
+#: Names of catalogued files, and where they are.
 NAME = r"(n\d+[ew]\d+)_(\d{8})\.tif$"
 PREFIX = "s3://prd-tnm/StagedProducts/Elevation/"
 #: Side of a grid cell of the join, in metres.
 CELL = 20000.0
 #: The projection that catalogued files have.
-PROJECTION = {"proj": "aea", "lat_0": "23", "lat_1": "29.5", "lat_2": "45.5", "lon_0": "-96", "x_0": "0", "y_0": "0", "units": "m"}
+PROJECTION = {"proj": "aea", "lat_0": "23", "lat_1": "29.5", "lat_2": "45.5", "lon_0": "-96", "x_0": "0", "y_0": "0", "units": "m", "ellps": "GRS80"}
 CONUS = (-125.0, 24.0, -66.5, 49.5)
 
 
@@ -57,6 +58,25 @@ def check_projection(params: Column, expected: dict[str, str] = PROJECTION) -> C
     return F.filter(names, lambda k: ~F.coalesce(F.try_element_at(params, k) == F.element_at(want, k), F.lit(False)))
 
 
+def rejection(params: Column, side: float = 10000.0) -> Column:
+    """Why a file with these parameters and a box (xmin, xmax, ymin, ymax) isn't catalogued; null if it is. Unknown parameters
+    are those of another projection."""
+    differs = check_projection(F.coalesce(params, F.create_map().cast("map<string,string>")))
+    square = (F.col("xmax") - F.col("xmin") == side) & (F.col("ymax") - F.col("ymin") == side)
+    why = F.array_compact(F.array(F.when(F.size(differs) > 0, F.concat(F.lit("projection: "), F.array_join(differs, ","))), F.when(~F.coalesce(square, F.lit(False)), F.lit("box"))))
+    return F.when(F.size(why) > 0, F.array_join(why, "; "))
+
+
+def split_checked(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Good files, and rejected ones with their reason, of files (params, xmin, xmax, ymin, ymax, ...), in one pass that writes
+    both under path; and how many were checked and rejected, as counted on the way."""
+    seen = Observation("checked")
+    rows = files.withColumn("reason", rejection(F.col("params"))).withColumn("good", F.col("reason").isNull()).observe(seen, F.count("*").alias("checked"), F.count_if(~F.col("good")).alias("rejected"))
+    rows.write.partitionBy("good").parquet(path)
+    back = files.sparkSession.read.schema(rows.schema).parquet(path)
+    return back.where("good").drop("good", "reason"), back.where("not good").drop("good"), seen.get
+
+
 def dem_href(dataset: Column) -> Column:
     return F.concat(F.lit(PREFIX), dataset)
 

@@ -63,7 +63,7 @@ def check_projection(spark, sf_dir):
     """Projection parameters from parts, some of which differ."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
-    values = dem.PROJECTION | {"lat_1": F.when(k % 7 == 0, "30").otherwise("29.5"), "units": F.when(k % 11 == 0, "ft").otherwise("m")}
+    values = dem.PROJECTION | {"lat_1": F.when(k % 7 == 0, "30").otherwise("29.5"), "units": F.when(k % 11 == 0, "ft").otherwise("m"), "ellps": F.when(k % 17 == 0, "clrk66").otherwise("GRS80")}
     params = F.create_map(*[v for n, x in values.items() for v in (F.lit(n), x if not isinstance(x, str) else F.lit(x))])
     kept = F.map_filter(params, lambda n, _: ~((n == "x_0") & (k % 13 == 0)))
     return p.select("p_partkey", F.array_join(dem.check_projection(kept), ",").alias("differs"))
@@ -110,16 +110,32 @@ def read_dem_catalog(spark, sf_dir):
     return catalogs.read_dem_catalog(spark, path).where((F.col("bbox_xmin") <= -1050000.0) & (F.col("bbox_ymax") >= 1510000.0)).select("dataset")
 
 
+def _with_params(files: DataFrame) -> DataFrame:
+    """files with the projection parameters that reading them would give; some are of another projection or ellipsoid."""
+    k = F.regexp_extract("dataset", r"/b(\d+)/", 1).cast("long")
+    values = dem.PROJECTION | {"lat_1": F.when(k % 19 == 0, "30").otherwise("29.5"), "units": F.when(k % 23 == 0, "ft").otherwise("m"), "ellps": F.when(k % 29 == 0, "clrk66").otherwise("GRS80")}
+    return files.withColumn("params", F.create_map(*[v for n, x in values.items() for v in (F.lit(n), x if not isinstance(x, str) else F.lit(x))]))
+
+
+def _new_files(spark, sf_dir) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Files that aren't catalogued yet, checked: good ones, rejected ones, totals."""
+    return dem.split_checked(_with_params(dem.index_todo(*_states(spark, sf_dir)).select("dataset", *BOX)), scratch.new_folder(spark, "checked"))
+
+
 def job_build_dem_catalog(spark, sf_dir):
-    """Listing → newest → what is new and what stays → check → catalogue. New files' bounds come from the listing."""
-    current, indexed = _states(spark, sf_dir)
-    rows = dem.index_reuse(current, indexed).select("dataset", *BOX).unionByName(dem.index_todo(current, indexed).select("dataset", *BOX))
-    square = (F.col("xmax") - F.col("xmin") == 10000.0) & (F.col("ymax") - F.col("ymin") == 10000.0)
+    """Listing → newest → what stays, and what is new and passes the check → catalogue. New files' bounds come from the
+    listing; those rejected are in a table of their own."""
+    rows = dem.index_reuse(*_states(spark, sf_dir)).select("dataset", *BOX).unionByName(_new_files(spark, sf_dir)[0].select("dataset", *BOX))
     path = scratch.new_folder(spark, "dem")
-    catalogs.write_dem_catalog(rows.where(square), path)
+    catalogs.write_dem_catalog(rows, path)
     return catalogs.read_dem_catalog(spark, path).select("fid", "dataset")
 
 
+def dem_rejects(spark, sf_dir):
+    """New files that the catalogue doesn't take, with their reasons."""
+    return _new_files(spark, sf_dir)[1].select("dataset", "reason")
+
+
 def _coverage(spark, sf_dir) -> DataFrame:
     """Features of the catalogue, written as collections and read back."""
     own = dem.newest_per_location(listing(spark, sf_dir))
@@ -141,7 +157,7 @@ def job_coverage_geojson(spark, sf_dir):
     return _coverage(spark, sf_dir).groupBy("type").agg(F.count("*").alias("features"))
 
 
-NAME = r"(n\d+[ew]\d+)_(\d{8})\.tif$"
+NAME = dem.NAME
 
 
 def _newest(source: str, where: str = "true") -> str:
@@ -152,6 +168,8 @@ def _newest(source: str, where: str = "true") -> str:
 _key = r"CAST(regexp_extract(dataset, '/b(\d+)/', 1) AS BIGINT)"
 _L = sql.with_("fx_dem_listing")
 _S = sql.with_("fx_dem_listing", newest=_newest("fx_dem_listing"), cur=_newest("fx_dem_listing", f"{_key} % 5 <> 0"), old=_newest("fx_dem_listing", f"{_key} % 3 <> 0"))
+_BAD = ", ".join(f"CASE WHEN {_key} % {m} = 0 THEN '{p}' END" for m, p in ((29, "ellps"), (19, "lat_1"), (23, "units")))
+_N = _S.rstrip() + f",\ntodo AS (SELECT dataset, concat_ws(',', {_BAD}) AS differs FROM cur WHERE dataset NOT IN (SELECT dataset FROM old))\n"
 
 
 def _rings(source: str, xs: tuple[str, str] = ("xmin", "xmax")) -> str:
@@ -179,7 +197,7 @@ QUERIES = {
   SELECT c_custkey, 'n' || lpad(CAST(c_custkey % 60 + 1 AS VARCHAR), 2, '0') || CASE WHEN c_custkey % 4 = 0 THEN 'e' ELSE 'w' END || lpad(CAST(c_custkey % 180 AS VARCHAR), 3, '0') AS name,
          CAST(c_custkey % 60 + 1 AS DOUBLE) AS la, CAST(c_custkey % 180 AS DOUBLE) AS lo FROM customer) t""".replace("SELECT *,", "SELECT c_custkey, name,", 1),
     ),
-    "check_projection": (check_projection, "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 7 = 0 THEN 'lat_1' END, CASE WHEN p_partkey % 11 = 0 THEN 'units' END, CASE WHEN p_partkey % 13 = 0 THEN 'x_0' END], lambda v: v IS NOT NULL), ',') AS differs FROM part"),
+    "check_projection": (check_projection, "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 17 = 0 THEN 'ellps' END, CASE WHEN p_partkey % 7 = 0 THEN 'lat_1' END, CASE WHEN p_partkey % 11 = 0 THEN 'units' END, CASE WHEN p_partkey % 13 = 0 THEN 'x_0' END], lambda v: v IS NOT NULL), ',') AS differs FROM part"),
     "tiles_x_dem": (
         tiles_x_dem,
         sql.with_("fx_points", "fx_dem_listing", tiles=sql.TILES, newest=_newest("fx_dem_listing"), dems="SELECT dataset, xmin * 1.5e0 AS xmin, xmin * 1.5e0 + 150000e0 AS xmax, ymin - 300000e0 AS ymin, ymin - 150000e0 AS ymax FROM newest", env=_ENV)
@@ -198,7 +216,8 @@ QUERIES = {
     ),
     "write_dem_catalog": (write_dem_catalog, _S + "SELECT row_number() OVER (ORDER BY dataset) AS fid, dataset, xmin AS bbox_xmin, xmax AS bbox_xmax, ymin AS bbox_ymin, ymax AS bbox_ymax FROM newest"),
     "read_dem_catalog": (read_dem_catalog, _S + "SELECT dataset FROM newest WHERE xmin <= -1050000 AND ymax >= 1510000"),
-    "job_build_dem_catalog": (job_build_dem_catalog, _S + "SELECT row_number() OVER (ORDER BY dataset) AS fid, dataset FROM cur"),
+    "job_build_dem_catalog": (job_build_dem_catalog, _N + "SELECT row_number() OVER (ORDER BY dataset) AS fid, dataset FROM cur WHERE dataset NOT IN (SELECT dataset FROM todo WHERE differs <> '')"),
+    "dem_rejects": (dem_rejects, _N + "SELECT dataset, 'projection: ' || differs AS reason FROM todo WHERE differs <> ''"),
     "write_coverage_geojson": (
         write_coverage_geojson,
         sql.with_("fx_dem_listing", newest=_newest("fx_dem_listing"), rings=_rings("newest"), centre=_CENTRE)
