@@ -297,10 +297,22 @@ def test_tree_equals_library(library, monkeypatch):
     texts += ["a" * 30000, "ab" * 3000 + "c" * 5000, "\u6f22\u5b57" * 3000, "".join(rnd.choice("ABCxyz019+/") for _ in range(20000)), "=" * 4097, " " * 5000]
     monkeypatch.setattr(bytebpe, "KEPT", 500)
     for k, s in enumerate(texts):
-        monkeypatch.setattr(bytebpe, "LEAF", (1, 2, 16)[k % 3])
+        monkeypatch.setattr(bytebpe, "SHORT", (1, 2, 16)[k % 3])
         assert c.encode(s) == library.encode_ordinary(s) and c.decode(c.encode(s)) == s.encode()
 
 
+def test_each_match_that_is_no_token_is_joined(library, documents, monkeypatch):
+    c = bytebpe.Codec(RANKS)
+    joins, joined = [], bytebpe.Codec.joined
+    monkeypatch.setattr(bytebpe.Codec, "joined", lambda self, left, right: joins.append(1) or joined(self, left, right))
+    seen = {m.group() for r in documents.limit(100).collect() for m in c.pattern.finditer(r.text or "")}
+    for m in seen:
+        before = len(joins)
+        assert c[m] == library.encode_ordinary(m)
+        assert (len(joins) > before) == (m.encode() not in c.ranks)
+    assert len(joins) > len(seen) / 2
+
+
 def test_byte_bpe_query(odd, crowded, documents, library, empty):
     for df in (odd, crowded, documents):
         for r in bytebpe.digest(df, RANKS).select("text", "tokens.*").collect():

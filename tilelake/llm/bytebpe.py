@@ -1,8 +1,8 @@
 """Byte-level BPE by monoid tree reduction.
 
 Matches of the pattern are encoded by themselves, so the ids of a text are those of its matches one after another. Within
-a match the bytes are halved until a part is a token or has at most ``LEAF`` bytes; the ids of neighbouring parts are joined. A join encodes a window
-around the cut anew, which grows by tokens on either side until it is stable.
+a match the bytes are halved until a part is a token, at the latest a byte; the ids of neighbouring parts are joined. A join
+encodes a window around the cut anew, which grows by tokens on either side until it is stable.
 
 When a window is stable can be told from its ends. Merging by ranks gives each string one encoding, and a sequence of
 tokens is the encoding of its bytes if and only if each two tokens that follow each other are the encoding of theirs: a
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from tilelake.llm.words import attach
 
-#: Bytes of a part that is merged as it is.
-LEAF = 16
+#: Bytes up to which the pairs of a window are looked through at each merge; those of a longer one are kept in a heap.
+SHORT = 16
 NONE = 1 << 62
 #: Matches, and pairs of tokens, that a worker keeps, and the longest match that it keeps, in characters.
 KEPT, KEPT_LENGTH = 1 << 18, 64
@@ -66,8 +66,6 @@ class Codec(dict):
         """The encoding of the bytes of a match or of a part of one."""
         if (whole := self.ranks.get(b)) is not None:
             return [whole]
-        if len(b) <= LEAF:
-            return self.merged(b)
         return self.joined(self.reduced(b[: len(b) // 2]), self.reduced(b[len(b) // 2 :]))
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
@@ -92,7 +90,7 @@ class Codec(dict):
     def merged(self, b: bytes) -> list[int]:
         """The encoding of a string by merging alone: of the neighbours whose union has the least rank, the leftmost become one."""
         n = len(b)
-        if n <= LEAF:
+        if n <= SHORT:
             parts, rank = [b[i : i + 1] for i in range(n)], self.ranks.get
             of = [rank(b[i : i + 2], NONE) for i in range(n - 1)]  # ranks of the unions of neighbours
             while of and (least := min(of)) < NONE:
