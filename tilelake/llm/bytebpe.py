@@ -30,10 +30,13 @@ from pyspark.sql import types as T
 from tilelake.llm.words import attach
 
 #: Bytes up to which the pairs of a window are looked through at each merge; those of a longer one are kept in a heap.
+#: Parts of as many bytes are kept.
 SHORT = 16
 NONE = 1 << 62
-#: Matches, and pairs of tokens, that a worker keeps, and the longest match that it keeps, in characters.
+#: Matches that a worker keeps, and the longest match that it keeps, in characters.
 KEPT, KEPT_LENGTH = 1 << 18, 64
+#: Parts of matches, and pairs of tokens, that a worker keeps.
+PARTS = 1 << 17
 
 ENCODED = T.StructType([T.StructField("ids", T.BinaryType(), False), T.StructField("n_tokens", T.LongType(), False)])
 
@@ -46,7 +49,8 @@ class Codec(dict):
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], list[int]] = {}
+        self.parts: dict[bytes, list[int]] = {}
 
     def __missing__(self, match: str) -> list[int]:
         ids = self.reduced(match.encode())
@@ -57,8 +61,9 @@ class Codec(dict):
     def encode(self, text: str) -> list[int]:
         if len(self) > KEPT:
             self.clear()
-        if len(self.pairs) > KEPT:
-            self.pairs.clear()
+        for kept in (self.pairs, self.parts):
+            if len(kept) > PARTS:
+                kept.clear()
         matches = self.pattern.findall(text) if not self.pattern.groups else [m.group() for m in self.pattern.finditer(text)]
         return list(chain.from_iterable(map(self.__getitem__, matches)))
 
@@ -66,25 +71,34 @@ class Codec(dict):
         """The encoding of the bytes of a match or of a part of one."""
         if (whole := self.ranks.get(b)) is not None:
             return [whole]
-        return self.joined(self.reduced(b[: len(b) // 2]), self.reduced(b[len(b) // 2 :]))
+        if (known := self.parts.get(b)) is not None:
+            return known
+        ids = self.joined(self.reduced(b[: len(b) // 2]), self.reduced(b[len(b) // 2 :]))
+        if len(b) <= SHORT:
+            self.parts[b] = ids
+        return ids
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings."""
-        if self.apart(left[-1], right[0]):
+        window = self.pair(left[-1], right[0])
+        if not window:
             return left + right
         i = j = 1
         while True:
-            window = self.merged(b"".join(map(self.token.__getitem__, left[-i:] + right[:j])))
-            low = i >= len(left) or self.apart(left[-i - 1], window[0])
-            high = j >= len(right) or self.apart(window[-1], right[j])
+            low = i >= len(left) or not self.pair(left[-i - 1], window[0])
+            high = j >= len(right) or not self.pair(window[-1], right[j])
             if low and high:
                 return left[:-i] + window + right[j:]
             i, j = min(len(left), i if low else 2 * i), min(len(right), j if high else 2 * j)
+            window = self.merged(b"".join(map(self.token.__getitem__, left[-i:] + right[:j])))
 
-    def apart(self, a: int, b: int) -> bool:
-        """Whether two tokens are the encoding of their bytes."""
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of the bytes of two tokens; empty if it is the two."""
         if (known := self.pairs.get((a, b))) is None:
-            known = self.pairs[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+            both = self.token[a] + self.token[b]
+            one = self.ranks.get(both)
+            ids = [one] if one is not None else self.merged(both)
+            known = self.pairs[a, b] = [] if ids == [a, b] else ids
         return known
 
     def merged(self, b: bytes) -> list[int]:
@@ -174,7 +188,7 @@ def digest(docs: DataFrame, path: str, *, text: str = "text", out: str = "tokens
     are made and decoded as in ``encode`` and ``decode`` but don't leave the task."""
 
     def one(b: pa.RecordBatch) -> pa.Array:
-        c, decimal, made = codec(path), _Decimal(), []
+        c, decimal, made = codec(path), _decimal, []
         for t in _strings(b.column(b.schema.names.index(text))):
             ids = c.encode(t or "")
             made.append((len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
@@ -190,6 +204,9 @@ class _Decimal(dict):
         return s
 
 
+_decimal = _Decimal()
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select("doc_id", "tokens.*")
