@@ -130,18 +130,38 @@ def test_quotes_equal_sql(spark):
 
 
 def test_quotes_lead_to_the_messages_that_they_are_from(spark, data):
-    """Recall on all conversations: whole, partial and nested quotes of the message before."""
+    """Recall on all conversations: whole and nested quotes of the message before, and partial ones by their length."""
     df = quotes.with_quotes(spark.read.parquet(f"{data}/conversations.parquet"))
     norm = {(r.conv_id, r.turn): r.norm for r in df.select("conv_id", "turn", quotes.normal(quotes.own_text(F.col("text"))).alias("norm")).collect()}
+    cut = {(r.conv_id, r.turn): r.cut for r in quotes.passages(df.select(F.col("conv_id").alias("conv"), "turn", "text")).select(F.col("conv").alias("conv_id"), "turn", quotes.normal(F.array_join("lines", " ")).alias("cut")).collect()}
     n, met = {}, {}
     for r in quotes.thread(df).collect():
-        kind = (r.conv_id + r.turn) % 4
         if r.n_quotes:
+            kind = (r.conv_id + r.turn) % 4
+            part = kind == 1
+            kind = (1, quotes.PARTIAL[(r.conv_id + r.turn) // 4 % len(quotes.PARTIAL)]) if part else kind
             n[kind] = n.get(kind, 0) + 1
-            # the message before, or an earlier one that has its text
-            right = r.reply_to is not None and (r.reply_to == r.turn - 1 or norm[r.conv_id, r.turn - 1] in norm[r.conv_id, r.reply_to])
+            # the message before, or an earlier one that has its text or what is quoted of it
+            text = cut[r.conv_id, r.turn] if part else norm[r.conv_id, r.turn - 1]
+            right = r.reply_to is not None and (r.reply_to == r.turn - 1 or text in norm[r.conv_id, r.reply_to])
             met[kind] = met.get(kind, 0) + right
-    assert set(n) == {0, 1, 2} and all(met[k] >= 0.9 * n[k] for k in n), (n, met)
+    assert set(n) == {0, 2, *((1, k) for k in quotes.PARTIAL)} and all(met.get(k, 0) >= 0.9 * n[k] for k in n), (n, met)
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 7, 9, 10, 13, 14, 15, 22])
+def test_short_partial_quotes(spark, n):
+    """A passage is found at each place of a message; a short one also where an earlier message has all of its words but one."""
+    rows_, where = [], range(0, 40 - n, 3)
+    for c, at in enumerate(where):
+        text = [f"c{c}w{k}" for k in range(40)]
+        cut = text[at : at + n]
+        half = max(1, n // 3)
+        rows_ += [
+            (c, 0, "user", " ".join(cut[: n // 2])), (c, 1, "user", " ".join([*cut[:-1], "other"] if n < 2 * quotes.RUN - 1 else cut[: n // 2])), (c, 2, "user", " ".join(text)), (c, 3, "user", " ".join(text)),
+            (c, 4, "user", "".join("> " + " ".join(cut[k : k + half]) + "\n" for k in range(0, n, half)) + "yes"),
+        ]
+    got = quotes.thread(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")).where("turn = 4").collect()
+    assert [r.reply_to for r in got] == [2] * len(where)
 
 
 def test_partial_quotes_with_other_lines(spark):

@@ -2,9 +2,10 @@
 
 Only messages with quoted lines take part in the joins. A quoted passage is a run of lines of one quote level; it and
 its longer lines are normalised and hashed, and looked up among the hashes of whole messages and lines of the same
-conversation. A passage that is a part of a message, its lines broken anew, is looked up by runs of ``RUN`` words: messages
-have one at each RUN-th word, passages one at each of their first RUN words, so a passage of 2 * RUN - 1 words or more
-meets its message; then the message must have the whole passage in it. The earliest message with a hash is its source,
+conversation. A passage that is a part of a message, its lines broken anew, is looked up by its words. One of ``LINE_WORDS``
+to 2 * RUN - 2 words is met by the windows of as many words of all messages, made only where the first words of such a
+passage of the conversation may begin. Longer ones are looked up by runs of ``RUN`` words: messages have one at each RUN-th
+word, passages one at each of their first RUN words; then the message must have the whole passage in it. The earliest message with a hash is its source,
 found by an aggregate made before the shuffle, so that a text that many messages share gives one row, not all pairs.
 
 Replies form trees. A message's place in the depth-first order of its tree comes from pointer doubling over successors,
@@ -20,8 +21,10 @@ from tilelake.llm.shared import saved
 
 QUOTE = r"^[ \t]*>"
 ATTRIBUTION = r"(?i)^[ \t]*(on|am|le|el) .{0,200} (wrote|schrieb|écrit|escribió).{0,80}:[ \t]*$"
-#: A line is looked up by itself if it has at least this many words.
+#: A line is looked up by itself, and a passage as a part of a message, if it has at least this many words.
 LINE_WORDS = 4
+#: Hashes of the first words of the short passages of a conversation are told apart modulo this number.
+MARKS = 1024
 #: Words of a run.
 RUN = 8
 #: Turns of a block of replies to one message.
@@ -70,10 +73,32 @@ def _run_keys(norm: Column, starts) -> Column:
     return F.flatten(F.transform(F.array(F.split(norm, " ")), keys))  # the words are split once
 
 
+def _starts(words: Column, i: Column | int) -> Column:
+    """The mark of LINE_WORDS words from the place i on."""
+    return F.pmod(F.xxhash64(F.array_join(F.slice(words, i + 1, LINE_WORDS), " ")), F.lit(MARKS)).cast("int")
+
+
+def _short(passage: DataFrame, norm: DataFrame) -> DataFrame:
+    """(conv, turn, run, p): the earliest message before that has a short passage (conv, turn, run, passage), for those of
+    LINE_WORDS to 2 * RUN - 2 words. norm (conv, turn, norm): the messages. A message gives the hashes of its windows of the
+    lengths that are asked for in its conversation, at the places whose mark one of the passages has, so what is shuffled is
+    in proportion to the places that may be quotes; neither lengths nor marks of a conversation can grow beyond a number."""
+    ask = passage.withColumn("n", _words(F.col("passage"))).where(F.col("n").between(LINE_WORDS, 2 * RUN - 2))
+    hint = ask.groupBy("conv").agg(F.collect_set("n").alias("lengths"), F.collect_set(_starts(F.split("passage", " "), F.lit(0))).alias("marks"))
+
+    def windows(w: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - LINE_WORDS, F.lit(0))), lambda i: F.array_contains("marks", _starts(w, i)))
+        return F.flatten(F.transform(places, lambda i: F.transform(F.filter("lengths", lambda n: i + n <= F.size(w)), lambda n: _key(F.array_join(F.slice(w, i + 1, n), " ")))))
+
+    said = norm.join(hint, "conv").select("conv", "turn", F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.split("norm", " ")), windows)))).alias("key"))
+    source = said.groupBy("conv", "key").agg(F.min("turn").alias("p"))
+    return ask.select("conv", "turn", "run", _key(F.col("passage")).alias("key")).join(source, ["conv", "key"]).where("p < turn").select("conv", "turn", "run", "p")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv, turn, run, level, lines, source) of the quoted passages of messages (conv, turn, text): source is the turn
     of the earliest message before with the whole passage as its own text or as one of its lines, else of the earliest
-    message among those that its runs lead to that has the passage in its own text, else of the latest of the earliest
+    message that has the passage in its own text (of passages of 2 * RUN - 1 words or more: among those that its runs lead to), else of the latest of the earliest
     sources of the passage's longer lines; else null."""
     quote = passages(messages)
     long = lambda x: _words(x) >= LINE_WORDS
@@ -89,10 +114,11 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     first = lambda n: F.sequence(F.lit(0), F.lit(RUN - 1))
     norm = talked.select("conv", "turn", normal(F.col("text")).alias("norm"))
     earliest = norm.select("conv", "turn", F.explode(_run_keys(F.col("norm"), every)).alias("key")).groupBy("conv", "key").agg(F.min("turn").alias("source"))
-    runs = quote.select("conv", "turn", "run", joined.alias("passage")).withColumn("key", F.explode(_run_keys(F.col("passage"), first)))
+    passage = quote.select("conv", "turn", "run", joined.alias("passage"))
+    runs = passage.where(_words(F.col("passage")) > 2 * RUN - 2).withColumn("key", F.explode(_run_keys(F.col("passage"), first)))
     led = runs.join(earliest, ["conv", "key"]).where("source < turn").select("conv", "turn", "run", "passage", "source").distinct()
     inside = F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))
-    part = led.join(norm.withColumnRenamed("turn", "source"), ["conv", "source"]).where(inside).groupBy("conv", "turn", "run").agg(F.min("source").alias("p"))
+    part = led.join(norm.withColumnRenamed("turn", "source"), ["conv", "source"]).where(inside).groupBy("conv", "turn", "run").agg(F.min("source").alias("p")).unionByName(_short(passage, norm))
     both = quote.join(found, ["conv", "turn", "run"], "left").join(part, ["conv", "turn", "run"], "left")
     return both.select("conv", "turn", "run", "level", "lines", F.coalesce("w", "p", "l").alias("source"))
 
@@ -161,16 +187,23 @@ def thread(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn
     )
 
 
+#: Words of the partial quotes that ``with_quotes`` makes.
+PARTIAL = (4, 6, 8, 10, 15, 18)
+
+
 def with_quotes(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) whose messages quote those before them, by their numbers: the last message
-    whole with an attribution, some words of it broken anew, the last two at two levels, or nothing. The given
+    whole with an attribution, 4 to 18 words of it broken anew, the last two at two levels, or nothing. The given
     conversations have no quotes."""
     own = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
     back = lambda n: own.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"t{n}"))
     three = own.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
     quoted = lambda mark, t: F.concat(F.lit(mark), F.replace(F.col(t), F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))
     w = F.split(F.translate("t1", "\n", " "), " ")
-    some = F.concat(*[x for k in (3, 9, 15) for x in (F.lit("> "), F.array_join(F.slice(w, k, 6), " "), F.lit("\n"))])
+    n = F.get(F.array(*map(F.lit, PARTIAL)), F.pmod(F.floor((F.col("conv_id") + F.col("turn")) / 4), F.lit(len(PARTIAL))).cast("int"))
+    third = F.ceil(n / 3).cast("int")
+    line = lambda k: F.when(n > k * third, F.concat(F.lit("> "), F.array_join(F.slice(w, 3 + k * third, F.least(third, n - k * third)), " "), F.lit("\n"))).otherwise("")
+    some = F.concat(*map(line, range(3)))
     kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
     before = F.when(kind == 0, F.concat(F.lit("On Monday someone wrote:\n"), quoted("> ", "t1"))).when((kind == 1) & (F.size(w) >= 24), some).when(kind == 2, F.concat(F.coalesce(quoted(">> ", "t2"), F.lit("")), quoted("> ", "t1")))
     return three.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), F.concat(F.coalesce(before, F.lit("")), "text")).alias("text"))
@@ -212,8 +245,12 @@ runs AS (
 led AS (
   SELECT DISTINCT conv_id, turn, run, norm, array_to_string(list_slice(w, o + 1, o + 8), ' ') AS key FROM (
     SELECT conv_id, turn, run, norm, w, unnest(range(0, least(8, len(w) - 7))) AS o FROM (
-      SELECT conv_id, turn, run, norm, string_split(norm, ' ') AS w FROM (SELECT conv_id, turn, run, trim(regexp_replace(lower(passage), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM quote) a) b WHERE len(w) >= 8) c),
+      SELECT conv_id, turn, run, norm, string_split(norm, ' ') AS w FROM (SELECT conv_id, turn, run, trim(regexp_replace(lower(passage), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM quote) a) b WHERE len(w) >= 15) c),
+brief AS (
+  SELECT q.conv_id, q.turn, q.run, min(n.turn) AS source FROM (SELECT conv_id, turn, run, trim(regexp_replace(lower(passage), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM quote) q JOIN whole n ON n.conv_id = q.conv_id AND n.turn < q.turn
+  WHERE len(string_split(q.norm, ' ')) BETWEEN 4 AND 14 AND contains(' ' || n.norm || ' ', ' ' || q.norm || ' ') GROUP BY q.conv_id, q.turn, q.run),
 part AS (
+  SELECT * FROM brief UNION ALL
   SELECT l.conv_id, l.turn, l.run, min(r.source) AS source FROM led l JOIN runs r ON r.conv_id = l.conv_id AND r.key = l.key JOIN whole n ON n.conv_id = l.conv_id AND n.turn = r.source
   WHERE r.source < l.turn AND contains(' ' || n.norm || ' ', ' ' || l.norm || ' ') GROUP BY l.conv_id, l.turn, l.run),
 found AS (
@@ -232,11 +269,11 @@ FROM own o JOIN tree t USING (conv_id, turn) LEFT JOIN per USING (conv_id, turn)
 
 _QUOTED = r"""
 WITH RECURSIVE m0 AS (SELECT conv_id, turn, min(text) AS text, arg_min(role, (text, role)) AS role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
-m1 AS (SELECT m.*, (m.conv_id + m.turn) % 4 AS kind, p.text AS t1, q.text AS t2, string_split(translate(p.text, chr(10), ' '), ' ') AS w
+m1 AS (SELECT m.*, (m.conv_id + m.turn) % 4 AS kind, [4, 6, 8, 10, 15, 18][(m.conv_id + m.turn) // 4 % 6 + 1] AS n, CAST(ceil(n / 3) AS INT) AS third, p.text AS t1, q.text AS t2, string_split(translate(p.text, chr(10), ' '), ' ') AS w
   FROM m0 m LEFT JOIN m0 p ON p.conv_id = m.conv_id AND p.turn = m.turn - 1 LEFT JOIN m0 q ON q.conv_id = m.conv_id AND q.turn = m.turn - 2),
 msg AS (SELECT conv_id, turn, role, coalesce(CASE
     WHEN kind = 0 THEN 'On Monday someone wrote:' || chr(10) || '> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10)
-    WHEN kind = 1 AND len(w) >= 24 THEN '> ' || array_to_string(w[3:8], ' ') || chr(10) || '> ' || array_to_string(w[9:14], ' ') || chr(10) || '> ' || array_to_string(w[15:20], ' ') || chr(10)
+    WHEN kind = 1 AND len(w) >= 24 THEN array_to_string(list_transform(list_filter([0, 1, 2], lambda k: n > k * third), lambda k: '> ' || array_to_string(w[3 + k * third : 2 + least(n, (k + 1) * third)], ' ') || chr(10)), '')
     WHEN kind = 2 THEN coalesce('>> ' || replace(t2, chr(10), chr(10) || '>> ') || chr(10), '') || '> ' || replace(t1, chr(10), chr(10) || '> ') || chr(10) END, '') || text AS text FROM m1),
 """
 #: The same of the conversations with quotes.
