@@ -2,10 +2,9 @@
 
 Only messages with quoted lines take part in the joins. A quoted passage is a run of lines of one quote level; it and
 its longer lines are normalised and hashed, and looked up among the hashes of whole messages and lines of the same
-conversation. A passage that is a part of a message, its lines broken anew, is looked up by its words. One of ``LINE_WORDS``
-to 2 * RUN - 2 words is met by the windows of as many words of all messages, made only where the first words of such a
-passage of the conversation may begin. Longer ones are looked up by runs of ``RUN`` words: messages have one at each RUN-th
-word, passages one at each of their first RUN words; then the message must have the whole passage in it. The earliest message with a hash is its source,
+conversation. A passage of ``LINE_WORDS`` words or more that is a part of a message, its lines broken anew, is met by the
+windows of as many words of all messages, made only where the first words of such a passage of the conversation stand.
+The earliest message with a hash is its source,
 found by an aggregate made before the shuffle, so that a text that many messages share gives one row, not all pairs.
 
 Replies form trees. A message's place in the depth-first order of its tree comes from pointer doubling over successors,
@@ -14,6 +13,8 @@ in a number of rounds that grows with the logarithm of a tree's size; no path is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +24,8 @@ QUOTE = r"^[ \t]*>"
 ATTRIBUTION = r"(?i)^[ \t]*(on|am|le|el) .{0,200} (wrote|schrieb|écrit|escribió).{0,80}:[ \t]*$"
 #: A line is looked up by itself, and a passage as a part of a message, if it has at least this many words.
 LINE_WORDS = 4
-#: Hashes of the first words of the short passages of a conversation are told apart modulo this number.
+#: Hashes of the first words of a conversation's passages are told apart modulo this number before the shuffle.
 MARKS = 1024
-#: Words of a run.
-RUN = 8
 #: Turns of a block of replies to one message.
 BLOCK = 4096
 
@@ -63,34 +62,39 @@ def passages(messages: DataFrame) -> DataFrame:
     return grouped.select("conv", "turn", "run", "level", F.transform("lines", lambda x: x["line"]).alias("lines"))
 
 
-def _run_keys(norm: Column, starts) -> Column:
-    """Hashes of the runs of RUN words of a normalised text from each of the places that ``starts`` names."""
+def _starts(words: Column) -> Column:
+    """For each place of an array of words the LINE_WORDS words from there on; null at the last places."""
+    rest = [F.slice(words, k + 1, F.size(words)) for k in range(1, LINE_WORDS)]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), rest, words)
 
-    def keys(w: Column) -> Column:
-        places = F.filter(starts(F.size(w)), lambda i: i + RUN <= F.size(w))
-        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, RUN), " "))))
 
-    return F.flatten(F.transform(F.array(F.split(norm, " ")), keys))  # the words are split once
+def _mark(start: Column) -> Column:
+    return F.pmod(start, F.lit(MARKS)).cast("int")
 
 
-def _starts(words: Column, i: Column | int) -> Column:
-    """The mark of LINE_WORDS words from the place i on."""
-    return F.pmod(F.xxhash64(F.array_join(F.slice(words, i + 1, LINE_WORDS), " ")), F.lit(MARKS)).cast("int")
+def _once(words: Column, made) -> Column:
+    """made(words) for an array of words, which is computed once."""
+    return F.flatten(F.transform(F.array(words), made))
 
 
-def _short(passage: DataFrame, norm: DataFrame) -> DataFrame:
-    """(conv, turn, run, p): the earliest message before that has a short passage (conv, turn, run, passage), for those of
-    LINE_WORDS to 2 * RUN - 2 words. norm (conv, turn, norm): the messages. A message gives the hashes of its windows of the
-    lengths that are asked for in its conversation, at the places whose mark one of the passages has, so what is shuffled is
-    in proportion to the places that may be quotes; neither lengths nor marks of a conversation can grow beyond a number."""
-    ask = passage.withColumn("n", _words(F.col("passage"))).where(F.col("n").between(LINE_WORDS, 2 * RUN - 2))
-    hint = ask.groupBy("conv").agg(F.collect_set("n").alias("lengths"), F.collect_set(_starts(F.split("passage", " "), F.lit(0))).alias("marks"))
+def _parts(passage: DataFrame, norm: DataFrame) -> DataFrame:
+    """(conv, turn, run, p): the earliest message before that has the passage (conv, turn, run, passage) of LINE_WORDS words
+    or more in norm (conv, turn, norm). Only places whose mark one of the conversation's passages has are shuffled; marks are
+    fewer than MARKS. A place where a passage's first words stand gives a hash of each length that is asked for with
+    these words, so the work of a message is in proportion to its places that may be quotes and to their lengths."""
+    ask = passage.withColumn("n", _words(F.col("passage"))).where(F.col("n") >= LINE_WORDS).withColumn("start", F.xxhash64(F.array_join(F.slice(F.split("passage", " "), 1, LINE_WORDS), " ")))
+    marks = ask.groupBy("conv").agg(F.collect_set(_mark(F.col("start"))).alias("marks"))
+    lengths = ask.groupBy("conv", "start").agg(F.collect_set("n").alias("lengths"))
 
-    def windows(w: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - LINE_WORDS, F.lit(0))), lambda i: F.array_contains("marks", _starts(w, i)))
-        return F.flatten(F.transform(places, lambda i: F.transform(F.filter("lengths", lambda n: i + n <= F.size(w)), lambda n: _key(F.array_join(F.slice(w, i + 1, n), " ")))))
+    def marked(w: Column) -> Column:
+        every = F.transform(_starts(w), lambda x, i: F.struct(i.alias("place"), (F.size(w) - i).alias("left"), F.when(x.isNotNull(), F.xxhash64(x)).alias("start")))
+        return F.filter(every, lambda s: s["start"].isNotNull() & F.array_contains("marks", _mark(s["start"])))
 
-    said = norm.join(hint, "conv").select("conv", "turn", F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.split("norm", " ")), windows)))).alias("key"))
+    places = norm.join(marks, "conv").select("conv", "turn", F.explode(_once(F.split("norm", " "), marked)).alias("s")).select("conv", "turn", "s.*")
+    fits = places.join(lengths, ["conv", "start"]).select("conv", "turn", "place", "left", F.explode("lengths").alias("n")).where("n <= left")
+    asked = fits.groupBy("conv", "turn").agg(F.collect_list(F.struct("place", "n")).alias("asked"))
+    window = lambda w: F.transform("asked", lambda s: _key(F.array_join(F.slice(w, s["place"] + 1, s["n"]), " ")))
+    said = norm.join(asked, ["conv", "turn"]).select("conv", "turn", F.explode(F.array_distinct(_once(F.split("norm", " "), window))).alias("key"))
     source = said.groupBy("conv", "key").agg(F.min("turn").alias("p"))
     return ask.select("conv", "turn", "run", _key(F.col("passage")).alias("key")).join(source, ["conv", "key"]).where("p < turn").select("conv", "turn", "run", "p")
 
@@ -98,7 +102,7 @@ def _short(passage: DataFrame, norm: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv, turn, run, level, lines, source) of the quoted passages of messages (conv, turn, text): source is the turn
     of the earliest message before with the whole passage as its own text or as one of its lines, else of the earliest
-    message that has the passage in its own text (of passages of 2 * RUN - 1 words or more: among those that its runs lead to), else of the latest of the earliest
+    message that has the passage in its own text, if the passage has LINE_WORDS words, else of the latest of the earliest
     sources of the passage's longer lines; else null."""
     quote = passages(messages)
     long = lambda x: _words(x) >= LINE_WORDS
@@ -110,15 +114,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     source = said.groupBy("conv", "key").agg(F.min("turn").alias("source"))
     found = asked.join(source, ["conv", "key"]).where("source < turn").groupBy("conv", "turn", "run").agg(F.min(F.when(F.col("whole"), F.col("source"))).alias("w"), F.max(F.when(~F.col("whole"), F.col("source"))).alias("l"))
 
-    every = lambda n: F.transform(F.sequence(F.lit(0), F.floor(n / RUN).cast("int")), lambda i: i * RUN)
-    first = lambda n: F.sequence(F.lit(0), F.lit(RUN - 1))
     norm = talked.select("conv", "turn", normal(F.col("text")).alias("norm"))
-    earliest = norm.select("conv", "turn", F.explode(_run_keys(F.col("norm"), every)).alias("key")).groupBy("conv", "key").agg(F.min("turn").alias("source"))
-    passage = quote.select("conv", "turn", "run", joined.alias("passage"))
-    runs = passage.where(_words(F.col("passage")) > 2 * RUN - 2).withColumn("key", F.explode(_run_keys(F.col("passage"), first)))
-    led = runs.join(earliest, ["conv", "key"]).where("source < turn").select("conv", "turn", "run", "passage", "source").distinct()
-    inside = F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))
-    part = led.join(norm.withColumnRenamed("turn", "source"), ["conv", "source"]).where(inside).groupBy("conv", "turn", "run").agg(F.min("source").alias("p")).unionByName(_short(passage, norm))
+    part = _parts(quote.select("conv", "turn", "run", joined.alias("passage")), norm)
     both = quote.join(found, ["conv", "turn", "run"], "left").join(part, ["conv", "turn", "run"], "left")
     return both.select("conv", "turn", "run", "level", "lines", F.coalesce("w", "p", "l").alias("source"))
 
@@ -239,20 +236,9 @@ ask AS (
     SELECT conv_id, turn, run, false, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) FROM run WHERE level > 0) a
   WHERE norm <> '' AND (whole OR len(string_split(norm, ' ')) >= 4)),
 whole AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM own),
-runs AS (
-  SELECT conv_id, key, min(turn) AS source FROM (
-    SELECT conv_id, turn, array_to_string(list_slice(w, i * 8 + 1, i * 8 + 8), ' ') AS key FROM (SELECT conv_id, turn, w, unnest(range(0, len(w) // 8)) AS i FROM (SELECT conv_id, turn, string_split(norm, ' ') AS w FROM whole) a) b) c GROUP BY conv_id, key),
-led AS (
-  SELECT DISTINCT conv_id, turn, run, norm, array_to_string(list_slice(w, o + 1, o + 8), ' ') AS key FROM (
-    SELECT conv_id, turn, run, norm, w, unnest(range(0, least(8, len(w) - 7))) AS o FROM (
-      SELECT conv_id, turn, run, norm, string_split(norm, ' ') AS w FROM (SELECT conv_id, turn, run, trim(regexp_replace(lower(passage), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM quote) a) b WHERE len(w) >= 15) c),
-brief AS (
-  SELECT q.conv_id, q.turn, q.run, min(n.turn) AS source FROM (SELECT conv_id, turn, run, trim(regexp_replace(lower(passage), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM quote) q JOIN whole n ON n.conv_id = q.conv_id AND n.turn < q.turn
-  WHERE len(string_split(q.norm, ' ')) BETWEEN 4 AND 14 AND contains(' ' || n.norm || ' ', ' ' || q.norm || ' ') GROUP BY q.conv_id, q.turn, q.run),
 part AS (
-  SELECT * FROM brief UNION ALL
-  SELECT l.conv_id, l.turn, l.run, min(r.source) AS source FROM led l JOIN runs r ON r.conv_id = l.conv_id AND r.key = l.key JOIN whole n ON n.conv_id = l.conv_id AND n.turn = r.source
-  WHERE r.source < l.turn AND contains(' ' || n.norm || ' ', ' ' || l.norm || ' ') GROUP BY l.conv_id, l.turn, l.run),
+  SELECT q.conv_id, q.turn, q.run, min(n.turn) AS source FROM (SELECT conv_id, turn, run, trim(regexp_replace(lower(passage), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM quote) q JOIN whole n ON n.conv_id = q.conv_id AND n.turn < q.turn
+  WHERE len(string_split(q.norm, ' ')) >= 4 AND contains(' ' || n.norm || ' ', ' ' || q.norm || ' ') GROUP BY q.conv_id, q.turn, q.run),
 found AS (
   SELECT conv_id, turn, run, coalesce(a.w, p.source, a.l) AS source FROM (SELECT conv_id, turn, run, min(source) FILTER (whole) AS w, max(source) FILTER (NOT whole) AS l FROM ask JOIN said USING (conv_id, norm) WHERE source < turn GROUP BY conv_id, turn, run) a
   FULL JOIN part p USING (conv_id, turn, run)),
