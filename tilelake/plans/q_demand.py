@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tilelake.functions import tilemath as tm
 from tilelake.operators import demand as d
+from tilelake.operators import refine
 from tilelake.plans import sql
 from tilelake.plans.q_dem import BOX, _newest, _part, listing
 from tilelake.sources import fixtures
@@ -165,9 +166,9 @@ def tile_bundle_bytes(spark, sf_dir):
 
 
 def job_flight_demand(spark, sf_dir):
-    """Positions → tiles to refine and tiles ahead → each once → those not baked."""
+    """Positions → tiles to refine, for sets of positions at once, and tiles ahead → each once → those not baked."""
     t = track(spark, sf_dir)
-    leaves = d.lod_tiles(t, ["event_id"]).select("z", F.col("tx").alias("x"), F.col("ty").alias("y"))
+    leaves = refine.demanded_tiles(t)
     ahead = _prefetch(spark, sf_dir).select("z", F.col("tx").alias("x"), F.col("ty").alias("y"))
     return d.coverage_gaps(d.tile_demand_union(leaves, ahead), d.root_grid(t.where("event_id % 700 = 0")).select("z", F.col("tx").alias("x"), F.col("ty").alias("y")).distinct())
 
