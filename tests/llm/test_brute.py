@@ -166,6 +166,19 @@ def test_key_is_not_in_plans(spark):
         spark.conf.unset(pii.KEY_CONF)
 
 
+def test_a_key_is_required(spark):
+    for empty in (False, True):
+        if empty:
+            spark.conf.set(pii.KEY_CONF, "")
+        try:
+            with pytest.raises(ValueError, match=pii.KEY_CONF):
+                pii.secret(spark)
+            with pytest.warns(UserWarning, match="public key"):
+                assert pii.secret(spark, pii.TEST_KEY).first().key == pii.TEST_KEY
+        finally:
+            spark.conf.unset(pii.KEY_CONF)
+
+
 def test_invalid_values_stay(spark):
     texts = ["4111111111111112", "300.1.2.3", "2021-02-30", "000-12-3456", "DE00370400440532013000", "DE99000000000000000030", "version 2.0.1 of 12", "x@y"]
     assert all(r.text == t and not r.found for r, t in zip(found(spark, "k", *texts), texts, strict=True))

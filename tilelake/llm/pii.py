@@ -13,12 +13,16 @@ place and the other half.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: The setting that holds the key.
 KEY_CONF = "spark.tilelake.pii.key"
+#: What the registered queries take on the invented tables where that setting is missing. Public: not for real data.
+TEST_KEY = "a key for tests"
 
 #: Lengths of IBANs and the countries that have them.
 IBANS = {
@@ -239,9 +243,17 @@ def _pseudonym(v: Column, key: Column) -> Column:
     return F.struct(kind.alias("kind"), out.alias("value"))
 
 
-def secret(spark: SparkSession) -> DataFrame:
-    """The key of the deployment as a table of one row: what the setting ``KEY_CONF`` says, else a key for tests."""
-    return spark.createDataFrame([(spark.conf.get(KEY_CONF, "a key for tests"),)], "key string")
+def secret(spark: SparkSession, unset: str | None = None) -> DataFrame:
+    """The key of the deployment as a table of one row: what the setting ``KEY_CONF`` says. Without that setting (or with
+    an empty one) it is ``unset``, with a warning, as whoever knows that key can undo the pseudonyms; without either it
+    raises."""
+    key = spark.conf.get(KEY_CONF, "")
+    if not key:
+        if not unset:
+            raise ValueError(f"set {KEY_CONF} to the secret key of the deployment")
+        warnings.warn(f"{KEY_CONF} is not set: pseudonyms are made with a public key and can be undone", stacklevel=2)
+        key = unset
+    return spark.createDataFrame([(key,)], "key string")
 
 
 def pseudonymise(docs: DataFrame, key: str | DataFrame, *, text: str = "text", out: str = "pii") -> DataFrame:
@@ -269,6 +281,6 @@ def pseudonymise(docs: DataFrame, key: str | DataFrame, *, text: str = "text", o
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    made = pseudonymise(docs, secret(spark))
+    made = pseudonymise(docs, secret(spark, TEST_KEY))
     kinds = F.transform("pii.found", lambda x: x["kind"])
     return made.select("doc_id", F.col("pii.text").alias("text"), F.size(kinds).cast("long").alias("n_found"), F.array_join(F.transform("pii.found", lambda x: F.concat_ws("=", x["kind"], x["value"])), "\n").alias("pseudonyms"))
