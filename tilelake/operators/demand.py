@@ -17,6 +17,8 @@ TILE = ["z", "x", "y"]
 #: Altitudes above which the zoom is 3, 4, ... 11; 12 below.
 STEPS = (1280000, 640000, 320000, 160000, 80000, 40000, 20000, 10000, 5000)
 MAX_ZOOM = 18
+#: Zoom up to which tiles that points are looked up in are broadcast: 4^9 / 3 of them at most.
+COARSE = 8
 ROOTS = 5
 MAX_ATTEMPTS, IMAGERY_RETRY_S, FAILED_RETRY_S = 3, 8, 5
 
@@ -145,13 +147,22 @@ def coverage_gaps(tiles: DataFrame, active: DataFrame) -> DataFrame:
 
 def finest_tile_at_point(points: DataFrame, key: str, loaded: DataFrame, max_zoom: int = MAX_ZOOM) -> DataFrame:
     """(key, z, elevation) of the finest loaded tile (z, x, y, elevation) that holds each point (key, px, py) in metres
-    and has an elevation; null without one."""
-    zooms = F.explode(F.sequence(F.lit(0), F.lit(max_zoom))).alias("z")
-    p = points.select(key, "px", "py", zooms)
-    x, y = tm.tile_of_point(F.col("px"), F.col("py"), F.col("z"))
-    hit = p.select(key, "z", x.alias("x"), y.alias("y")).join(loaded.where("elevation is not null").select(*TILE, "elevation"), TILE)
+    and has an elevation; null without one. Tiles up to zoom COARSE, each once, are fewer than 90,000 at any size and are
+    broadcast, as all points may lie in few of them. Finer ones are merged, and so is what was found for each point: Spark
+    takes a table's size for that of its rows times zooms and would broadcast these."""
+    there = loaded.where("elevation is not null").select(*TILE, "elevation")
+
+    def at(low: int, high: int) -> DataFrame:
+        p = points.select(key, "px", "py", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("z"))
+        x, y = tm.tile_of_point(F.col("px"), F.col("py"), F.col("z"))
+        return p.select(key, "z", x.alias("x"), y.alias("y"))
+
+    top = min(COARSE, max_zoom)
+    hit = at(0, top).join(F.broadcast(there.where(F.col("z").between(0, top)).dropDuplicates(TILE)), TILE)
+    if max_zoom > top:
+        hit = hit.unionByName(at(top + 1, max_zoom).hint("merge").join(there.where(F.col("z") > top), TILE))
     best = hit.groupBy(key).agg(F.max("z").alias("z"), F.max_by("elevation", "z").alias("elevation"))
-    return points.select(key).join(best, key, "left")
+    return points.select(key).join(best.hint("merge"), key, "left")
 
 
 def request_dedupe(requests: DataFrame) -> DataFrame:
