@@ -117,7 +117,7 @@ def finest_tile_at_point(spark, sf_dir):
 def agl(spark, sf_dir):
     """Altitude above the world height of the finest tile's ground, exaggerated twice; null where there is none."""
     found = finest_tile_at_point(spark, sf_dir).select("event_id", "elevation")
-    t = track(spark, sf_dir).join(found, "event_id")
+    t = track(spark, sf_dir).join(found.hint("merge"), "event_id")
     _, lat = tm.merc_to_lonlat(F.col("x"), F.col("y"))
     from tilelake.functions.raster import exaggerated
 
