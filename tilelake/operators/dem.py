@@ -114,15 +114,25 @@ def ring_lonlat(xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Colum
 
 
 def in_conus(ring: Column) -> Column:
-    """Whether the centroid of a ring lies in the box of the contiguous states, edges included."""
+    """Whether the centroid of a ring lies in the box of the contiguous states, edges included. The ring comes up some
+    hundred times in it, so it should be a column that is there (``with_ring``), not an expression."""
     x, y = geometry.ring_centroid(ring)
     return x.between(CONUS[0], CONUS[2]) & y.between(CONUS[1], CONUS[3])
 
 
+def with_ring(items: DataFrame) -> DataFrame:
+    """items (xmin, xmax, ymin, ymax, ...) with their ring in degrees. inline makes it once for each row; Spark would else put
+    its expression, four inverse projections, in each place where the column is used. Rows are few bytes and much work, so
+    they are dealt out evenly first: a file of a million makes one task."""
+    made = ring_lonlat(*[F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+    dealt = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select("*", F.inline(F.array(F.struct(made.alias("ring")))))
+
+
 def coverage_features(items: DataFrame, kind: str) -> DataFrame:
     """(dataset, href, type, ring) of catalogue rows; the ring in degrees to five places. Rows whose centroid lies outside
     the contiguous states are left out."""
-    r = items.withColumn("ring", ring_lonlat(*[F.col(c) for c in ("xmin", "xmax", "ymin", "ymax")])).where(in_conus(F.col("ring")))
+    r = with_ring(items).where(in_conus(F.col("ring")))
     rounded = F.transform("ring", lambda p: F.struct(F.round(p["x"], 5).alias("x"), F.round(p["y"], 5).alias("y")))
     return r.select("dataset", dem_href(F.col("dataset")).alias("href"), F.lit(kind).alias("type"), rounded.alias("ring"))
 
