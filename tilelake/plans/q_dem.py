@@ -87,8 +87,7 @@ def coverage_features(spark, sf_dir):
 
 def conus_filter(spark, sf_dir):
     moved = listing(spark, sf_dir).withColumns({"xmin": F.col("xmin") * 2.25, "xmax": F.col("xmin") * 2.25 + 10000.0})
-    ring = dem.ring_lonlat(*[F.col(c) for c in BOX])
-    return moved.select("dataset", ring.alias("ring")).where(dem.in_conus(F.col("ring"))).select("dataset")
+    return dem.with_ring(moved).where(dem.in_conus(F.col("ring"))).select("dataset")
 
 
 def coverage_union(spark, sf_dir):
