@@ -15,6 +15,8 @@ from tilelake.functions import tilemath as tm
 
 #: Zoom of the grid: about the size of a quarter quad.
 GRID = 11
+#: Zooms that a tile coarser than the grid goes down to meet items: 256 cells of it.
+DEPTH = 4
 MARGIN = 1e-9
 CAP = 64
 
@@ -67,26 +69,42 @@ def newest_vintage(items: DataFrame, year: int) -> DataFrame:
 
 
 def in_cells(items: DataFrame, zoom: Column) -> DataFrame:
-    """items once for each tile of a zoom that their box meets: cx, cy."""
-    cells = tm.tile_cover_bbox(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], zoom, MARGIN)
-    return items.withColumn("_cell", F.explode(cells)).select("*", F.col("_cell.x").alias("cx"), F.col("_cell.y").alias("cy")).drop("_cell")
+    """items once for each tile of a zoom that their box meets: cx, cy; _ileft and _itop say whether it is in the first
+    column and row of them."""
+    w, s, e, n = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    x0, y0 = tm.tile_of_point(*tm.lonlat_to_merc(w - MARGIN, n + MARGIN), zoom)
+    x1, y1 = tm.tile_of_point(*tm.lonlat_to_merc(e + MARGIN, s - MARGIN), zoom)
+    return _spread(items, x0, x1, y0, y1, "_ileft", "_itop")
+
+
+def _spread(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, left: str, top: str) -> DataFrame:
+    """Rows of df once for each cell of a block: cx, cy, and whether it is in the block's first column and row."""
+    corners = F.struct(x0.alias("_x0"), x1.alias("_x1"), y0.alias("_y0"), y1.alias("_y1"))
+    cells = df.select("*", F.inline(F.array(corners))).withColumn("cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("cy", F.explode(F.sequence("_y0", "_y1")))
+    return cells.withColumns({left: F.col("cx") == F.col("_x0"), top: F.col("cy") == F.col("_y0")}).drop("_x0", "_x1", "_y0", "_y1")
 
 
 def tiles_x_imagery(tiles: DataFrame, items: DataFrame, grid: int = GRID, exact: bool = True) -> DataFrame:
     """(z, x, y) of tiles joined to all columns of the items whose ring meets the tile, touching included; with
     exact=False, to those whose box does. Tiles from zoom ``grid`` on meet items in their ancestor at that zoom, coarser
-    ones in themselves, which takes items of the zooms that such tiles have."""
+    ones in their descendants DEPTH zooms down, at most at the grid's, so that a tile's items are in many cells; a pair is
+    kept in the first cell that both have. Items are spread over the zooms that the tiles' cells have."""
     own = items.withColumn("_edges", geometry.edges(F.col("ring"))) if exact else items
-    cell = tm.tile_ancestor_at(F.col("z"), F.col("x"), F.col("y"), grid)
-    fine = with_box(tiles.where(F.col("z") >= grid)).withColumn("_cell", cell).select("z", "x", "y", *"wsen", F.col("_cell.x").alias("cx"), F.col("_cell.y").alias("cy"))
-    wide = with_box(tiles.where(F.col("z") < grid)).select("z", "x", "y", *"wsen", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    spread = own.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).join(wide.select("z").distinct(), "z")
-    both = fine.join(in_cells(own, F.lit(grid)), ["cx", "cy"]).unionByName(wide.join(in_cells(spread, F.col("z")), ["z", "cx", "cy"]))
+    z, x, y = (F.col(c) for c in ("z", "x", "y"))
+    level = F.least(z + DEPTH, F.lit(grid)).cast("int")
+    there = tiles.select("z", "x", "y", level.alias("_level"))
+    up, down = F.greatest(z - F.col("_level"), F.lit(0)), F.greatest(F.col("_level") - z, F.lit(0))
+    first = lambda v: F.call_function("shiftleft", tm.shifted(v, up), down)
+    last = lambda v: first(v) + F.call_function("shiftleft", F.lit(1), down) - 1
+    asked = _spread(with_box(there), first(x), last(x), first(y), last(y), "_left", "_top")
+    levels = there.agg(F.collect_set("_level").alias("levels")).scalar()  # at most grid + 1 numbers
+    spread = in_cells(own.withColumn("_level", F.explode(levels)), F.col("_level"))
+    both = asked.join(spread, ["_level", "cx", "cy"]).where((F.col("_left") | F.col("_ileft")) & (F.col("_top") | F.col("_itop")))
     box = tuple(F.col(c) for c in "wsen")
     pairs = both.where(geometry.bbox_meets(tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")), box))
     if exact:
         pairs = pairs.where(geometry.edges_meet_box(F.col("_edges"), *box))
-    return pairs.drop("cx", "cy", "_edges", *"wsen")
+    return pairs.drop("_level", "cx", "cy", "_left", "_top", "_ileft", "_itop", "_edges", *"wsen")
 
 
 def rank_assets(pairs: DataFrame, cap: int = CAP) -> DataFrame:
