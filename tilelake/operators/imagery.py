@@ -63,9 +63,10 @@ def region_prune(tiles: DataFrame, extents: DataFrame) -> DataFrame:
 
 
 def newest_vintage(items: DataFrame, year: int) -> DataFrame:
-    """Items of each region's newest year that is at most ``year``. The newest year is the region's, whatever the tile."""
+    """Items of each region's newest year that is at most ``year``. The newest year is the region's, whatever the tile. These
+    years, a row for each region, are broadcast: items dealt by region and year would be a few tasks' work."""
     newest = items.where(F.col("year") <= year).groupBy("region").agg(F.max("year").alias("year"))
-    return items.join(newest, ["region", "year"], "left_semi")
+    return items.join(F.broadcast(newest), ["region", "year"], "left_semi")
 
 
 def in_cells(items: DataFrame, zoom: Column) -> DataFrame:

@@ -24,9 +24,13 @@ def read_imagery_catalog(spark: SparkSession, root: str, collection: str, region
 
 
 def write_imagery_catalog(items: DataFrame, root: str) -> None:
-    """Hive tree by collection, region and year; within a file, items lie along a Z curve, so their box columns prune."""
+    """Hive tree by collection, region and year; within a file, items lie along a Z curve, so their box columns prune. Items
+    are dealt by range along folders and curve, so a folder with many is a file for each stretch of its curve and no task
+    holds a whole folder; their id parts those of one place."""
     x, y = tm.tile_of_point(*tm.lonlat_to_merc((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2), F.lit(14))
-    ordered = items.withColumn("_q", tm.quadkey(F.lit(14), x, y)).repartition("collection", "region", "year").sortWithinPartitions("collection", "region", "year", "_q").drop("_q")
+    # inline makes the tile once; the curve's fold would repeat it for each bit
+    placed = items.select("*", F.inline(F.array(F.struct(x.alias("_x"), y.alias("_y"))))).withColumn("_q", tm.quadkey(F.lit(14), F.col("_x"), F.col("_y"))).drop("_x", "_y")
+    ordered = placed.repartitionByRange("collection", "region", "year", "_q", "id").sortWithinPartitions("collection", "region", "year", "_q").drop("_q")
     ordered.write.partitionBy("collection", "region", "year").parquet(root)
 
 
